@@ -1,0 +1,195 @@
+"""Ordered text rules with hit counts, as one chain of projections."""
+
+from __future__ import annotations
+
+import sys
+from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.rx import java_pattern
+from ..functions.text import quote_regex, quote_replacement
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Fixed values.
+MAX_RULES = 100
+MAX_FIND = 2000
+MAX_REPLACEMENT = 10_000
+OUTPUT_FLOOR, OUTPUT_FACTOR = 1_000_000, 4
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    find: str
+    replacement: str = ""
+    mode: str = "text"
+    name: str = ""
+    enabled: bool = True
+    ignore_case: bool = False
+    multiline: bool = False
+    dot_all: bool = False
+
+    @property
+    def pattern(self) -> str:
+        """The rule as a Java regex."""
+        if self.mode == "text":
+            return ("(?iu)" if self.ignore_case else "") + quote_regex(self.find)
+        flags = ("iu" if self.ignore_case else "") + ("m" if self.multiline else "") + ("s" if self.dot_all else "")
+        return (f"(?{flags})" if flags else "") + java_pattern(self.find, self.multiline)
+
+    @property
+    def plain(self) -> bool:
+        return self.mode == "text" and not self.ignore_case
+
+    @property
+    def can_grow(self) -> bool:
+        if self.mode == "text":
+            return len(self.replacement) > len(self.find)
+        return self.replacement != ""
+
+
+def _regex_error(find: Column, mode: Column) -> Column:
+    """Whether a regex rule cannot be compiled."""
+
+    def run(f: pd.Series, m: pd.Series) -> pd.Series:
+        try:
+            import regex as engine
+        except ImportError:
+            import re as engine
+
+        def bad(text, kind):
+            if kind != "regex" or text is None:
+                return False
+            if "[^]" in text or "[]" in text:
+                return True
+            try:
+                engine.compile(text)
+            except engine.error:
+                return True
+            return False
+
+        return pd.Series([bad(a, b) for a, b in zip(f, m)], dtype=bool)
+
+    return F.pandas_udf(run, "boolean")(find, mode)
+
+
+def validate(rules: DataFrame) -> DataFrame:
+    """Add ``error``: why a rule is refused, NULL when it is fine."""
+    return rules.withColumn(
+        "error",
+        F.when(F.length("find") == 0, "find_empty")
+        .when(F.length("find") > MAX_FIND, "find_too_long")
+        .when(F.length("replacement") > MAX_REPLACEMENT, "replacement_too_long")
+        .when(_regex_error(F.col("find"), F.col("mode")), "bad_regex"),
+    )
+
+
+def load_rules(rules: DataFrame) -> DataFrame:
+    """Complete rules, the first per id, at most 100, in order."""
+    needed = ["id", "name", "enabled", "mode", "find", "replacement", "ignore_case", "multiline", "dot_all"]
+    ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
+    ok = ok & F.col("mode").isin("text", "regex") & F.length("find").between(1, MAX_FIND)
+    ok = ok & (F.length("replacement") <= MAX_REPLACEMENT)
+    rest = [c for c in rules.columns if c not in ("id", "ord")]
+    firsts = (
+        rules.where(ok)
+        .groupBy("id")
+        .agg(F.min("ord").alias("ord"), F.min_by(F.struct(*rest), "ord").alias("r"))
+        .select("ord", "id", *[F.col(f"r.{c}").alias(c) for c in rest])
+    )
+    return firsts.orderBy("ord").limit(MAX_RULES)
+
+
+def recovered(rules: DataFrame) -> DataFrame:
+    """One row: how many rules were given, how many are used, and whether some were dropped."""
+    used = load_rules(rules).agg(F.count("*").alias("used"))
+    total = rules.agg(F.count("*").alias("given"))
+    return total.withColumn("_k", F.lit(1)).join(used.withColumn("_k", F.lit(1)), "_k").select(
+        "given", "used", (F.col("given") != F.col("used")).alias("recovered")
+    )
+
+
+def collect_rules(rules: DataFrame) -> list[Rule]:
+    """Bring the loaded rules to the driver; there are at most 100 of them."""
+    fields = ["id", "find", "replacement", "mode", "name", "enabled", "ignore_case", "multiline", "dot_all"]
+    return [Rule(**{f: row[f] for f in fields}) for row in load_rules(rules).collect()]
+
+
+def hits(text: Column, rule: Rule) -> Column:
+    if rule.plain:
+        gone = F.length(F.replace(text, F.lit(rule.find), F.lit("")))
+        return ((F.length(text) - gone) / F.lit(len(rule.find))).cast("int")
+    return F.regexp_count(text, F.lit(rule.pattern))
+
+
+def replaced(text: Column, rule: Rule) -> Column:
+    """The replacement is inserted as it is, ``$1`` included."""
+    if rule.plain:
+        return F.replace(text, F.lit(rule.find), F.lit(rule.replacement))
+    return F.regexp_replace(text, rule.pattern, quote_replacement(rule.replacement))
+
+
+def size_after(text: Column, n: Column, rule: Rule) -> Column:
+    """Length of the result, known before it is built."""
+    if rule.mode == "text":
+        kept = F.length(text) - n * len(rule.find)
+    else:
+        kept = F.length(F.regexp_replace(text, rule.pattern, ""))
+    return kept + n * F.lit(len(rule.replacement)).cast("long")
+
+
+def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text", out: str = "clean") -> DataFrame:
+    """Add the purified text, ``hits_<id>`` per enabled rule and ``status``.
+
+    Hits are counted on the text as earlier rules left it. A text that would outgrow
+    max(1 000 000, 4 x its size) keeps its original form with status 'too_large'. Each rule is one
+    projection over the row; nothing is shuffled.
+    """
+    limit = F.greatest(F.lit(OUTPUT_FLOOR), F.length(text) * OUTPUT_FACTOR)
+    df = df.withColumns(
+        {out: F.regexp_replace(F.col(text), "\r\n?", "\n"), "_limit": limit, "_big": F.lit(False)}
+    )
+    active = [r for r in rules if r.enabled]
+    for rule in active:
+        df = df.withColumn(f"hits_{rule.id}", F.when(~F.col("_big"), hits(F.col(out), rule)))
+        if rule.can_grow:
+            n = F.col(f"hits_{rule.id}")
+            too_big = (n > 0) & (size_after(F.col(out), n, rule) > F.col("_limit"))
+            df = df.withColumn("_big", F.col("_big") | F.coalesce(too_big, F.lit(False)))
+        hit = F.when(~F.col("_big") & (F.col(f"hits_{rule.id}") > 0), replaced(F.col(out), rule))
+        df = df.withColumn(out, hit.otherwise(F.col(out)))
+    return df.withColumns(
+        {
+            out: F.when(F.col("_big"), F.col(text)).otherwise(F.col(out)),
+            "status": F.when(F.col("_big"), "too_large").otherwise("ok"),
+            **{f"hits_{r.id}": F.when(~F.col("_big"), F.col(f"hits_{r.id}")) for r in active},
+        }
+    ).drop("_limit", "_big")
+
+
+def report(applied: DataFrame, rules: list[Rule], by: str) -> DataFrame:
+    """Hits and texts hit per rule and ``by``, with totals per rule where ``by`` is NULL.
+
+    The counters are summed side by side, so each text sends one row of sums per task at most.
+    """
+    active = [r for r in rules if r.enabled]
+    sums = []
+    for r in active:
+        sums += [F.sum(f"hits_{r.id}").alias(f"h_{r.id}"), F.count_if(F.col(f"hits_{r.id}") > 0).alias(f"d_{r.id}")]
+    totals = applied.groupBy(by).agg(*sums)
+    per_rule = F.array(
+        *[
+            F.struct(F.lit(r.id).alias("rule_id"), F.col(f"h_{r.id}").alias("hits"), F.col(f"d_{r.id}").alias("docs_hit"))
+            for r in active
+        ]
+    )
+    long = totals.select(by, F.explode(per_rule).alias("x")).select(by, "x.*")
+    return long.rollup("rule_id", by).agg(F.sum("hits").alias("hits"), F.sum("docs_hit").alias("docs_hit")).where(
+        F.col("rule_id").isNotNull()
+    )
