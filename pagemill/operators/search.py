@@ -74,25 +74,28 @@ def all_sources(results: DataFrame, fetch_log: DataFrame) -> tuple[DataFrame, Da
 def variants(results: DataFrame, order: list[str], key: str = "group_key") -> DataFrame:
     """One row per (group, source, address): its first sighting. Copies are combined before the shuffle."""
     fields = [c for c in results.columns if c not in VARIANT + [key]]
-    first = F.struct(*order)
+    rest = [c for c in fields if c not in order]
     return (
         results.groupBy(key, *VARIANT)
-        .agg(F.min(first).alias("first_seen"), F.min_by(F.struct(*fields), first).alias("r"))
-        .select(key, *VARIANT, "first_seen", *[F.col(f"r.{c}").alias(c) for c in fields])
+        .agg(F.min(F.struct(F.struct(*order).alias("first_seen"), *rest)).alias("r"))
+        .select(key, *VARIANT, "r.first_seen", *[F.col(f"r.first_seen.{c}" if c in order else f"r.{c}").alias(c) for c in fields])
     )
 
 
 def group_variants(found: DataFrame, key: str = "group_key") -> DataFrame:
     """One row per group: the variant seen first stands for it, with the number of variants."""
+    order = found.schema["first_seen"].dataType.names
     fields = [c for c in found.columns if c not in (key, "first_seen")]
+    rest = [c for c in fields if c not in order]
     return (
         found.groupBy(key)
-        .agg(
-            F.min("first_seen").alias("first_seen"),
-            F.min_by(F.struct(*fields), F.col("first_seen")).alias("r"),
-            F.count("*").alias("n_alternatives"),
+        .agg(F.min(F.struct("first_seen", *rest)).alias("r"), F.count("*").alias("n_alternatives"))
+        .select(
+            key,
+            "r.first_seen",
+            *[F.col(f"r.first_seen.{c}" if c in order else f"r.{c}").alias(c) for c in fields],
+            "n_alternatives",
         )
-        .select(key, "first_seen", *[F.col(f"r.{c}").alias(c) for c in fields], "n_alternatives")
     )
 
 

@@ -210,12 +210,17 @@ def by_headings(text: Column, kept: Column) -> Column:
     return F.flatten(F.transform(sections, lambda s: _parts(text, s)))
 
 
-def heading_points(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``points`` (all headings), ``toc_run`` and ``kept`` (after dropping a leading contents list)."""
-    out = df.withColumn("points", points(F.col(text)))
-    out = out.withColumn("toc_run", toc_run(F.col("points"), F.length(text)))
-    kept = F.slice("points", F.col("toc_run") + 1, F.size("points"))
-    return out.withColumn("kept", F.when(F.col("toc_run") >= TOC_MIN_RUN, kept).otherwise(F.col("points")))
+def outline(text: Column) -> Column:
+    """STRUCT<points, toc_run, kept>: all headings, and those left without a leading contents list."""
+
+    def judge(found: Column) -> Column:
+        def cut(run: Column) -> Column:
+            kept = F.when(run >= TOC_MIN_RUN, F.slice(found, run + 1, F.size(found))).otherwise(found)
+            return F.struct(found.alias("points"), run.alias("toc_run"), kept.alias("kept"))
+
+        return let(toc_run(found, F.length(text)), cut)
+
+    return let(points(text), judge)
 
 
 def unreliable(kept: Column, length: Column) -> Column:
@@ -224,6 +229,17 @@ def unreliable(kept: Column, length: Column) -> Column:
     return (F.size(kept) == 0) | ((F.size(kept) == 1) & deep)
 
 
+def sections_of(text: Column) -> Column:
+    """STRUCT<split_method, sections> of one normalized text."""
+
+    def divide(kept: Column) -> Column:
+        by_len = F.struct(F.lit("length").alias("split_method"), by_length(text).alias("sections"))
+        by_head = F.struct(F.lit("headings").alias("split_method"), by_headings(text, kept).alias("sections"))
+        return F.when(unreliable(kept, F.length(text)), by_len).otherwise(by_head)
+
+    return let(outline(text)["kept"], divide)
+
+
 def segment(df: DataFrame, text: str = "text", mode: str = "auto") -> DataFrame:
     """Add ``split_method`` and ``sections`` ARRAY<STRUCT<title, start, end>>; blank texts are left out.
 
@@ -232,19 +248,19 @@ def segment(df: DataFrame, text: str = "text", mode: str = "auto") -> DataFrame:
     out = df.withColumn(text, normalize_newlines(F.col(text))).where(js_trim(F.col(text)) != "")
     if mode == "length":
         return out.withColumns({"split_method": F.lit("length"), "sections": by_length(F.col(text))})
-    out = heading_points(out, text)
-    out = out.withColumn("split_method", F.when(unreliable(F.col("kept"), F.length(text)), "length").otherwise("headings"))
-    sections = F.when(F.col("split_method") == "headings", by_headings(F.col(text), F.col("kept"))).otherwise(
-        by_length(F.col(text))
-    )
-    return out.withColumn("sections", sections).drop("points", "toc_run", "kept")
+    kept = [c for c in out.columns if c not in ("split_method", "sections")]
+    return out.withColumn("_seg", sections_of(F.col(text))).select(*kept, "_seg.split_method", "_seg.sections")
 
 
 def section_rows(segmented: DataFrame, keys: list[str], text: str = "text", with_text: bool = True) -> DataFrame:
-    """One row per section, numbered from 0, with its text unless told otherwise."""
-    rows = segmented.select(*keys, "split_method", text, F.posexplode("sections").alias("idx", "s"))
+    """One row per section, numbered from 0, with its text unless told otherwise.
+
+    The outer form of the unfold keeps the optimizer from testing the array's size beforehand, which
+    would segment every text a second time.
+    """
+    rows = segmented.select(*keys, "split_method", text, F.posexplode_outer("sections").alias("idx", "s"))
     body = [F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("section_text")]
-    return rows.select(
+    return rows.where(F.col("idx").isNotNull()).select(
         *keys,
         "split_method",
         "idx",

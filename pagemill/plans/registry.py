@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalog, extraction, reading, searching
+from . import catalog, extraction, reading, searching, segments
 
-MODULES = (catalog, extraction, searching, reading)
+MODULES = (catalog, extraction, searching, reading, segments)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}

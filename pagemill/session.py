@@ -20,6 +20,8 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Looking up the call site of every Column call costs seconds on long expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Page rows grow about tenfold when shredded, so keep the Arrow batches small.
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
         **conf,
