@@ -1,0 +1,135 @@
+"""Stream transformations, and jobs that run them to the end of what has landed."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import search as se
+from ..operators.ordered import running_max
+from ..operators.purify import Rule, apply_rules
+from ..operators.shelf import clamp
+from .state import MergedTable
+
+# Fixed value: how long a name must be quiet before its last write counts.
+QUIET = "500 milliseconds"
+
+
+# --- transformations -------------------------------------------------------------------------
+
+
+def latest_progress(events: DataFrame) -> DataFrame:
+    """Latest position per book, for update mode. Rows are combined per task before the shuffle."""
+    last = F.max(F.struct("ts", "seq", "chapter_index", "scroll_ratio"))
+    return events.groupBy("book_id").agg(last.alias("r")).select(
+        "book_id", "r.ts", "r.seq", "r.chapter_index", clamp(F.col("r.scroll_ratio")).alias("scroll_ratio")
+    )
+
+
+def debounce(events: DataFrame, late: str = "1 second", quiet: str = QUIET) -> DataFrame:
+    """The last write of each burst per name; a burst ends when nothing comes for ``quiet``."""
+    return (
+        events.withWatermark("ts", late)
+        .groupBy("name", F.session_window("ts", quiet).alias("burst"))
+        .agg(F.max(F.struct("ts", "seq")).alias("r"), F.count("*").alias("n_writes"))
+        .select("name", "r.ts", "r.seq", "n_writes")
+    )
+
+
+def skip_stored(wanted: DataFrame, store: DataFrame, late: str = "30 days") -> DataFrame:
+    """Chapters still to fetch, each asked for once. ``wanted`` has book_id, url and ts."""
+    have = store.select("book_id", F.col("chapter_url").alias("url"))
+    pending = wanted.withWatermark("ts", late).join(have, ["book_id", "url"], "left_anti")
+    return pending.dropDuplicatesWithinWatermark(["book_id", "url"])
+
+
+def purify_stream(texts: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rules on each arriving text; stateless."""
+    return apply_rules(texts, rules)
+
+
+# --- jobs ------------------------------------------------------------------------------------
+
+
+def run_to_files(stream: DataFrame, path: str) -> None:
+    """Append the stream's rows under ``path`` until everything that has landed is processed."""
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", f"{path}/data")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def run_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    query = (
+        stream.writeStream.foreachBatch(each)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .outputMode(mode)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def read_appended(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/data")
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("book_id").agg(F.max(F.struct("ts", "seq", "chapter_index", "scroll_ratio")).alias("r")).select(
+        "book_id", "r.*"
+    )
+
+
+def keep_latest_progress(events: DataFrame, path: str) -> MergedTable:
+    """Fold the updates of each micro-batch into a table of current positions."""
+    table = MergedTable(events.sparkSession, f"{path}/state", _newest)
+    run_batches(latest_progress(events), path, lambda rows, i: table.add(i, rows), mode="update")
+    return table
+
+
+def drop_stale(responses: DataFrame, path: str) -> None:
+    """Keep a response only if no newer request was seen before it, per key.
+
+    ``responses`` has key, ord (arrival, increasing over micro-batches) and seq (the request it
+    answers). The running maximum is taken in bounded chunks of the arrival order, so a key with a
+    large share of a batch is spread over tasks; between batches one maximum per key is kept.
+    """
+    tops = MergedTable(
+        responses.sparkSession, f"{path}/state", lambda df: df.groupBy("key").agg(F.max("seq").alias("seq"))
+    )
+
+    def each(rows: DataFrame, i: int) -> None:
+        rows = rows.persist()
+        seen = running_max(rows, ["key"], "ord", "seq", "_top")
+        before = tops.before(i)
+        if before is not None:
+            seen = seen.join(before.select("key", F.col("seq").alias("_before")), "key", "left")
+            seen = seen.withColumn("_top", F.greatest("_top", "_before")).drop("_before")
+        seen.where(F.col("seq") == F.col("_top")).drop("_top").write.mode("overwrite").parquet(f"{path}/data/batch={i}")
+        tops.add(i, rows.select("key", "seq"))
+        rows.unpersist()
+
+    run_batches(responses, path, each)
+
+
+def group_results(results: DataFrame, path: str, order: list[str]) -> MergedTable:
+    """Keep the variants of all results seen so far; :func:`se.group_variants` of it gives the groups.
+
+    ``results`` rows carry group_key, source_url, book_url and the ``order`` columns.
+    """
+
+    def merge(df: DataFrame) -> DataFrame:
+        fields = [c for c in df.columns if c not in ("group_key", "source_url", "book_url", "first_seen")]
+        raw = df.select("group_key", "source_url", "book_url", *fields)
+        return se.variants(raw, order)
+
+    table = MergedTable(results.sparkSession, f"{path}/state", merge)
+    run_batches(results, path, lambda rows, i: table.add(i, rows))
+    return table

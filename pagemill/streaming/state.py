@@ -1,0 +1,48 @@
+"""A keyed table that micro-batches merge into, kept in the shared folder."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+COMPACT_EVERY = 16
+
+
+class MergedTable:
+    """One row per key; each micro-batch only writes the rows it touched.
+
+    ``merge`` reduces a union of such rows to one row per key, and must not care about order or
+    repeats. A batch that is run again overwrites its own folder, so a restart changes nothing. Every
+    16 batches the changes are folded into a new base, so a read opens at most 17 folders.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, merge: Callable[[DataFrame], DataFrame]) -> None:
+        self.spark, self.path, self.merge = spark, path, merge
+
+    def _stored(self, kind: str) -> list[int]:
+        """Batch numbers stored as ``kind``; a handful of folder names."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(folder):
+            return []
+        names = [s.getPath().getName() for s in fs.listStatus(folder)]
+        return sorted(int(n.split("-")[1]) for n in names if n.startswith(kind + "-"))
+
+    def _read(self, names: list[str]) -> DataFrame | None:
+        paths = [f"{self.path}/{n}" for n in names]
+        return self.merge(self.spark.read.parquet(*paths)) if paths else None
+
+    def before(self, batch: int) -> DataFrame | None:
+        """The table as all batches before ``batch`` left it; None if there is nothing yet."""
+        base = max((i for i in self._stored("base") if i < batch), default=-1)
+        deltas = [i for i in self._stored("delta") if base < i < batch]
+        return self._read(([f"base-{base}"] if base >= 0 else []) + [f"delta-{i}" for i in deltas])
+
+    def current(self) -> DataFrame | None:
+        return self.before(max(self._stored("delta"), default=-1) + 1)
+
+    def add(self, batch: int, rows: DataFrame) -> None:
+        self.merge(rows).write.mode("overwrite").parquet(f"{self.path}/delta-{batch}")
+        if batch and batch % COMPACT_EVERY == 0:
+            self.before(batch + 1).write.mode("overwrite").parquet(f"{self.path}/base-{batch}")
