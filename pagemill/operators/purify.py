@@ -108,11 +108,10 @@ def load_rules(rules: DataFrame) -> DataFrame:
 
 def recovered(rules: DataFrame) -> DataFrame:
     """One row: how many rules were given, how many are used, and whether some were dropped."""
-    used = load_rules(rules).agg(F.count("*").alias("used"))
-    total = rules.agg(F.count("*").alias("given"))
-    return total.withColumn("_k", F.lit(1)).join(used.withColumn("_k", F.lit(1)), "_k").select(
-        "given", "used", (F.col("given") != F.col("used")).alias("recovered")
-    )
+    given = rules.agg(F.count("*").alias("given"), F.lit(0).alias("used"))
+    used = load_rules(rules).agg(F.lit(0).alias("given"), F.count("*").alias("used"))
+    both = given.unionByName(used).agg(F.sum("given").alias("given"), F.sum("used").alias("used"))
+    return both.withColumn("recovered", F.col("given") != F.col("used"))
 
 
 def collect_rules(rules: DataFrame) -> list[Rule]:
@@ -156,14 +155,18 @@ def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text", out: str =
         {out: F.regexp_replace(F.col(text), "\r\n?", "\n"), "_limit": limit, "_big": F.lit(False)}
     )
     active = [r for r in rules if r.enabled]
+    guarded = any(r.can_grow for r in active)
     for rule in active:
-        df = df.withColumn(f"hits_{rule.id}", F.when(~F.col("_big"), hits(F.col(out), rule)))
+        name, text_now = f"hits_{rule.id}", F.col(out)
+        if not guarded:
+            df = df.withColumns({name: hits(text_now, rule), out: replaced(text_now, rule)})
+            continue
+        df = df.withColumn(name, F.when(~F.col("_big"), hits(text_now, rule)))
+        n = F.col(name)
         if rule.can_grow:
-            n = F.col(f"hits_{rule.id}")
-            too_big = (n > 0) & (size_after(F.col(out), n, rule) > F.col("_limit"))
+            too_big = (n > 0) & (size_after(text_now, n, rule) > F.col("_limit"))
             df = df.withColumn("_big", F.col("_big") | F.coalesce(too_big, F.lit(False)))
-        hit = F.when(~F.col("_big") & (F.col(f"hits_{rule.id}") > 0), replaced(F.col(out), rule))
-        df = df.withColumn(out, hit.otherwise(F.col(out)))
+        df = df.withColumn(out, F.when(~F.col("_big") & (n > 0), replaced(text_now, rule)).otherwise(text_now))
     return df.withColumns(
         {
             out: F.when(F.col("_big"), F.col(text)).otherwise(F.col(out)),

@@ -62,10 +62,11 @@ def all_sources(results: DataFrame, fetch_log: DataFrame) -> tuple[DataFrame, Da
     """(results of the sources that answered, one report row per source)."""
     ok = F.col("error").isNull()
     rows = results.join(fetch_log.where(ok).select("source_url"), "source_url", "left_semi")
-    counts = rows.groupBy("source_url").agg(F.count("*").alias("n"))
+    # Counted before the join, so a source with very many results sends one row per task.
+    counts = results.groupBy("source_url").agg(F.count("*").alias("n"))
     report = fetch_log.join(counts, "source_url", "left").select(
         "source_url",
-        F.coalesce("n", F.lit(0)).alias("n_results"),
+        F.when(ok, F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("n_results"),
         F.when(~ok, F.concat("source_name", F.lit("："), "error")).alias("failure"),
     )
     return rows, report

@@ -39,14 +39,15 @@ def _one_line(pattern: str) -> str:
 
 
 def heading_regex(*kinds: str, limited: bool = True) -> str:
-    """A Java regex (after the flags ``(?md)``) for a whole heading line."""
+    """A Java regex for a whole heading line, to be tried at a line's start."""
     blank = f"[{WS_INLINE}]*"
-    limit = rf"(?=[^{WS}](?:[^\n]{{0,{TITLE_LIMIT - 2}}}[^{WS}])?{blank}$)" if limited else ""
-    return f"^{blank}+{limit}(?:{'|'.join(_one_line(k) for k in kinds)}){blank}$"
+    line_end = r"(?=\n|\z)"
+    # The kinds come first: they fail at once on most lines, the length test does not.
+    limit = rf"(?=[^{WS}](?:[^\n]{{0,{TITLE_LIMIT - 2}}}[^{WS}])?{blank}{line_end})" if limited else ""
+    return f"{blank}+(?=(?:{'|'.join(_one_line(k) for k in kinds)}){blank}{line_end}){limit}"
 
 
-LINES = "(?md)"
-MAIN = LINES + heading_regex(CHAPTER, ENGLISH, limited=False)
+MAIN = rf"(?:\A|\n){heading_regex(CHAPTER, ENGLISH, limited=False)}"
 WITHOUT_VOLUMES = heading_regex(CHAPTER, ENGLISH, SPECIAL)
 WITH_VOLUMES = heading_regex(CHAPTER, ENGLISH, SPECIAL, VOLUME)
 
@@ -65,22 +66,10 @@ def line_table(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     )
 
 
-def has_main(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(MAIN))
-
-
-def pieces(text: Column) -> Column:
-    """The text cut before every heading line; volumes count only where there are no chapters."""
-    plain = F.split(text, f"{LINES}(?={WITHOUT_VOLUMES})", -1)
-    volumes = F.split(text, f"{LINES}(?={WITH_VOLUMES})", -1)
-    return F.when(has_main(text), plain).otherwise(volumes)
-
-
-def points(text: Column) -> Column:
-    """Headings as ARRAY<STRUCT<start, title, gap>>; gap is the trimmed length up to the next heading."""
-
+def _points(text: Column, heading: str) -> Column:
     def build(parts: Column) -> Column:
-        starts = prefix_sums(F.transform(parts, F.length))
+        # Each cut swallowed the line end in front of its heading.
+        starts = prefix_sums(F.transform(parts, lambda p: F.length(p) + 1))
 
         def one(p: Column, i: Column) -> Column:
             head = F.substring_index(p, "\n", 1)
@@ -89,13 +78,20 @@ def points(text: Column) -> Column:
                 F.get(starts, i).alias("start"), js_trim(head).alias("title"), F.length(js_trim(rest)).alias("gap")
             )
 
-        first_is_heading = F.get(parts, F.lit(0)).rlike(f"{LINES}\\A{WITH_VOLUMES}")
-        first_is_plain = F.get(parts, F.lit(0)).rlike(f"{LINES}\\A{WITHOUT_VOLUMES}")
-        all_points = F.transform(parts, one)
-        from_start = F.when(has_main(text), first_is_plain).otherwise(first_is_heading)
-        return F.when(from_start, all_points).otherwise(F.slice(all_points, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
+        found = F.transform(parts, one)
+        from_start = F.get(parts, F.lit(0)).rlike(rf"\A{heading}")
+        return F.when(from_start, found).otherwise(F.slice(found, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
 
-    return let(pieces(text), build)
+    return let(F.split(text, rf"\n(?={heading})", -1), build)
+
+
+def points(text: Column) -> Column:
+    """Headings as ARRAY<STRUCT<start, title, gap>>; gap is the trimmed length up to the next heading.
+
+    Volume lines count only in texts without chapter headings.
+    """
+    plain, volumes = _points(text, WITHOUT_VOLUMES), _points(text, WITH_VOLUMES)
+    return F.when(F.regexp_like(text, F.lit(MAIN)), plain).otherwise(volumes)
 
 
 def toc_run(found: Column, length: Column) -> Column:

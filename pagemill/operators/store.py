@@ -97,30 +97,27 @@ def backfill_outcome(attempts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """What each run achieved, from its ordered attempt log (run_id, ord, outcome, http_status).
 
     A run stops at a refusal (403, 429), at the third failure in a row, or when storing fails;
-    a saved or skipped chapter ends a row of failures. Runs are cut into chunks of ``ord``: the
-    failures in a row are counted per chunk, and only a chunk's open end is carried to the next.
+    a saved or skipped chapter ends a row of failures. Runs are cut into chunks of ``ord``, and every
+    step over attempts works inside one chunk. A chunk hands on how many failures it ends with, and
+    what it counted up to the first stop inside it; runs are settled from these few chunk rows.
     """
     failed = F.col("outcome") == "failed"
     reset = F.col("outcome").isin("saved", "skipped")
+    unit = ["run_id", "_chunk"]
+    inside = Window.partitionBy(*unit).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = attempts.withColumn("_chunk", F.floor(F.col("ord") / chunk))
-    inside = (
-        Window.partitionBy("run_id", "_chunk").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
     rows = rows.withColumn("_f", F.count_if(failed).over(inside))
     rows = rows.withColumn("_base", F.max(F.when(reset, F.col("_f"))).over(inside))
     rows = rows.withColumn("_row", F.col("_f") - F.coalesce("_base", F.lit(0)))
 
-    ends = rows.groupBy("run_id", "_chunk").agg(
-        F.max_by("_row", "ord").alias("_tail"), F.max("_base").isNotNull().alias("_has_reset")
-    )
+    earlier = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = Window.partitionBy("run_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(*unit).agg(F.max_by("_row", "ord").alias("_tail"), F.max("_base").isNotNull().alias("_has_reset"))
     ends = ends.withColumn("_t", F.sum("_tail").over(upto))
     ends = ends.withColumn("_cut", F.when(F.col("_has_reset"), F.col("_t") - F.col("_tail")))
-    carry = F.coalesce(F.max("_t").over(prior), F.lit(0)) - F.coalesce(F.max("_cut").over(prior), F.lit(0))
-    ends = ends.select("run_id", "_chunk", carry.alias("_carry"))
+    carry = F.coalesce(F.max("_t").over(earlier), F.lit(0)) - F.coalesce(F.max("_cut").over(earlier), F.lit(0))
+    rows = rows.join(ends.select(*unit, carry.alias("_carry")), unit)
 
-    rows = rows.join(ends, ["run_id", "_chunk"])
     streak = F.col("_row") + F.when(F.col("_base").isNull(), F.col("_carry")).otherwise(F.lit(0))
     refused = failed & F.coalesce(F.col("http_status").isin(REFUSED), F.lit(False))
     reason = (
@@ -128,25 +125,26 @@ def backfill_outcome(attempts: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .when(refused, "refused")
         .when(failed & (streak >= MAX_STREAK), "failing")
     )
-    stops = (
-        rows.select("run_id", "ord", reason.alias("reason"))
-        .where(F.col("reason").isNotNull())
-        .groupBy("run_id")
-        .agg(F.min("ord").alias("stop_at"), F.min_by("reason", "ord").alias("reason"))
+    rows = rows.withColumn("_reason", reason)
+    stops = F.when(F.col("_reason").isNotNull(), F.col("ord"))
+    rows = rows.withColumn("_stop", F.min(stops).over(Window.partitionBy(*unit)))
+    done = F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))
+    outcomes = {"saved": F.col("outcome") == "saved", "skipped": F.col("outcome") == "skipped", "failed": failed}
+    per_chunk = rows.groupBy(*unit).agg(
+        F.count("*").alias("total"),
+        *[F.count_if(done & is_it).alias(name) for name, is_it in outcomes.items()],
+        F.min_by("_reason", stops).alias("reason"),
     )
-    done = F.col("stop_at").isNull() | (F.col("ord") <= F.col("stop_at"))
-    saved, skipped = done & (F.col("outcome") == "saved"), done & (F.col("outcome") == "skipped")
-    missed = done & failed
+    first_stop = F.min(F.when(F.col("reason").isNotNull(), F.col("_chunk"))).over(Window.partitionBy("run_id"))
+    per_chunk = per_chunk.withColumn("_last", first_stop)
+    counts = F.col("_last").isNull() | (F.col("_chunk") <= F.col("_last"))
     return (
-        attempts.join(stops, "run_id", "left")
-        .groupBy("run_id")
+        per_chunk.groupBy("run_id")
         .agg(
-            F.count("*").alias("total"),
-            F.count_if(saved | skipped | missed).alias("processed"),
-            F.count_if(saved).alias("saved"),
-            F.count_if(skipped).alias("skipped"),
-            F.count_if(missed).alias("failed"),
-            F.first("reason").alias("reason"),
+            F.sum("total").alias("total"),
+            *[F.sum(F.when(counts, F.col(name)).otherwise(F.lit(0))).alias(name) for name in outcomes],
+            F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("_chunk"))).alias("reason"),
         )
+        .withColumn("processed", F.col("saved") + F.col("skipped") + F.col("failed"))
         .withColumn("status", F.when(F.col("reason").isNull(), "completed").otherwise("error"))
     )

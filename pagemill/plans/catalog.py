@@ -84,15 +84,16 @@ def _texts_as_files(spark, sf) -> DataFrame:
 
 
 def scan_binary_text(spark, sf):
-    """Landed files: how many bytes are accepted and refused by size."""
+    """Documents landed as text files: bytes accepted and refused by size."""
     docs = tables(spark, sf, "documents")["documents"]
     path = new_table_path(spark, "landed")
     docs.select(F.col("text").alias("value")).write.text(path)
-    files = by.read_texts(spark, path)
-    good, bad = by.accept_size(files)
-    return good.agg(F.count("*").alias("n")).select(F.lit("accepted").alias("kind"), (F.col("n") > 0).alias("any_files")).unionAll(
-        bad.agg(F.count("*").alias("n")).select(F.lit("refused").alias("kind"), (F.col("n") > 0).alias("any_files"))
-    )
+    good, bad = by.accept_size(by.read_texts(spark, path))
+    sizes = [
+        df.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n_bytes")).select(F.lit(kind).alias("kind"), "n_bytes")
+        for kind, df in (("accepted", good), ("refused", bad))
+    ]
+    return sizes[0].unionByName(sizes[1])
 
 
 def scan_decode_bytes(spark, sf):
@@ -238,7 +239,7 @@ select count(*) as added, cast((select count(*) * 2 from s) - count(*) as bigint
 where coalesce(enabled, true) and source_type = 0 and search_url <> ''""",
     "src_lookup": f"""select b.id, b.source_url, s.source_name as found_name, s.source_url is null as source_missing
 from {_SHELF} b left join {_SOURCES} s on b.source_url = s.source_url""",
-    "scan_binary_text": "select 'accepted' as kind, true as any_files union all select 'refused', false",
+    "scan_binary_text": "select 'accepted' as kind, cast(sum(strlen(text) + 1) as bigint) as n_bytes from documents union all select 'refused', 0",
     "scan_decode_bytes": """select doc_id, case doc_id % 10 when 2 then 'utf-16le' when 3 then 'utf-16be' when 5 then 'gb18030' else 'utf-8' end as encoding,
  case doc_id % 10 when 4 then sha256('') when 5 then null else sha256(text) end as text_hash,
  case doc_id % 10 when 4 then 'empty' when 5 then 'undecodable' end as reason from documents""",

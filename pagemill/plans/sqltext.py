@@ -11,8 +11,8 @@ def trim(x: str) -> str:
 
 
 def unescape(x: str) -> str:
-    for name, ch in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
-        x = f"replace({x}, '{name}', '{ch}')"
+    for name, ch in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&")):
+        x = f"regexp_replace({x}, '&{name};?', '{ch}', 'g')"
     return x
 
 

@@ -66,6 +66,14 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
+# In an attribute a name without its semicolon only counts when nothing could continue it (``?a=1&copy=2``).
+ATTR_REF = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*)(?:;|(?![=A-Za-z0-9]))")
+
+
+def _attr_value(raw: str) -> str:
+    return ATTR_REF.sub(lambda m: unescape(m.group()), raw) if "&" in raw else raw
+
+
 class _Columns:
     """The node columns of one Arrow batch."""
 
@@ -172,7 +180,7 @@ def _shred(html: str, out: _Columns) -> None:
         attrs: dict[str, str] = {}
         for a in ATTR.finditer(m.group("attrs")):
             value = a.group(2) or a.group(3) or a.group(4) or ""
-            attrs.setdefault(a.group(1).lower(), unescape(value))
+            attrs.setdefault(a.group(1).lower(), _attr_value(value))
         out.add(len(out.pre) - base, parent(), tag, None, attrs, m.start(), m.end())
         if tag in VOID:
             continue
