@@ -20,7 +20,7 @@ def neighbours(df: DataFrame, keys: list[str], idx: str, columns: dict[str, tupl
     """
     reach = max(abs(o) for _, o in columns.values())
     here = F.floor(F.col(idx) / chunk)
-    copies = F.array_distinct(F.array(here, F.floor((F.col(idx) - reach) / chunk), F.floor((F.col(idx) + reach) / chunk)))
+    copies = F.sequence(F.floor((F.col(idx) - reach) / chunk), F.floor((F.col(idx) + reach) / chunk))
     spread = df.withColumn("_chunk", F.explode(copies))
     w = Window.partitionBy(*keys, "_chunk").orderBy(idx)
     out = spread

@@ -1,0 +1,194 @@
+"""Operators that cut long groups into chunks, against brute force, with tiny chunks and a hot key."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from pagemill.operators import chains, ordered, segment, store
+from pagemill.session import cut_lineage
+from pagemill.sources.sinks import read_sections, write_sections
+from pagemill.streaming import jobs
+from pagemill.streaming.state import MergedTable
+
+
+def outcome(log):
+    n = dict(saved=0, skipped=0, failed=0)
+    streak, reason = 0, None
+    for what, code in log:
+        if what == "store_error":
+            reason = "store_error"
+            break
+        n[what] += 1
+        streak = streak + 1 if what == "failed" else 0
+        if what == "failed" and code in (403, 429):
+            reason = "refused"
+        elif streak >= 3:
+            reason = "failing"
+        if reason:
+            break
+    return (len(log), n["saved"], n["skipped"], n["failed"], reason)
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 5, 1000])
+def test_backfill_outcome(spark, chunk):
+    rnd = random.Random(chunk)
+    rows, expect = [], {}
+    for run in range(60):
+        size = 300 if run == 0 else rnd.randint(1, 25)
+        ords = sorted(rnd.sample(range(size * 3), size))
+        # The hot run stops late; some runs hold long stretches of failures across chunks.
+        weights = (30, 6, 1, 0) if run == 0 else (3, 1, 4, 0.3)
+        log = []
+        for _ in ords:
+            what = rnd.choices(["saved", "skipped", "failed", "store_error"], weights)[0]
+            log.append((what, rnd.choice([500, 500, 500, 429]) if what == "failed" else None))
+        rows += [(run, o, w, c) for o, (w, c) in zip(ords, log)]
+        expect[run] = outcome(log)
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "run_id int, ord long, outcome string, http_status int")
+    got = store.backfill_outcome(df, chunk=chunk).collect()
+    assert {r.run_id: (r.total, r.saved, r.skipped, r.failed, r.reason) for r in got} == expect
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 100])
+def test_neighbours(spark, chunk):
+    rows = [(k, i, f"{k}-{i}") for k, n in ((0, 50), (1, 1), (2, 7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k int, idx int, v string")
+    out = ordered.neighbours(df, ["k"], "idx", {"prev": ("v", -1), "next": ("v", 1), "second": ("v", 2)}, chunk=chunk)
+    known = {(k, i): v for k, i, v in rows}
+    got = {(r.k, r.idx): (r.prev, r.next, r.second) for r in out.collect()}
+    assert got == {(k, i): (known.get((k, i - 1)), known.get((k, i + 1)), known.get((k, i + 2))) for k, i, _ in rows}
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1000])
+def test_running_max(spark, chunk):
+    rnd = random.Random(7)
+    rows = [(rnd.choice([0, 0, 0, 1, 2]), i, rnd.randint(0, 99)) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, o long, v int")
+    got = {r.o: r.m for r in ordered.running_max(df, ["k"], "o", "v", "m", chunk=chunk).collect()}
+    tops, expect = {}, {}
+    for k, o, v in rows:
+        tops[k] = max(v, tops.get(k, v))
+        expect[o] = tops[k]
+    assert got == expect
+
+
+def test_dense_index(spark):
+    rows = [(0, p, i) for p in (3, 1, 2) for i in range(10 * p)] + [(1, 5, 0)]
+    df = spark.createDataFrame(rows, "k int, p int, i int")
+    got = {(r.k, r.p, r.i): r.idx for r in ordered.dense_index(df, ["k"], F.col("p"), [F.col("i")]).collect()}
+    for k in (0, 1):
+        mine = sorted(x for x in rows if x[0] == k)
+        assert [got[x] for x in mine] == list(range(len(mine)))
+
+
+def test_chains(spark):
+    links = [(f"u{i}", f"u{i + 1}") for i in range(40)] + [("a", "b"), ("b", "c"), ("c", "b"), ("s", "s"), ("x", "")]
+    starts = [("long", "u0"), ("mid", "u35"), ("loop", "a"), ("self", "s"), ("none", "x"), ("gone", "nowhere")]
+    out = chains.follow(
+        spark.createDataFrame(starts, "k string, url string"), spark.createDataFrame(links, "url string, next_url string"), ["k"], 20
+    )
+    got = {}
+    for r in out.orderBy("k", "page_no").collect():
+        got.setdefault(r.k, []).append(r.url)
+    assert got == {
+        "long": [f"u{i}" for i in range(20)],
+        "mid": [f"u{i}" for i in range(35, 41)],
+        "loop": ["a", "b", "c"],
+        "self": ["s"],
+        "none": ["x"],
+        "gone": ["nowhere"],
+    }
+
+
+def cut_points(text):
+    """Brute force: every allowed place is looked at."""
+    pos, out = 0, []
+    while pos < len(text):
+        if len(text) - pos <= 8000:
+            out.append(len(text))
+            break
+        places = range(pos + 4000, pos + 8001)
+        ends = [p for p in places if text[p - 1] == "\n"]
+        stops = [p for p in places if text[p - 1] in "。！？.!?"]
+        late = [p for p in stops if p >= pos + 6000]
+        if ends:
+            cut = min(ends, key=lambda p: (abs(p - pos - 6000), -p))
+        elif stops:
+            cut = min(late) if late else max(stops)
+        else:
+            cut = pos + 6000
+        out.append(cut)
+        pos = cut
+    return out
+
+
+def test_cuts(spark):
+    rnd = random.Random(3)
+    texts = []
+    for n in (0, 1, 7999, 8000, 8001, 20000, 45000, 123456):
+        for density in (0, 1, 3, 40):
+            body = ["字"] * n
+            for _ in range(density * n // 8000):
+                body[rnd.randrange(n)] = rnd.choice("\n\n。.!")
+            texts.append("".join(body))
+    edge = ["x"] * 30000
+    edge[5998] = edge[6000] = "\n"
+    texts.append("".join(edge))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts) if t], "i int, text string")
+    for r in df.select("i", segment.cuts(F.col("text")).alias("c")).collect():
+        assert r.c == cut_points(texts[r.i]), r.i
+
+
+def test_section_rows_cover_long_texts(spark):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(12):
+        parts = [f"第{k}章 名{k}\n" + "".join(rnd.choice("文字。\n") for _ in range(rnd.choice([50, 9000, 30000]))) for k in range(1, 6)]
+        rows.append((i, "开头\n" * (i % 3) + "\n".join(parts)))
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    out = segment.section_rows(segment.segment(df), ["doc_id"]).collect()
+    for i, text in rows:
+        mine = sorted((r for r in out if r.doc_id == i), key=lambda r: r.idx)
+        assert "".join(r.section_text for r in mine) == text
+        assert all(r.end - r.start <= 20000 for r in mine)
+        assert [r.idx for r in mine] == list(range(len(mine)))
+
+
+def test_sections_sink_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(i, "第1章 a\nx\n第2章 b\ny") for i in range(30)], "doc_id int, text string")
+    write_sections(segment.section_rows(segment.segment(df), ["doc_id"]), str(tmp_path / "s"), "doc_id", buckets=4)
+    back = read_sections(spark, str(tmp_path / "s"))
+    assert back.count() == 60
+    assert back.select("book_id", "chapter_id").distinct().count() == 60
+    with pytest.raises(Exception):
+        write_sections(segment.section_rows(segment.segment(df), ["doc_id"]), str(tmp_path / "s"), "doc_id")
+
+
+def test_merged_table_compacts(spark, tmp_path):
+    table = MergedTable(spark, str(tmp_path / "t"), lambda df: df.groupBy("k").agg(F.max("v").alias("v")))
+    assert table.current() is None
+    for i in range(18):
+        table.add(i, spark.createDataFrame([(i % 3, i), (9, -i)], "k int, v int"))
+    assert {r.k: r.v for r in table.current().collect()} == {0: 15, 1: 16, 2: 17, 9: 0}
+    assert {r.k: r.v for r in table.before(2).collect()} == {0: 0, 1: 1, 9: 0}
+    table.add(17, spark.createDataFrame([(2, 17), (9, -17)], "k int, v int"))
+    assert {r.k: r.v for r in table.current().collect()} == {0: 15, 1: 16, 2: 17, 9: 0}
+
+
+def test_stale_responses_over_batches(spark, tmp_path):
+    landing, path = str(tmp_path / "in"), str(tmp_path / "out")
+    batches = [[("k", 0, 5), ("k", 1, 3), ("j", 2, 1)], [("k", 3, 4), ("k", 4, 5), ("j", 5, 1), ("j", 6, 0)], [("k", 7, 9)]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "key string, ord long, seq long")
+        df.write.mode("append").parquet(landing)
+        jobs.drop_stale(spark.readStream.schema(df.schema).parquet(landing), path)
+    kept = sorted(r.ord for r in jobs.read_appended(spark, path).collect())
+    assert kept == [0, 2, 4, 5, 7]
+
+
+def test_checkpoint_folder_is_respected(spark):
+    df = cut_lineage(spark.range(5))
+    assert df.count() == 5
+    assert spark.sparkContext.getCheckpointDir()
