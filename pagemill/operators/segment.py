@@ -124,12 +124,23 @@ def next_cut(w: Column) -> Column:
     )
 
 
-def cuts(text: Column) -> Column:
-    """End offsets of the chunks of one text.
+def blocks_of(text: Column) -> Column:
+    """The text in blocks of 8000. Places deep inside a long text are then found without reading it
+    from its beginning each time."""
+    whole = F.length(text) <= MAX_CHUNK
+    return F.when(whole, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{MAX_CHUNK}}}"), F.lit(0)))
 
-    The text is first cut into blocks of 8000, so each step looks at two blocks and not at the
-    whole text again.
-    """
+
+def stretch(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from ``start`` to ``end``, read from the blocks that hold them."""
+    first = F.floor(start / MAX_CHUNK).cast("int")
+    last = F.floor((end - 1) / MAX_CHUNK).cast("int")
+    joined = F.array_join(F.slice(blocks, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    return F.substring(joined, start - first * MAX_CHUNK + 1, end - start)
+
+
+def cuts(text: Column) -> Column:
+    """End offsets of the chunks of one text; each step looks at two blocks."""
     n = F.length(text)
 
     def fold(blocks: Column) -> Column:
@@ -149,11 +160,10 @@ def cuts(text: Column) -> Column:
         rounds = F.sequence(F.lit(1), F.ceil(n / MIN_CHUNK).cast("int"))
         return F.aggregate(rounds, zero, step)["cuts"]
 
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{MAX_CHUNK}}}"), F.lit(0))
-    return F.when(n <= MAX_CHUNK, F.array(n)).otherwise(let(blocks, fold))
+    return F.when(n <= MAX_CHUNK, F.array(n)).otherwise(let(blocks_of(text), fold))
 
 
-def _parts(text: Column, section: Column) -> Column:
+def _parts(blocks: Column, section: Column) -> Column:
     """A section as it is, or when too long as numbered chunks."""
     start, end, title = section["start"], section["end"], section["title"]
 
@@ -167,7 +177,7 @@ def _parts(text: Column, section: Column) -> Column:
             ),
         )
 
-    long_form = let(cuts(F.substring(text, start + 1, end - start)), number)
+    long_form = let(let(stretch(blocks, start, end), cuts), number)
     return F.when(end - start > MAX_SECTION, long_form).otherwise(F.array(section))
 
 
@@ -203,7 +213,7 @@ def by_headings(text: Column, kept: Column) -> Column:
         ),
     )
     sections = F.when(has_front, F.concat(F.array(front), own)).otherwise(own)
-    return F.flatten(F.transform(sections, lambda s: _parts(text, s)))
+    return let(blocks_of(text), lambda b: F.flatten(F.transform(sections, lambda s: _parts(b, s))))
 
 
 def outline(text: Column) -> Column:
@@ -251,20 +261,19 @@ def segment(df: DataFrame, text: str = "text", mode: str = "auto") -> DataFrame:
 def section_rows(segmented: DataFrame, keys: list[str], text: str = "text", with_text: bool = True) -> DataFrame:
     """One row per section, numbered from 0, with its text unless told otherwise.
 
-    The outer form of the unfold keeps the optimizer from testing the array's size beforehand, which
-    would segment every text a second time.
+    The rows are built inside the text's row and then unfolded, so the text is not copied once per
+    section.
     """
-    rows = segmented.select(*keys, "split_method", text, F.posexplode_outer("sections").alias("idx", "s"))
-    body = [F.substring(F.col(text), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("section_text")]
-    return rows.where(F.col("idx").isNotNull()).select(
-        *keys,
-        "split_method",
-        "idx",
-        F.col("s.title").alias("title"),
-        F.col("s.start").alias("start"),
-        F.col("s.end").alias("end"),
-        *(body if with_text else []),
-    )
+
+    def rows(blocks: Column | None) -> Column:
+        def one(s: Column, i: Column) -> Column:
+            body = [] if blocks is None else [stretch(blocks, s["start"], s["end"]).alias("section_text")]
+            return F.struct(i.alias("idx"), s["title"].alias("title"), s["start"].alias("start"), s["end"].alias("end"), *body)
+
+        return F.transform("sections", one)
+
+    unfolded = let(blocks_of(F.col(text)), rows) if with_text else rows(None)
+    return segmented.select(*keys, "split_method", F.inline(unfolded))
 
 
 def chapter_id(idx: Column) -> Column:

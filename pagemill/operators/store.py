@@ -101,11 +101,18 @@ def backfill_outcome(attempts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     step over attempts works inside one chunk. A chunk hands on how many failures it ends with, and
     what it counted up to the first stop inside it; runs are settled from these few chunk rows.
     """
-    failed = F.col("outcome") == "failed"
-    reset = F.col("outcome").isin("saved", "skipped")
+    refusal = (F.col("outcome") == "failed") & F.coalesce(F.col("http_status").isin(REFUSED), F.lit(False))
+    # One column says all, so both passes below share a shuffle.
+    rows = attempts.select(
+        "run_id",
+        "ord",
+        F.when(refusal, "refused").otherwise(F.col("outcome")).alias("_what"),
+        F.floor(F.col("ord") / chunk).alias("_chunk"),
+    )
+    failed = F.col("_what").isin("failed", "refused")
+    reset = F.col("_what").isin("saved", "skipped")
     unit = ["run_id", "_chunk"]
     inside = Window.partitionBy(*unit).orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = attempts.withColumn("_chunk", F.floor(F.col("ord") / chunk))
     rows = rows.withColumn("_f", F.count_if(failed).over(inside))
     rows = rows.withColumn("_base", F.max(F.when(reset, F.col("_f"))).over(inside))
     rows = rows.withColumn("_row", F.col("_f") - F.coalesce("_base", F.lit(0)))
@@ -119,17 +126,14 @@ def backfill_outcome(attempts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     rows = rows.join(ends.select(*unit, carry.alias("_carry")), unit)
 
     streak = F.col("_row") + F.when(F.col("_base").isNull(), F.col("_carry")).otherwise(F.lit(0))
-    refused = failed & F.coalesce(F.col("http_status").isin(REFUSED), F.lit(False))
-    reason = (
-        F.when(F.col("outcome") == "store_error", "store_error")
-        .when(refused, "refused")
-        .when(failed & (streak >= MAX_STREAK), "failing")
+    reason = F.when(F.col("_what").isin("store_error", "refused"), F.col("_what")).when(
+        failed & (streak >= MAX_STREAK), "failing"
     )
     rows = rows.withColumn("_reason", reason)
     stops = F.when(F.col("_reason").isNotNull(), F.col("ord"))
     rows = rows.withColumn("_stop", F.min(stops).over(Window.partitionBy(*unit)))
     done = F.col("_stop").isNull() | (F.col("ord") <= F.col("_stop"))
-    outcomes = {"saved": F.col("outcome") == "saved", "skipped": F.col("outcome") == "skipped", "failed": failed}
+    outcomes = {"saved": F.col("_what") == "saved", "skipped": F.col("_what") == "skipped", "failed": failed}
     per_chunk = rows.groupBy(*unit).agg(
         F.count("*").alias("total"),
         *[F.count_if(done & is_it).alias(name) for name, is_it in outcomes.items()],

@@ -66,11 +66,9 @@ def toc_items(pages: DataFrame, keys: list[str], items: Column, title: Field, hr
 
 def toc_from_items(items: DataFrame, keys: list[str]) -> DataFrame:
     """One chapter per address, the first one over all pages, numbered from 0."""
-    at = F.struct("page_no", "ord")
+    # One struct per address, so both passes of the numbering share this shuffle.
     firsts = (
-        items.groupBy(*keys, "url")
-        .agg(F.min(at).alias("at"), F.min_by("title", at).alias("title"))
-        .select(*keys, "title", "url", "at.page_no", "at.ord")
+        items.groupBy(*keys, "url").agg(F.min(F.struct("page_no", "ord", "title")).alias("r")).select(*keys, "url", "r.*")
     )
     return dense_index(firsts, keys, F.col("page_no"), [F.col("ord")]).drop("page_no", "ord")
 
