@@ -34,7 +34,8 @@ def stitch(starts: DataFrame, pages: DataFrame, keys: list[str]) -> tuple[DataFr
     joined in once at the end. A group holds at most 10 pages.
     """
     chain = follow(starts, pages, keys, CONTENT_PAGES)
-    texts = chain.join(pages.select("url", "content").dropDuplicates(["url"]), "url", "left")
+    by_url = pages.groupBy("url").agg(F.min("content").alias("content"))
+    texts = chain.join(by_url, "url", "left")
     part = js_trim(F.coalesce("content", F.lit("")))
     whole = texts.groupBy(*keys).agg(
         F.array_join(

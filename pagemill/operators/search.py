@@ -158,12 +158,15 @@ def mark_in_shelf(results: DataFrame, shelf: DataFrame) -> DataFrame:
 
 
 def add_to_shelf(shelf: DataFrame, results: DataFrame, order: list[str], book_id: Column | None = None) -> DataFrame:
-    """New shelf rows for results that are not on it yet, everything else at its starting value."""
+    """New shelf rows for results that are not on it yet, everything else at its starting value.
+
+    The id is made from source and address, so a task that runs again gives the same one.
+    """
     fields = [c for c in ("name", "author", "cover_url", "intro", "kind", "source_name") if c in results.columns]
     firsts = results.groupBy(*VARIANT).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("r"))
     fresh = firsts.join(shelf.select(*VARIANT), VARIANT, "left_anti")
     return fresh.select(
-        (F.uuid() if book_id is None else book_id).alias("id"),
+        (F.sha2(F.concat_ws("|", *VARIANT), 256) if book_id is None else book_id).alias("id"),
         *[F.col(f"r.{c}").alias(c) for c in fields],
         *VARIANT,
         F.lit("").alias("latest_chapter"),

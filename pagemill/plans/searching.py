@@ -123,9 +123,7 @@ def search_in_shelf(spark, sf):
 
 
 def search_add_to_shelf(spark, sf):
-    fresh = se.add_to_shelf(
-        view(spark, sf, "shelf"), results(spark, sf), ORDER, F.sha2(F.concat_ws("|", "source_url", "book_url"), 256)
-    )
+    fresh = se.add_to_shelf(view(spark, sf, "shelf"), results(spark, sf), ORDER)
     return fresh.select("id", "name", "author", "kind", "source_url", "book_url", "unread_count", "chapter_index", "toc_url")
 
 

@@ -19,6 +19,10 @@ def build_session(app: str = "pagemill", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Split a skewed join partition even where that costs one more shuffle.
+        "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+        # Join the bursts of a busy name inside each task before they are shuffled.
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Looking up the call site of every Column call costs seconds on long expressions.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
