@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 65_536
+# Rows of one group that one task may hold: small enough to sort in memory, large enough that few chunks remain.
+CHUNK = 1_048_576
 
 
 def neighbours(df: DataFrame, keys: list[str], idx: str, columns: dict[str, tuple[str, int]], chunk: int = CHUNK) -> DataFrame:
