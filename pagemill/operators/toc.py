@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..functions.text import js_trim, let, nonblank
 from ..functions.urls import ABSOLUTE, resolve_url
+from ..sources.shred import shred_pages
 from .extract import Field, item_rows
 from .ordered import dense_index, neighbours
 
@@ -22,6 +23,12 @@ def info_fields(base: Column, **fields: Column) -> dict[str, Column]:
     return out
 
 
+def reparse(pages: DataFrame, init: Column, html: str = "html") -> DataFrame:
+    """Pages cut into nodes again from ``init`` where that is not blank, so later fields see only that part."""
+    chosen = pages.withColumn(html, F.coalesce(nonblank(init), F.col(html))).drop("nodes")
+    return shred_pages(chosen, html, keep_html=True)
+
+
 def info_backfill(shelf: DataFrame, info: DataFrame) -> DataFrame:
     """Take the new toc address whenever there is one; cover and intro only where the book has none."""
     new = info.select("id", *[F.col(c).alias(f"_{c}") for c in ("toc_url", "cover_url", "intro")])

@@ -59,6 +59,18 @@ def info_extract(spark, sf):
     return shredded(spark, sf).select("page_id", *[c.alias(n) for n, c in fields.items()])
 
 
+def info_init(spark, sf):
+    """Fields read only from the part of the page that an init value picked out."""
+    article = dom.first(dom.select(nodes(), Step(tag="article")))
+    inside = tc.reparse(shredded(spark, sf, keep_html=True), dom.inner_html(F.col("html"), nodes(), article))
+    return inside.select(
+        "page_id",
+        dom.text(nodes(), dom.first(dom.select(nodes(), Step(tag="h1")))).alias("name"),
+        F.size(dom.select(nodes(), Step(tag="p"))).cast("bigint").alias("n_paragraphs"),
+        F.size(dom.select(nodes(), Step(tag="a"))).cast("bigint").alias("n_links"),
+    )
+
+
 def _book_shelf(spark, sf):
     return view(spark, sf, "shelf").select(
         "id",
@@ -188,6 +200,7 @@ def content_drop_title_line(spark, sf):
 
 QUERIES = {
     "info_extract": info_extract,
+    "info_init": info_init,
     "info_backfill": info_backfill,
     "toc_extract": toc_extract,
     "toc_link_fallback": toc_link_fallback,
@@ -217,6 +230,8 @@ ORACLES = {
     "info_extract": f"""select page_id, {q.plain(q.H1)} as name, cast(null as varchar) as author,
  {q.plain("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} as intro, cast(null as varchar) as cover_url,
  {q.root_link("regexp_extract(html, '<a href=\"([^\"]*)\"', 1)", 'url')} as toc_url from pages""",
+    "info_init": f"""select page_id, {q.plain(q.H1)} as name, cast(len(string_split({q.ARTICLE}, '<p>')) - 1 as bigint) as n_paragraphs,
+ cast(0 as bigint) as n_links from pages""",
     "info_backfill": f"""select b.id, source_url, book_url,
  case when b.author like '%1' and s.s_suppkey is not null then concat('c', s_suppkey) when b.author like '%1' then '' else 'old-cover' end as cover_url,
  case when b.author like '%2' and s.s_suppkey is not null then concat('i', s_suppkey) when b.author like '%2' then '' else 'old-intro' end as intro,

@@ -240,7 +240,7 @@ select l.book_id, cast(coalesce(t.idx, least(chapter_index, n - 1), chapter_inde
 from l left join z on z.book_id = l.book_id left join t on t.book_id = l.book_id and t.url = concat('https://c.example/', l.book_id, '/', chapter_index)""",
     "title_unique_match": f"""with {_SINGLE}, t as {_TOC} select t.book_id, t.idx as old_idx, coalesce(k.idx, -1) as match_idx
 from t left join k on k.book_id = t.book_id and t.idx % 6 <> 5 and k.key = {_key('t.title')}""",
-    "switch_plan": f"with {_PLAN} select book_id, target_idx, how, auto_commit from p",
+    "switch_plan": f"with {_PLAN} select book_id, cast(target_idx as bigint) as target_idx, how, auto_commit from p",
     "switch_apply": f"""with {_PLAN}, j as (select a.book_id as id, start, p.*, auto_commit and a.book_id % 6 <> 4 as go,
  (select arg_max(title, idx) from n where n.book_id = a.book_id) as latest,
  (select url from n where n.book_id = a.book_id and n.idx = target_idx) as url from a join p on a.book_id = p.book_id)

@@ -56,11 +56,12 @@ ENDS = {
     "option": (("option",), ("select",)),
 }
 
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT}
 ROWS_OUT = 256
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
     re.S,
 )
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -75,68 +76,46 @@ def _attr_value(raw: str) -> str:
 
 
 class _Columns:
-    """The node columns of one Arrow batch."""
+    """The nodes of one Arrow batch: a short list per node, turned into columns at the end."""
 
     def __init__(self) -> None:
-        self.pre, self.fin, self.parent, self.tag = [], [], [], []
-        self.cls, self.text, self.brk = [], [], []
-        self.o1, self.i1, self.i2, self.o2 = [], [], [], []
-        self.attr_at, self.attr_key, self.attr_val = [0], [], []
+        self.nodes: list[list] = []
+        self.attrs: list[tuple[str, str]] = []
         self.page_at = [0]
 
-    def add(self, pre, parent, tag, text, attrs, start, inner) -> None:
-        self.pre.append(pre)
-        self.fin.append(pre)
-        self.parent.append(parent)
-        self.tag.append(tag)
-        self.text.append(text)
-        self.brk.append(tag == "br")
-        self.o1.append(start)
-        self.i1.append(inner)
-        self.i2.append(inner)
-        self.o2.append(inner)
-        self.cls.append(" " + " ".join(attrs["class"].split()) + " " if "class" in attrs else None)
-        self.attr_key.extend(attrs.keys())
-        self.attr_val.extend(attrs.values())
-        self.attr_at.append(len(self.attr_key))
-
     def arrow(self) -> pa.ListArray:
         i32, utf8 = pa.int32(), pa.string()
-        attrs = pa.MapArray.from_arrays(
-            pa.array(self.attr_at, i32), pa.array(self.attr_key, utf8), pa.array(self.attr_val, utf8)
+        types = [i32, i32, i32, utf8, utf8, i32, utf8, pa.bool_(), i32, i32, i32, i32]
+        columns = list(zip(*self.nodes)) or [()] * len(types)
+        parts = [pa.array(c, t) for c, t in zip(columns, types)]
+        attr_at = pa.array([*columns[5], len(self.attrs)], i32)
+        parts[5] = pa.MapArray.from_arrays(
+            attr_at, pa.array([k for k, _ in self.attrs], utf8), pa.array([v for _, v in self.attrs], utf8)
         )
-        parts = [
-            pa.array(self.pre, i32),
-            pa.array(self.fin, i32),
-            pa.array(self.parent, i32),
-            pa.array(self.tag, utf8),
-            pa.array(self.cls, utf8),
-            attrs,
-            pa.array(self.text, utf8),
-            pa.array(self.brk, pa.bool_()),
-            pa.array(self.o1, i32),
-            pa.array(self.i1, i32),
-            pa.array(self.i2, i32),
-            pa.array(self.o2, i32),
-        ]
         nodes = pa.StructArray.from_arrays(parts, names=[f.name for f in NODE.fields])
         return pa.ListArray.from_arrays(pa.array(self.page_at, i32), nodes)
 
 
+# Places in a node's list; the sixth holds where its attributes begin.
+FIN, TAG, BRK, I2, O2 = 1, 3, 7, 10, 11
+
+
 def _shred(html: str, out: _Columns) -> None:
     """Append the nodes of one page. Unclosed elements end with their parent."""
-    base, stack, at = len(out.pre), [], 0
+    nodes, all_attrs = out.nodes, out.attrs
+    base, at, size = len(nodes), 0, len(html)
+    stack: list[list] = []
 
     def close(pos: int, after: int) -> None:
-        row = stack.pop()
-        out.fin[row] = len(out.pre) - base - 1
-        out.i2[row], out.o2[row] = pos, after
-        if out.tag[row] in LINE_BLOCKS:
-            out.brk[-1] = True
+        node = stack.pop()
+        node[FIN] = len(nodes) - base - 1
+        node[I2], node[O2] = pos, after
+        if node[TAG] in LINE_BLOCKS:
+            nodes[-1][BRK] = True
 
     def end_open(names, barrier, pos: int) -> None:
         for depth in range(len(stack) - 1, -1, -1):
-            tag = out.tag[stack[depth]]
+            tag = stack[depth][TAG]
             if tag in barrier:
                 return
             if tag in names:
@@ -144,56 +123,66 @@ def _shred(html: str, out: _Columns) -> None:
                     close(pos, pos)
                 return
 
-    def parent() -> int:
-        return out.pre[stack[-1]] if stack else -1
-
     def add_text(raw: str, pos: int, name: str = "#text") -> None:
         if raw:
+            pre = len(nodes) - base
             value = unescape(raw) if name == "#text" else raw
-            out.add(len(out.pre) - base, parent(), name, value, {}, pos, pos)
-            out.i2[-1] = out.o2[-1] = pos + len(raw)
+            up = stack[-1][0] if stack else -1
+            nodes.append([pre, pre, up, name, None, len(all_attrs), value, False, pos, pos, pos + len(raw), pos + len(raw)])
+
+    def add_element(tag: str, raw_attrs: str, start: int, inner: int) -> list:
+        pre, first = len(nodes) - base, len(all_attrs)
+        cls = None
+        if raw_attrs and not raw_attrs.isspace():
+            found: dict[str, str] = {}
+            for a in ATTR.finditer(raw_attrs):
+                found.setdefault(a.group(1).lower(), _attr_value(a.group(2) or a.group(3) or a.group(4) or ""))
+            all_attrs.extend(found.items())
+            if "class" in found:
+                cls = f" {' '.join(found['class'].split())} "
+        up = stack[-1][0] if stack else -1
+        node = [pre, pre, up, tag, cls, first, None, tag == "br", start, inner, inner, inner]
+        nodes.append(node)
+        return node
 
-    size = len(html)
     while at < size:
         m = TOKEN.search(html, at)
         if m is None:
             add_text(html[at:], at)
             break
-        add_text(html[at : m.start()], at)
+        start = m.start()
+        if start > at:
+            add_text(html[at:start], at)
         at = m.end()
-        tag = m.group("tag")
+        end, tag, raw_attrs = m.groups()
         if tag is None:
             continue
         tag = tag.lower()
-        if m.group("end"):
-            open_rows = [d for d in range(len(stack)) if out.tag[stack[d]] == tag]
-            if open_rows:
-                while len(stack) > open_rows[-1] + 1:
-                    close(m.start(), m.start())
-                close(m.start(), m.end())
+        if end:
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][TAG] == tag:
+                    while len(stack) > depth + 1:
+                        close(start, start)
+                    close(start, at)
+                    break
             continue
         if tag in CLOSES_P:
-            end_open(("p",), ("button", "td", "th"), m.start())
+            end_open(("p",), ("button", "td", "th"), start)
         if tag in ENDS:
-            names, barrier = ENDS[tag]
-            end_open(names, barrier, m.start())
-        attrs: dict[str, str] = {}
-        for a in ATTR.finditer(m.group("attrs")):
-            value = a.group(2) or a.group(3) or a.group(4) or ""
-            attrs.setdefault(a.group(1).lower(), _attr_value(value))
-        out.add(len(out.pre) - base, parent(), tag, None, attrs, m.start(), m.end())
+            end_open(*ENDS[tag], start)
+        node = add_element(tag, raw_attrs, start, at)
         if tag in VOID:
             continue
-        stack.append(len(out.pre) - 1)
+        stack.append(node)
         if tag in RAW_TEXT:
-            stop = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+            stop = RAW_END[tag].search(html, at)
             until, after = (stop.start(), stop.end()) if stop else (size, size)
             add_text(html[at:until], at, "#raw")
             close(until, after)
             at = after
     while stack:
         close(size, size)
-    out.page_at.append(len(out.pre))
+    out.page_at.append(len(nodes))
 
 
 def shred_pages(pages: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:
