@@ -13,27 +13,38 @@ TOC_PAGES = 20
 CONTENT_PAGES = 10
 
 
+HOPS = 5
+
+
 def follow(starts: DataFrame, links: DataFrame, keys: list[str], limit: int) -> DataFrame:
     """Pages reached from each start: (keys, page_no from 1, url), at most ``limit`` and none twice.
 
-    ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Every round is one
-    equi-join of the pages reached last with the links. Only chains that go on take part, each round
-    is stored in the shared folder, and the loop ends when no chain goes on.
+    ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Chains advance five
+    links per stored round: inside a round the links are shuffled once and that shuffle serves all five
+    joins. Only chains that still go on take part in the next round, and the loop ends when none does.
     """
     step = links.where(F.coalesce("next_url", F.lit("")) != "").groupBy("url").agg(F.min("next_url").alias("next_url"))
-    level = starts.select(*keys, F.lit(1).alias("page_no"), "url", F.array("url").alias("_seen"))
-    levels = [level]
-    for page_no in range(2, limit + 1):
-        onward = level.join(step, "url").where(~F.array_contains("_seen", F.col("next_url")))
-        level = cut_lineage(
-            onward.select(
+    step = cut_lineage(step).withColumnRenamed("url", "_from")
+    # What an ended chain joins on: never an address, and different per chain, so ended chains stay spread.
+    ended = F.concat(F.lit("\0"), F.xxhash64(*keys).cast("string"))
+    alive = starts.select(*keys, F.array("url").alias("_seen"), F.col("url").alias("_last"))
+    finished, left = [], limit - 1
+    while left > 0:
+        for _ in range(min(HOPS, left)):
+            onward = F.when(~F.array_contains("_seen", F.col("next_url")), F.col("next_url"))
+            alive = alive.join(step, F.col("_last") == F.col("_from"), "left").select(
                 *keys,
-                F.lit(page_no).alias("page_no"),
-                F.col("next_url").alias("url"),
-                F.array_append("_seen", F.col("next_url")).alias("_seen"),
+                F.when(onward.isNotNull(), F.array_append("_seen", onward)).otherwise(F.col("_seen")).alias("_seen"),
+                F.coalesce(onward, ended).alias("_last"),
             )
-        )
-        if level.isEmpty():
+        left -= HOPS
+        alive = cut_lineage(alive)
+        done = F.col("_last").startswith("\0")
+        finished.append(alive.where(done))
+        alive = alive.where(~done)
+        if left > 0 and alive.isEmpty():
             break
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels).drop("_seen")
+    chains = reduce(DataFrame.unionByName, finished, alive)
+    return chains.select(*keys, F.posexplode("_seen").alias("_pos", "url")).select(
+        *keys, (F.col("_pos") + 1).alias("page_no"), "url"
+    )
