@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pagemill.llm import mixing, sharding
+from pagemill.llm import mixing, packing, sharding, tokens
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_token_counts": tokens.query,
     "op3_mixing": mixing.query,
+    "op8_packing": packing.query,
 }
 ORACLES = {"op3_mixing": mixing.SQL}
