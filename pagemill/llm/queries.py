@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pagemill.llm import mixing, packing, sharding, tokens
+from pagemill.llm import mixing, packing, sharding, substrings, tokens
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_token_counts": tokens.query,
     "op3_mixing": mixing.query,
+    "op5_substring_dedup": substrings.query,
     "op8_packing": packing.query,
 }
 ORACLES = {"op3_mixing": mixing.SQL}
