@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagemill.llm import mixing, packing, sharding, substrings, tokens
+from pagemill.llm import minhash, mixing, packing, sharding, substrings, tokens
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_mixing": mixing.query,
     "op5_substring_dedup": substrings.query,
     "op8_packing": packing.query,
+    "op10_minhash": minhash.query,
 }
 ORACLES = {"op3_mixing": mixing.SQL}
