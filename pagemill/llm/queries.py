@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pagemill.llm import minhash, mixing, packing, sharding, substrings, tokens
+from pagemill.llm import lines, minhash, mixing, packing, sharding, substrings, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_token_counts": tokens.query,
     "op3_mixing": mixing.query,
     "op5_substring_dedup": substrings.query,
+    "op7_quality_rules": lines.query,
     "op8_packing": packing.query,
+    "op9_topk": topk.query,
     "op10_minhash": minhash.query,
 }
-ORACLES = {"op3_mixing": mixing.SQL}
+ORACLES = {"op3_mixing": mixing.SQL, "op9_topk": topk.SQL}
