@@ -135,8 +135,11 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 7) -> Network:
-    """Adam on balanced batches of whole documents. With one class only, the network answers with that class's share."""
+def fit(texts: list[str], labels: list[int], odds: float = 1.0, seed: int = 7) -> Network:
+    """Adam on batches of whole documents in which both classes weigh the same, then shifted to the ``odds`` of class 1.
+
+    With one class only, the network answers with that class; without labels it answers one half.
+    """
     net, rng = Network(seed), np.random.default_rng(seed)
     label = np.array(labels, float)
     if len(set(labels)) < 2:
@@ -160,11 +163,15 @@ def fit(texts: list[str], labels: list[int], seed: int = 7) -> Network:
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    net.outer_bias += np.float32(np.log(odds))
     return net
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int) -> tuple[list[str], list[int]]:
-    """Up to ``per_class`` whole labelled documents of each class, in an order given by a hash of their id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, per_class: int, most_bytes: int
+) -> tuple[list[str], list[int], float]:
+    """Up to ``per_class`` whole labelled documents of each class, in an order given by a hash of their id, and the odds
+    of class 1 among all labelled documents.
 
     Ids and sizes are ranked first, so only texts that are used come to the driver. A document labelled twice in
     different ways, or without a doc_id, is left out.
@@ -178,6 +185,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
     )
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
     known = texts.select("doc_id", "size").join(marks, "doc_id").withColumn("mark", F.xxhash64("doc_id", F.lit(7)))
+    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
+    odds = counts.get(1, 0) / max(counts.get(0, 0), 1) or 1.0
     chosen = []
     for quality in (0, 1):
         left = most_bytes
@@ -187,20 +196,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, most_byt
                 chosen.append(row["doc_id"])
     picked = texts.where(F.col("doc_id").isin(chosen)).join(marks, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "text")
     rows = picked.select("text", "quality").collect() if chosen else []
-    return [r["text"] for r in rows], [int(r["quality"]) for r in rows]
+    return [r["text"] for r in rows], [int(r["quality"]) for r in rows], odds
 
 
 def score_quality(docs: DataFrame, net: Network) -> DataFrame:
     """(doc_id, score) for each row; a null text counts as empty. Only doc_id and text are read. No shuffle."""
     keys = docs.select("doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(net)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1)):
                 rows = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), pa.array(shared.value.scores(Texts(rows.column(1))))], ["doc_id", "score"]
+                    [rows.column(0), pa.array(net.scores(Texts(rows.column(1))))], ["doc_id", "score"]
                 )
 
     return keys.mapInArrow(run, StructType([keys.schema["doc_id"], StructField("score", DoubleType())]))

@@ -112,7 +112,6 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK)
     the query's, rows without an id, and vectors that are null or hold a null or non-finite component take no part.
     Rows with the query's own id are not its candidates; other repeated rows count as often as they come.
     """
-    spark = vectors.sparkSession
     ready = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers(F.col("embedding")).alias("v")).where(
         "vec_id is not null and v is not null"
     )
@@ -129,10 +128,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, block: int = BLOCK)
         for size, own in by_size.items():
             matrix = np.array([r["v"] for r in own], np.int64).reshape(len(own), size)
             groups[size] = Queries(np.array([r["vec_id"] for r in own], np.int64), matrix, k)
-        shared = spark.sparkContext.broadcast(groups)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            groups = shared.value
+        def run(batches: Iterator[pa.RecordBatch], groups=groups) -> Iterator[pa.RecordBatch]:
             least = {size: g.least.copy() for size, g in groups.items()}
             held: dict[int, tuple[np.ndarray, ...]] = {}
             for batch in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -118,14 +120,12 @@ class WordEncoder:
         return self.ids[np.repeat(self.at[slots], sizes) + place], sizes
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of this worker process. It is kept in ``sys``, which outlives the code sent with one task."""
+    held = sys.__dict__.setdefault("_pagemill_encoders", {})
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def words_of(text: str) -> list[str]:
