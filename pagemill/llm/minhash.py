@@ -17,6 +17,8 @@ from pagemill.session import cut_lineage
 
 BANDS, ROWS = 20, 4
 """A pair at similarity 0.85 shares no band with probability (1 - 0.85**4)**20 = 4e-7."""
+BANDS_80 = 28
+"""The same for similarity 0.8: (1 - 0.8**4)**28 = 4e-7."""
 BLOCK = 512
 """Members of a bucket that one task compares with each other or with another block."""
 _SALT = 0xC2B2AE3D27D4EB4F

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pagemill.llm import lines, minhash, mixing, packing, quality, sharding, substrings, tokens, topk
+from pagemill.llm import lines, minhash, mixing, neural, packing, quality, sharding, substrings, tokens, topk
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_token_counts": tokens.query,
     "op3_mixing": mixing.query,
+    "op4_lm_scoring": neural.query,
     "op5_substring_dedup": substrings.query,
     "op6_quality": quality.query,
     "op7_quality_rules": lines.query,
