@@ -310,8 +310,9 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """``docs`` without the documents that a kept one of their component stands for."""
-    verdicts = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(cut_lineage(verdicts), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"))
+    return rows.join(cut_lineage(gone), F.col("doc.doc_id") == F.col("gone"), "left_anti").select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

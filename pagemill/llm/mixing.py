@@ -48,7 +48,8 @@ def copies(docs: DataFrame, seed: str = "mix", extra: list[str] | None = None, m
     keys = ["doc_id", "no_source", "source", "size", *(extra or [])]
     rows = cut_lineage(
         docs.select(
-            *[c for c in keys if c in docs.columns and c not in ("source", "size")],
+            "doc_id",
+            *(extra or []),
             no_source.alias("no_source"),
             F.coalesce("source", F.lit("")).alias("source"),
             F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -83,7 +84,8 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Rows that agree in doc_id, source, size and text are told apart by number; others keep their own copies.
     """
     names = docs.columns
-    chosen = copies(docs.withColumn("_hash", text_hash(F.col("text"))), seed, ["_hash"])
+    own = docs.select("doc_id", "source", "text", text_hash(F.col("text")).alias("_hash"))
+    chosen = copies(own, seed, ["_hash"])
     chosen = cut_lineage(
         chosen.where("copies > 0")
         .groupBy("doc_id", "no_source", "source", "_hash")

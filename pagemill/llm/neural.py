@@ -330,7 +330,7 @@ def score_documents(docs: DataFrame, classes: int = CLASSES, common: int = COMMO
     Words of all training texts are counted; the commonest are the network's classes, and a word outside them is
     scored by its class ``other`` times its share there, with one more place for words never seen, so probabilities
     sum to one. Counts of rare words reach the documents that hold them in a join on the word. A null or empty text
-    consists of its end. Without training texts every word is new and the score equals the base.
+    consists of its end. Without training texts every word is new and the network stays as it began.
     """
     train = docs.where(~held_out()).select("doc_id", "text")
     rare, vocab = vocabulary(train, classes, common)

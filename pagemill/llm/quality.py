@@ -32,11 +32,10 @@ class Chunks:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         sizes = np.diff(offsets)
         pad = WIDTH - 1
-        self.first = np.append(0, np.cumsum(sizes + pad))
-        self.data = np.zeros(int(self.first[-1]) + CHUNK + pad, np.uint8)
-        place = np.arange(len(data)) + np.repeat(np.arange(len(sizes)) * pad, sizes)
-        self.data[place] = data
         spots = np.maximum(sizes, 1)  # places where a filter may begin
+        self.first = np.append(0, np.cumsum(spots + pad))
+        self.data = np.zeros(int(self.first[-1]) + CHUNK + pad, np.uint8)
+        self.data[np.arange(len(data)) + np.repeat(self.first[:-1] - offsets[:-1], sizes)] = data
         self.count = np.maximum(1, -(-(spots - CHUNK) // STRIDE) + 1)
         self.row = np.repeat(np.arange(len(sizes)), self.count)
         nth = np.arange(len(self.row)) - np.repeat(np.cumsum(self.count) - self.count, self.count)

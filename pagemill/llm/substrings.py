@@ -192,17 +192,17 @@ def joined_words(words: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _apply(keyed: DataFrame, spans: DataFrame, make: Callable, fields: list[StructField], window: int) -> DataFrame:
+    """``make`` on blocks of (carried, text) with the words that stay."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in row_blocks(batch.column("text")):
+            for a, b in row_blocks(batch.column(1)):
                 rows = batch.slice(a, b - a)
-                texts = Texts(rows.column("text"))
+                texts = Texts(rows.column(1))
                 words = texts.words()
-                yield make(rows, texts, words, kept_words(words, rows.column("spans").to_pylist(), window))
+                yield make(rows, texts, words, kept_words(words, rows.column(2).to_pylist(), window))
 
-    joined = keyed.join(spans, ["k1", "k2"], "left").select(
-        *[c for c in keyed.columns if c not in ("k1", "k2")], "spans"
-    )
+    joined = keyed.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
     return joined.mapInArrow(run, StructType(fields))
 
 
@@ -220,7 +220,7 @@ def digests(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> DataFrame:
         gone = np.append(0, np.cumsum(~keep))[words.first]
         hashes = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
         return pa.RecordBatch.from_arrays(
-            [rows.column("doc_id"), pa.array(words.count), pa.array(np.diff(gone)), pa.array(hashes)],
+            [rows.column(0), pa.array(words.count), pa.array(np.diff(gone)), pa.array(hashes)],
             ["doc_id", "n_words", "n_removed", "kept_sha256"],
         )
 
@@ -240,10 +240,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> Data
     """
     _, spans = repeated(docs, window, k)
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns(
-        {"k1": F.xxhash64("doc_id", text), "k2": F.xxhash64(text, "doc_id", F.lit(1))}
+    others = [n for n in docs.columns if n != "text"]
+    keyed = docs.select(
+        F.struct(*others).alias("carried"),
+        "text",
+        F.xxhash64("doc_id", text).alias("k1"),
+        F.xxhash64(text, "doc_id", F.lit(1)).alias("k2"),
     )
-
     names = docs.columns
 
     def make(rows: pa.RecordBatch, texts: Texts, words: Words, keep: np.ndarray) -> pa.RecordBatch:
@@ -258,9 +261,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> Data
         at = np.append(0, np.cumsum(stay))[texts.offsets]
         raw = texts.data[stay].tobytes()
         out = [raw[a:b].decode() for a, b in zip(at[:-1], at[1:])]
-        valid = rows.column("text").is_valid().to_pylist()
+        valid = rows.column(1).is_valid().to_pylist()
         new = pa.array([t if ok else None for t, ok in zip(out, valid)], pa.string())
-        return pa.RecordBatch.from_arrays([new if n == "text" else rows.column(n) for n in names], names)
+        own = dict(zip(others, rows.column(0).flatten()))
+        return pa.RecordBatch.from_arrays([own.get(n, new) for n in names], names)
 
     return _apply(keyed, spans, make, docs.schema.fields, window)
 
