@@ -8,39 +8,32 @@ from pyspark.sql import functions as F
 from pagemill.session import cut_lineage
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node is tied to one smaller node, which itself is tied to none."""
+    smaller = edges.select(F.col("v").alias("u")).distinct()
+    return edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(smaller, "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``links`` (a, b); a component is named by its smallest node.
+    """(node, component) for every node of ``links`` (a, b) that is linked to another one; a component is named by its
+    smallest node.
 
     Large-star and small-star steps in turn: first every larger neighbour, then every smaller one, is tied to the
-    smallest neighbour, until nothing changes. The number of rounds grows with the logarithm of the longest path, and
-    links never become more. Links and smallest neighbours are joined by node; a node with very many links is split by
-    Spark's handling of skewed joins.
+    smallest neighbour, until only stars are left. The number of rounds grows with the logarithm of the longest path,
+    and links never become more. Smallest neighbours are stored before they are joined, so Spark can split the links of
+    a node that has very many.
     """
     edges = cut_lineage(
-        links.where("a <> b")
-        .select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u"))
-        .distinct()
+        links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
     )
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("_v")).select("u", F.least("_v", "u").alias("m")))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
+        large = cut_lineage(
+            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
-        large = cut_lineage(large)
         low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = (
-            large.join(low, "u")
-            .where("v <> m")
-            .select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
-        edges = cut_lineage(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -119,7 +119,8 @@ class Network:
         row = chunks.row
         d_hidden = d_both[row, :HIDDEN] / chunks.count[row, None]
         is_most = f["hidden"] == f["most"][row]
-        d_hidden += d_both[row, HIDDEN:] * is_most
+        ties = np.add.reduceat(is_most.astype(np.float32), np.cumsum(chunks.count) - chunks.count, axis=0)
+        d_hidden += d_both[row, HIDDEN:] * is_most / ties[row]
         d_inner_in = d_hidden * (1 - f["hidden"] ** 2)
         d_inner = f["pooled"].T @ d_inner_in
         d_top = (d_inner_in @ self.inner[:FILTERS].T) * (f["top"] > 0)

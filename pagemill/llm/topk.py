@@ -49,7 +49,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if peak < 2**62:
         return a @ b.T
     exact = a.astype(object) @ b.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    return np.clip(exact, 1 - 2**63, 2**63 - 1).astype(np.int64)
 
 
 class Queries:
