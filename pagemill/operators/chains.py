@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
+# From how many pages on a chain counts as unusually long. Longer ones are followed all the same.
 TOC_PAGES = 20
 CONTENT_PAGES = 10
 
-
 HOPS = 5
 
 
-def follow(starts: DataFrame, links: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    """Pages reached from each start: (keys, page_no from 1, url), at most ``limit`` and none twice.
+def follow(starts: DataFrame, links: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """Pages reached from each start: (keys, page_no from 1, url), none twice, at most ``limit`` if one is given.
 
     ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Chains advance five
     links per stored round: inside a round the links are shuffled once and that shuffle serves all five
@@ -28,21 +28,21 @@ def follow(starts: DataFrame, links: DataFrame, keys: list[str], limit: int) ->
     # What an ended chain joins on: never an address, and different per chain, so ended chains stay spread.
     ended = F.concat(F.lit("\0"), F.xxhash64(*keys).cast("string"))
     alive = starts.select(*keys, F.array("url").alias("_seen"), F.col("url").alias("_last"))
-    finished, left = [], limit - 1
-    while left > 0:
-        for _ in range(min(HOPS, left)):
+    finished, left = [], None if limit is None else limit - 1
+    while left is None or left > 0:
+        for _ in range(HOPS if left is None else min(HOPS, left)):
             onward = F.when(~F.array_contains("_seen", F.col("next_url")), F.col("next_url"))
             alive = alive.join(step, F.col("_last") == F.col("_from"), "left").select(
                 *keys,
                 F.when(onward.isNotNull(), F.array_append("_seen", onward)).otherwise(F.col("_seen")).alias("_seen"),
                 F.coalesce(onward, ended).alias("_last"),
             )
-        left -= HOPS
+        left = None if left is None else left - HOPS
         alive = cut_lineage(alive)
         done = F.col("_last").startswith("\0")
         finished.append(alive.where(done))
         alive = alive.where(~done)
-        if left > 0 and alive.isEmpty():
+        if (left is None or left > 0) and alive.isEmpty():
             break
     chains = reduce(DataFrame.unionByName, finished, alive)
     return chains.select(*keys, F.posexplode("_seen").alias("_pos", "url")).select(

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from urllib.parse import unquote
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dom
-from ..functions.rx import java_pattern
+from ..functions.rx import compiles, java_pattern
 from ..functions.text import clean_lines, js_trim
 from .chains import CONTENT_PAGES, follow
 
+# Fixed value.
 HAS_TAGS = r"(?is)<[a-z].*?>"
 
 
@@ -27,14 +26,18 @@ def json_text(value: Column, nodes: Column) -> Column:
     return F.when(value.rlike(HAS_TAGS), dom.html_to_text(nodes, F.lit(dom.DOCUMENT))).otherwise(value)
 
 
-def stitch(starts: DataFrame, pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(chapters joined over up to 10 pages, chapters refused because a page was blank or missing).
+def stitch(
+    starts: DataFrame, pages: DataFrame, keys: list[str], limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(chapters joined over all their pages, chapters refused because a page was blank or missing).
 
     ``pages`` has url, next_url and content. Addresses are followed without the texts; the texts are
-    joined in once at the end. A group holds at most 10 pages.
+    joined in once at the end, and only those of pages that a chapter reaches. Chapters of more than
+    CONTENT_PAGES pages are whole and marked ``many_pages``.
     """
-    chain = follow(starts, pages, keys, CONTENT_PAGES)
-    by_url = pages.groupBy("url").agg(F.min("content").alias("content"))
+    chain = follow(starts, pages.select("url", "next_url"), keys, limit)
+    reached = pages.join(chain.select("url").distinct(), "url", "left_semi")
+    by_url = reached.groupBy("url").agg(F.min("content").alias("content"))
     texts = chain.join(by_url, "url", "left")
     part = js_trim(F.coalesce("content", F.lit("")))
     whole = texts.groupBy(*keys).agg(
@@ -43,21 +46,12 @@ def stitch(starts: DataFrame, pages: DataFrame, keys: list[str]) -> tuple[DataFr
         ).alias("content"),
         F.bool_or(part == "").alias("_blank"),
         F.count("*").alias("n_pages"),
-    )
+    ).withColumn("many_pages", F.col("n_pages") > CONTENT_PAGES)
     good = whole.where(~F.col("_blank")).drop("_blank")
-    bad = whole.where(F.col("_blank")).select(*keys, F.lit("blank_page").alias("reason"), "n_pages")
+    bad = whole.where(F.col("_blank")).select(*keys, F.lit("blank_page").alias("reason"), "n_pages", "many_pages")
     return good, bad
 
 
-def compiles(spark: SparkSession, pattern: str) -> bool:
-    """Whether the JVM accepts the pattern; asked once on the driver, before any row is touched."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except (Py4JJavaError, PySparkException):
-        return False
-    return True
-
-
 def strip_pattern(spark: SparkSession, content: Column, pattern: str) -> Column:
     """Remove every match; the pattern may be percent-encoded, a bad one changes nothing."""
     try:

@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import sys
 from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rx import java_pattern
+from ..functions.rx import compiles, java_pattern
 from ..functions.text import quote_regex, quote_replacement
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-# Fixed values.
-MAX_RULES = 100
+# Fixed values. Rules beyond these sizes are reported, and applied all the same.
 MAX_FIND = 2000
 MAX_REPLACEMENT = 10_000
 OUTPUT_FLOOR, OUTPUT_FACTOR = 1_000_000, 4
@@ -40,8 +34,8 @@ class Rule:
         """The rule as a Java regex."""
         if self.mode == "text":
             return ("(?iu)" if self.ignore_case else "") + quote_regex(self.find)
-        flags = ("iu" if self.ignore_case else "") + ("m" if self.multiline else "") + ("s" if self.dot_all else "")
-        return (f"(?{flags})" if flags else "") + java_pattern(self.find, self.multiline)
+        flags = ("iu" if self.ignore_case else "") + ("s" if self.dot_all else "")
+        return (f"(?{flags})" if flags else "") + java_pattern(self.find, self.multiline, self.dot_all)
 
     @property
     def plain(self) -> bool:
@@ -53,30 +47,21 @@ class Rule:
             return len(self.replacement) > len(self.find)
         return self.replacement != ""
 
+    @property
+    def hits(self) -> str:
+        return f"hits_{self.id}"
 
-def _regex_error(find: Column, mode: Column) -> Column:
-    """Whether a regex rule cannot be compiled."""
 
-    def run(f: pd.Series, m: pd.Series) -> pd.Series:
-        try:
-            import regex as engine
-        except ImportError:
-            import re as engine
+def column(name: str) -> Column:
+    """A column by its very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-        def bad(text, kind):
-            if kind != "regex" or text is None:
-                return False
-            if "[^]" in text or "[]" in text:
-                return True
-            try:
-                engine.compile(text)
-            except engine.error:
-                return True
-            return False
 
-        return pd.Series([bad(a, b) for a, b in zip(f, m)], dtype=bool)
+def _bad_patterns(rules: DataFrame) -> list[str]:
+    """Regex rules that the JVM, which will run them, does not accept."""
 
-    return F.pandas_udf(run, "boolean")(find, mode)
+    patterns = rules.where("mode = 'regex' and find is not null").select("find", "multiline").distinct().collect()
+    return [r["find"] for r in patterns if not compiles(rules.sparkSession, java_pattern(r["find"], bool(r["multiline"])))]
 
 
 def validate(rules: DataFrame) -> DataFrame:
@@ -86,16 +71,15 @@ def validate(rules: DataFrame) -> DataFrame:
         F.when(F.length("find") == 0, "find_empty")
         .when(F.length("find") > MAX_FIND, "find_too_long")
         .when(F.length("replacement") > MAX_REPLACEMENT, "replacement_too_long")
-        .when(_regex_error(F.col("find"), F.col("mode")), "bad_regex"),
+        .when((F.col("mode") == "regex") & F.col("find").isin(_bad_patterns(rules)), "bad_regex"),
     )
 
 
 def load_rules(rules: DataFrame) -> DataFrame:
-    """Complete rules, the first per id, at most 100, in order."""
+    """Complete rules, the first per id, in order."""
     needed = ["id", "name", "enabled", "mode", "find", "replacement", "ignore_case", "multiline", "dot_all"]
     ok = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
-    ok = ok & F.col("mode").isin("text", "regex") & F.length("find").between(1, MAX_FIND)
-    ok = ok & (F.length("replacement") <= MAX_REPLACEMENT)
+    ok = ok & F.col("mode").isin("text", "regex") & (F.length("find") > 0)
     rest = [c for c in rules.columns if c not in ("id", "ord")]
     firsts = (
         rules.where(ok)
@@ -103,7 +87,7 @@ def load_rules(rules: DataFrame) -> DataFrame:
         .agg(F.min("ord").alias("ord"), F.min_by(F.struct(*rest), "ord").alias("r"))
         .select("ord", "id", *[F.col(f"r.{c}").alias(c) for c in rest])
     )
-    return firsts.orderBy("ord").limit(MAX_RULES)
+    return firsts.orderBy("ord")
 
 
 def recovered(rules: DataFrame) -> DataFrame:
@@ -115,7 +99,7 @@ def recovered(rules: DataFrame) -> DataFrame:
 
 
 def collect_rules(rules: DataFrame) -> list[Rule]:
-    """Bring the loaded rules to the driver; there are at most 100 of them."""
+    """Bring the loaded rules to the driver: they are configuration, and each becomes part of the plan."""
     fields = ["id", "find", "replacement", "mode", "name", "enabled", "ignore_case", "multiline", "dot_all"]
     return [Rule(**{f: row[f] for f in fields}) for row in load_rules(rules).collect()]
 
@@ -134,46 +118,25 @@ def replaced(text: Column, rule: Rule) -> Column:
     return F.regexp_replace(text, rule.pattern, quote_replacement(rule.replacement))
 
 
-def size_after(text: Column, n: Column, rule: Rule) -> Column:
-    """Length of the result, known before it is built."""
-    if rule.mode == "text":
-        kept = F.length(text) - n * len(rule.find)
-    else:
-        kept = F.length(F.regexp_replace(text, rule.pattern, ""))
-    return kept + n * F.lit(len(rule.replacement)).cast("long")
-
-
 def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text", out: str = "clean") -> DataFrame:
     """Add the purified text, ``hits_<id>`` per enabled rule and ``status``.
 
-    Hits are counted on the text as earlier rules left it. A text that would outgrow
-    max(1 000 000, 4 x its size) keeps its original form with status 'too_large'. Each rule is one
-    projection over the row; nothing is shuffled.
+    Hits are counted on the text as earlier rules left it. Where a text outgrows max(1 000 000, 4 x its
+    size) on the way, status says 'too_large'; it is purified all the same. A pattern that the JVM does
+    not accept changes nothing and has no hits. Each rule is one projection over the row; nothing is
+    shuffled.
     """
     limit = F.greatest(F.lit(OUTPUT_FLOOR), F.length(text) * OUTPUT_FACTOR)
-    df = df.withColumns(
-        {out: F.regexp_replace(F.col(text), "\r\n?", "\n"), "_limit": limit, "_big": F.lit(False)}
-    )
-    active = [r for r in rules if r.enabled]
-    guarded = any(r.can_grow for r in active)
-    for rule in active:
-        name, text_now = f"hits_{rule.id}", F.col(out)
-        if not guarded:
-            df = df.withColumns({name: hits(text_now, rule), out: replaced(text_now, rule)})
+    df = df.withColumns({out: F.regexp_replace(F.col(text), "\r\n?", "\n"), "_big": F.lit(False)})
+    for rule in (r for r in rules if r.enabled):
+        now = F.col(out)
+        if rule.mode == "regex" and not compiles(df.sparkSession, rule.pattern):
+            df = df.withColumn(rule.hits, F.lit(0))
             continue
-        df = df.withColumn(name, F.when(~F.col("_big"), hits(text_now, rule)))
-        n = F.col(name)
+        df = df.withColumns({rule.hits: hits(now, rule), out: replaced(now, rule)})
         if rule.can_grow:
-            too_big = (n > 0) & (size_after(text_now, n, rule) > F.col("_limit"))
-            df = df.withColumn("_big", F.col("_big") | F.coalesce(too_big, F.lit(False)))
-        df = df.withColumn(out, F.when(~F.col("_big") & (n > 0), replaced(text_now, rule)).otherwise(text_now))
-    return df.withColumns(
-        {
-            out: F.when(F.col("_big"), F.col(text)).otherwise(F.col(out)),
-            "status": F.when(F.col("_big"), "too_large").otherwise("ok"),
-            **{f"hits_{r.id}": F.when(~F.col("_big"), F.col(f"hits_{r.id}")) for r in active},
-        }
-    ).drop("_limit", "_big")
+            df = df.withColumn("_big", F.col("_big") | F.coalesce(F.length(out) > limit, F.lit(False)))
+    return df.withColumn("status", F.when(F.col("_big"), "too_large").otherwise("ok")).drop("_big")
 
 
 def report(applied: DataFrame, rules: list[Rule], by: str) -> DataFrame:
@@ -183,13 +146,13 @@ def report(applied: DataFrame, rules: list[Rule], by: str) -> DataFrame:
     """
     active = [r for r in rules if r.enabled]
     sums = []
-    for r in active:
-        sums += [F.sum(f"hits_{r.id}").alias(f"h_{r.id}"), F.count_if(F.col(f"hits_{r.id}") > 0).alias(f"d_{r.id}")]
+    for i, r in enumerate(active):
+        sums += [F.sum(column(r.hits)).alias(f"h_{i}"), F.count_if(column(r.hits) > 0).alias(f"d_{i}")]
     totals = applied.groupBy(by).agg(*sums)
     per_rule = F.array(
         *[
-            F.struct(F.lit(r.id).alias("rule_id"), F.col(f"h_{r.id}").alias("hits"), F.col(f"d_{r.id}").alias("docs_hit"))
-            for r in active
+            F.struct(F.lit(r.id).alias("rule_id"), F.col(f"h_{i}").alias("hits"), F.col(f"d_{i}").alias("docs_hit"))
+            for i, r in enumerate(active)
         ]
     )
     long = totals.select(by, F.explode(per_rule).alias("x")).select(by, "x.*")

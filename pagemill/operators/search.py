@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.text import js_trim, strip_ws
 from ..functions.urls import resolve_url
+from ..session import cut_lineage
 
 # Where JSON results usually keep their address, in order of trust.
 URL_FIELDS = [
@@ -15,19 +16,23 @@ URL_FIELDS = [
     "bookid", "bookId", "BookId", "_id", "id", "novelId",
 ]
 ID_FIELDS = ["bookid", "bookId", "id", "_id"]
-MAX_PAGES = 20
+# Fixed value: beyond so many result pages a search counts as unusually long. All of them are read all the same.
+MANY_PAGES = 20
+# Fixed value: remarks in brackets, which do not make another book.
+REMARK = r"[（(][^)）]*[)）]"
 PAGE_SIZE = 20
 VARIANT = ["source_url", "book_url"]
 
 
 def required(results: DataFrame, request_url: str = "request_url") -> DataFrame:
-    """Trim all text fields, make addresses absolute, drop rows without a name or an address."""
+    """Trim all text fields ('' where one is missing), make addresses absolute, drop rows without a name or an address."""
     base = F.col(request_url)
     text = [c for c in ("name", "author", "intro", "kind") if c in results.columns]
     urls = [c for c in ("book_url", "cover_url") if c in results.columns]
     ok = (js_trim(F.col("name")) != "") & (F.coalesce(js_trim(F.col("book_url")), F.lit("")) != "")
     return results.where(ok).withColumns(
-        {c: js_trim(F.col(c)) for c in text} | {c: resolve_url(F.col(c), base) for c in urls}
+        {c: js_trim(F.coalesce(F.col(c), F.lit(""))) for c in text}
+        | {c: resolve_url(F.coalesce(F.col(c), F.lit("")), base) for c in urls}
     )
 
 
@@ -53,9 +58,9 @@ def url_fallback(rule_url: Column, item: Column, source_url: Column) -> Column:
 
 
 def norm_key(name: Column, author: Column) -> Column:
-    """Same book, same key: white space and bracketed remarks removed from the name, case folded."""
-    bare = F.lower(F.regexp_replace(strip_ws(name), r"[（(][^)）]*[)）]", ""))
-    return F.concat(bare, F.lit("|"), F.lower(js_trim(author)))
+    """Same book, same key: white space and bracketed remarks removed from the name, case folded. Never null."""
+    bare = F.lower(F.regexp_replace(strip_ws(F.coalesce(name, F.lit(""))), REMARK, ""))
+    return F.concat(bare, F.lit("|"), F.lower(js_trim(F.coalesce(author, F.lit("")))))
 
 
 def all_sources(results: DataFrame, fetch_log: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,32 +106,41 @@ def group_variants(found: DataFrame, key: str = "group_key") -> DataFrame:
 
 
 def with_alternatives(found: DataFrame, key: str = "group_key") -> DataFrame:
-    """Flat groups: every variant, with ``is_first`` on the one that stands for its group."""
+    """Flat groups: every variant, with ``is_first`` on the one that stands for its group.
+
+    The heads are stored first: both sides of the join are then plain shuffles, of which Spark splits a
+    group that is far larger than others. ``key`` must not be null (see ``norm_key``).
+    """
     heads = found.groupBy(key).agg(F.min("first_seen").alias("_head"), F.count("*").alias("n_alternatives"))
+    heads = cut_lineage(heads)
     return found.join(heads, key).withColumn("is_first", F.col("first_seen") == F.col("_head")).drop("_head")
 
 
 def merge_pages(results: DataFrame, session: list[str], page: str = "page") -> tuple[DataFrame, DataFrame]:
     """Result pages 1, 2, ... of each search, read on while a page brings something new.
 
-    Returns (variants that were read with ``first_page``, one row per search with ``last_page`` and
-    ``can_fetch_more``). A page without a new variant is still read, and is the last one; no search
-    goes beyond page 20.
+    Returns (variants that were read with ``first_page``, one row per search with ``last_page``,
+    ``can_fetch_more`` and ``many_pages``). A page without a new variant is still read, and is the last
+    one. The limits are stored before they are joined, so Spark can split a search with very many rows.
     """
     first = results.groupBy(*session, *VARIANT).agg(
         F.min(page).alias("first_page"), F.max(page).alias("_seen_page")
     )
-    fresh = F.collect_set(F.when(F.col("first_page") <= MAX_PAGES, F.col("first_page").cast("int")))
-    stale = F.array_min(F.array_except(F.sequence(F.lit(1), F.lit(MAX_PAGES + 1)), fresh))
+    # Pages that bring something new, one row each; they run on from 1 as long as the nth is page n.
+    pages = first.groupBy(*session, "first_page").agg(F.max("_seen_page").alias("_seen_page"))
+    nth = F.row_number().over(Window.partitionBy(*session).orderBy("first_page"))
     limits = (
-        first.groupBy(*session)
-        .agg(stale.alias("_stale"), F.least(F.max("_seen_page").cast("int"), F.lit(MAX_PAGES)).alias("_landed"))
+        pages.withColumn("_fresh", F.when(F.col("first_page") == nth, nth))
+        .groupBy(*session)
+        .agg((F.coalesce(F.max("_fresh"), F.lit(0)) + 1).alias("_stale"), F.max("_seen_page").cast("int").alias("_landed"))
         .select(
             *session,
             F.least("_stale", "_landed").alias("last_page"),
-            ((F.col("_stale") > F.col("_landed")) & (F.col("_landed") < MAX_PAGES)).alias("can_fetch_more"),
+            (F.col("_stale") > F.col("_landed")).alias("can_fetch_more"),
+            (F.least("_stale", "_landed") > MANY_PAGES).alias("many_pages"),
         )
     )
+    limits = cut_lineage(limits)
     read = first.drop("_seen_page").join(limits.select(*session, "last_page"), session)
     return read.where(F.col("first_page") <= F.col("last_page")).drop("last_page"), limits
 
@@ -153,7 +167,7 @@ def top_groups(groups: DataFrame, screens: int = 1) -> DataFrame:
 
 
 def mark_in_shelf(results: DataFrame, shelf: DataFrame) -> DataFrame:
-    own = shelf.select(*VARIANT).distinct().withColumn("_own", F.lit(True))
+    own = cut_lineage(shelf.select(*VARIANT).distinct().withColumn("_own", F.lit(True)))
     return results.join(own, VARIANT, "left").withColumn("in_shelf", F.col("_own").isNotNull()).drop("_own")
 
 
@@ -166,7 +180,7 @@ def add_to_shelf(shelf: DataFrame, results: DataFrame, order: list[str], book_id
     firsts = results.groupBy(*VARIANT).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("r"))
     fresh = firsts.join(shelf.select(*VARIANT), VARIANT, "left_anti")
     return fresh.select(
-        (F.sha2(F.concat_ws("|", *VARIANT), 256) if book_id is None else book_id).alias("id"),
+        (F.sha2(F.to_json(F.array(*VARIANT)), 256) if book_id is None else book_id).alias("id"),
         *[F.col(f"r.{c}").alias(c) for c in fields],
         *VARIANT,
         F.lit("").alias("latest_chapter"),

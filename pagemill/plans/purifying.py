@@ -53,7 +53,7 @@ def pur_literal(spark, sf):
     out = pu.apply_rules(docs(spark, sf), rules)
     hits = F.lit(0)
     for r in rules:
-        hits = hits + F.col(f"hits_{r.id}")
+        hits = hits + pu.column(r.hits)
     return out.select("doc_id", F.sha2("clean", 256).alias("clean_hash"), hits.cast("bigint").alias("hits"))
 
 
@@ -99,11 +99,9 @@ QUERIES = {
 }
 
 _PHRASES = """p as (select item_id as ord, case when item_id % 10 = 9 then 'b0' else concat('b', item_id) end as id,
- item_id % 7 <> 3 as given, case when item_id % 6 = 5 then 'regex' else 'text' end as mode,
- case when item_id % 8 = 6 then '' when item_id % 6 = 5 then case when item_id % 4 = 1 then '(' else '[0-9]+' end else text end as find,
- item_id % 8 = 7 as long_replacement from benchmark),
-ok as (select * from p where given and length(find) between 1 and 2000 and not long_replacement
- qualify row_number() over (partition by id order by ord) = 1 order by ord limit 100)"""
+ item_id % 7 <> 3 as given, case when item_id % 8 = 7 then repeat('x', 10001) else '' end as replacement, case when item_id % 6 = 5 then 'regex' else 'text' end as mode,
+ case when item_id % 8 = 6 then '' when item_id % 6 = 5 then case when item_id % 4 = 1 then '(' else '[0-9]+' end else text end as find from benchmark),
+ok as (select * from p where given and length(find) > 0 qualify row_number() over (partition by id order by ord) = 1)"""
 
 
 def _chain(rules) -> str:
@@ -148,15 +146,15 @@ ORACLES = {
  when item_id % 6 = 5 and item_id % 4 = 1 then 'bad_regex' end as error from benchmark""",
     "pur_load_rules": f"with {_PHRASES} select ord, id, mode from ok",
     "pur_recovered": f"with {_PHRASES} select (select count(*) from p) as given, count(*) as used, count(*) <> (select count(*) from p) as recovered from ok",
-    "pur_literal": f"""with recursive {_PHRASES}, f as (select row_number() over (order by ord) as k, find from ok where mode = 'text'),
+    "pur_literal": f"""with recursive {_PHRASES}, f as (select row_number() over (order by ord) as k, find, replacement from ok where mode = 'text'),
 go as (select doc_id, text as x, cast(0 as bigint) as k, cast(0 as bigint) as hits from documents union all
- select doc_id, replace(x, find, ''), go.k + 1, hits + (length(x) - length(replace(x, find, ''))) // length(find) from go join f on f.k = go.k + 1)
+ select doc_id, replace(x, find, replacement), go.k + 1, hits + (length(x) - length(replace(x, find, ''))) // length(find) from go join f on f.k = go.k + 1)
 select doc_id, sha256(x) as clean_hash, hits from go where k = (select count(*) from f)""",
     "pur_regex": f"with {_REGEX} select doc_id, sha256(x) as clean_hash from t3",
     "pur_counts": f"with {_RULES} select doc_id, " + ", ".join(f"cast(hits_r{i} as bigint) as hits_r{i}" for i in range(1, 6)) + " from t5",
     "pur_apply": f"with {_RULES} select doc_id, x as clean, 'ok' as status from t5",
     "pur_output_guard": f"""with {_SIZES} select doc_id, case when grown > lim then 'too_large' else 'ok' end as status,
- case when grown > lim then length(text) else grown end as clean_length, grown > lim or not regexp_matches(text, '[ea]') as kept_original from s""",
+ grown as clean_length, not regexp_matches(text, '[ea]') as kept_original from s""",
     "pur_report": f"""with {_RULES}, u as (select source, unnest([{', '.join(f"{{'r': 'r{i}', 'h': hits_r{i}}}" for i in range(1, 6))}]) as z from t5)
 select z.r as rule_id, source, cast(sum(z.h) as bigint) as hits, count(*) filter (where z.h > 0) as docs_hit
 from u group by grouping sets ((z.r, source), (z.r))""",

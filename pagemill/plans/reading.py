@@ -99,7 +99,8 @@ def toc_follow_pages(spark, sf):
     ).otherwise(F.col("next_url"))
     links = links.select("book_id", "url", loop.alias("next_url"))
     starts = links.where(F.col("url").endswith("/0")).select("book_id", "url")
-    return chains.follow(starts, links, ["book_id"], chains.TOC_PAGES)
+    pages = chains.follow(starts, links, ["book_id"])
+    return pages.withColumn("many_pages", F.col("page_no") > chains.TOC_PAGES)
 
 
 def toc_freshness(spark, sf):
@@ -154,8 +155,8 @@ def _chapter_starts(spark, sf):
 def content_stitch(spark, sf):
     links, starts = _chapter_starts(spark, sf)
     good, bad = co.stitch(starts, links, ["book_id"])
-    return good.select("book_id", "n_pages", "content", F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select("book_id", "n_pages", F.lit(None).cast("string").alias("content"), "reason")
+    return good.select("book_id", "n_pages", "many_pages", "content", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("book_id", "n_pages", "many_pages", F.lit(None).cast("string").alias("content"), "reason")
     )
 
 
@@ -244,8 +245,8 @@ select book_id, cast(row_number() over (partition by book_id order by page_id, i
     "toc_link_fallback": f"""select page_id, row_number() over (partition by page_id order by i) - 1 as ord, {_X} as title from {_ANCHORS}
  where page_id % 3 <> 0 and length({_X}) >= 2
 union all select page_id, 0, {q.plain(q.H1)} from pages where page_id % 3 = 0""",
-    "toc_follow_pages": f"""select book_id, cast(row_number() over (partition by book_id order by length(url), url) as int) as page_no, url
-from {_LINKS} qualify page_no <= 20""",
+    "toc_follow_pages": f"""select book_id, cast(row_number() over (partition by book_id order by length(url), url) as int) as page_no, url,
+ row_number() over (partition by book_id order by length(url), url) > 20 as many_pages from {_LINKS}""",
     "toc_freshness": f"""select id as book_id, author not like '%7' as is_fresh from {_SHELF}""",
     "toc_summary": f"""with p as (select conv_id as book_id, count(*) // 2 as ci from conversations where conv_id % 4 <> 0 group by conv_id),
 s as (select book_id, count(*) as total_chapters, arg_max(title, idx) as latest_chapter from {_TOC} group by book_id)
@@ -256,9 +257,9 @@ from {_TOC} window w as (partition by book_id order by idx)""",
     "content_extract": f"""select page_id, case when page_id % 3 = 0 then 'html' else 'json' end as kind,
  case page_id % 3 when 0 then {_P_TEXT} when 1 then {_JSON_PAGE} else concat(' ', url, '  x ') end as content from pages""",
     "content_stitch": f"""with l as (select *, cast(string_split(url, '/')[5] as int) as n from {_LINKS}),
-s as (select book_id, least(count(*), 10) as n_pages, bool_or({q.trim('content')} = '' and n < 10) as bad,
- string_agg({q.trim('content')}, chr(10) order by n) filter (where n < 10) as content from l group by book_id)
-select book_id, n_pages, case when not bad then content end as content, case when bad then 'blank_page' end as reason from s""",
+s as (select book_id, count(*) as n_pages, bool_or({q.trim('content')} = '') as bad,
+ string_agg({q.trim('content')}, chr(10) order by n) as content from l group by book_id)
+select book_id, n_pages, n_pages > 10 as many_pages, case when not bad then content end as content, case when bad then 'blank_page' end as reason from s""",
     "content_strip_regex": """select doc_id, regexp_replace(text, '[0-9]+', '', 'g') as encoded,
  regexp_replace(text, '(?:the|les) [a-z]+', '', 'g') as plain, true as bad_unchanged from documents""",
     "content_clean_lines": f"select doc_id, {q.clean_lines('t')} as content from (select doc_id, replace(text, '. ', '. ' || chr(10) || ' ' || chr(9)) as t from documents)",

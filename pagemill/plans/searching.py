@@ -32,6 +32,7 @@ def search_required(spark, sf):
         F.col("source_url").alias("request_url"),
         F.when(F.col("item_ord") == 7, F.lit("　 ")).otherwise(F.concat(F.lit("\t"), "name", F.lit("　"))).alias("name"),
         F.concat(F.lit(" "), "author").alias("author"),
+        F.when(F.col("item_ord") > 2, F.col("kind")).alias("kind"),
         F.when(F.col("item_ord") == 6, F.lit(" "))
         .when(F.col("item_ord") == 5, F.concat(F.lit("http://x.example"), "book_href"))
         .otherwise(F.col("book_href"))
@@ -90,11 +91,12 @@ def search_alternatives(spark, sf):
 
 
 def _paged(spark, sf):
+    """Result pages 1 to 60, most of which bring something new."""
     return results(spark, sf).select(
         F.col("source_url").alias("search_id"),
         "source_url",
-        (F.col("page") % 25 + 1).alias("page"),
-        F.concat(F.lit("/book/"), (F.substring_index("book_href", "/", -1).cast("bigint") % 40).cast("string")).alias("book_url"),
+        (F.col("page") % 60 + 1).alias("page"),
+        F.concat(F.lit("/book/"), (F.substring_index("book_href", "/", -1).cast("bigint") % 4000).cast("string")).alias("book_url"),
     )
 
 
@@ -153,7 +155,7 @@ _LOG = f"""l as (select source_url, source_name, case when ord % 11 = 5 then 'ti
 _SHELF = sql_view("shelf")
 
 ORACLES = {
-    "search_required": f"""select source_url as request_url, name, author,
+    "search_required": f"""select source_url as request_url, name, coalesce(author, '') as author, case when item_ord > 2 then kind else '' end as kind,
  case when item_ord = 5 then concat('http://x.example', book_href) else concat(source_url, book_href) end as book_url,
  case when item_ord = 4 then '' else concat(source_url, '/c.jpg') end as cover_url
 from {sql_view('results')} where item_ord not in (6, 7)""",
@@ -169,12 +171,12 @@ from l left join r on r.source_url = l.source_url group by l.source_url, error""
     "search_norm_key": f"with {_R} select group_key, count(*) as n from r group by group_key",
     "search_group": f"with {_V} select group_key, name, author, source_url, book_url, kind, n_alternatives from g where rn = 1",
     "search_alternatives": f"with {_V} select group_key, source_url, book_url, n_alternatives, rn = 1 as is_first from g",
-    "search_page_merge": f"""with {_R}, p as (select source_url as search_id, page % 25 + 1 as page, cast(string_split(book_href, '/')[3] as bigint) % 40 as b from r),
+    "search_page_merge": f"""with {_R}, p as (select source_url as search_id, page % 60 + 1 as page, cast(string_split(book_href, '/')[3] as bigint) % 4000 as b from r),
 f as (select search_id, b, min(page) as first_page from p group by search_id, b),
-m as (select search_id, least(max(page), 20) as landed from p group by search_id),
-st as (select s.search_id, min(i) as stale from (select distinct search_id from p) s, range(1, 22) t(i)
- where not exists (select 1 from f where f.search_id = s.search_id and f.first_page = i) or i = 21 group by s.search_id)
-select m.search_id, cast(least(stale, landed) as int) as last_page, stale > landed and landed < 20 as can_fetch_more,
+m as (select search_id, max(page) as landed from p group by search_id),
+st as (select s.search_id, min(i) as stale from (select distinct search_id from p) s, range(1, 62) t(i)
+ where not exists (select 1 from f where f.search_id = s.search_id and f.first_page = i) group by s.search_id)
+select m.search_id, cast(least(stale, landed) as int) as last_page, stale > landed as can_fetch_more, least(stale, landed) > 20 as many_pages,
  (select count(*) from f where f.search_id = m.search_id and first_page <= least(stale, landed)) as n_variants
 from m join st on m.search_id = st.search_id""",
     "search_select_variant": f"""with {_V}, k as (select group_key, max(source_url || chr(1) || book_url) as pick from g where item_ord = 4 group by group_key)
@@ -186,6 +188,6 @@ order by page, item_ord, source_ord, book_href limit 40""",
 from r left join s on r.source_url = s.source_url and r.book_url = s.book_url""",
     "search_add_to_shelf": f"""with {_R}, s as {_SHELF}, f as (select * from r qualify row_number() over (
  partition by source_url, book_url order by page, item_ord, source_ord, book_href) = 1)
-select sha256(concat(source_url, '|', book_url)) as id, name, author, kind, source_url, book_url, 0 as unread_count, 0 as chapter_index, '' as toc_url
+select sha256('["' || source_url || '","' || book_url || '"]') as id, name, author, kind, source_url, book_url, 0 as unread_count, 0 as chapter_index, '' as toc_url
 from f where not exists (select 1 from s where s.source_url = f.source_url and s.book_url = f.book_url)""",
 }

@@ -66,4 +66,4 @@ def root_link(href: str, base: str) -> str:
 
 def norm_key(name: str, author: str) -> str:
     bare = f"regexp_replace(regexp_replace({name}, '\\s+', '', 'g'), '[（(][^)）]*[)）]', '', 'g')"
-    return f"concat(lower({bare}), '|', lower({trim(author)}))"
+    return f"concat(lower({bare}), '|', lower({trim(f"coalesce({author}, '')")}))"

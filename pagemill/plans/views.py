@@ -23,7 +23,7 @@ select concat('https://s', s_suppkey, '.example') as source_url, s_name as sourc
     "results": """
 select concat('https://s', l_suppkey, '.example') as source_url,
  case when l_linenumber % 2 = 0 then concat(p_name, ' (Complete)') else p_name end as name,
- p_brand as author, concat('/book/', l_partkey) as book_href, p_type as kind,
+ case when p_size % 9 = 4 then cast(null as varchar(10)) else p_brand end as author, concat('/book/', l_partkey) as book_href, p_type as kind,
  l_suppkey as source_ord, l_orderkey as page, l_linenumber as item_ord, l_shipdate as ts
  from {lineitem} join {part} on l_partkey = p_partkey""",
     "shelf": """
@@ -39,17 +39,19 @@ select user_id as run_id, event_id as ord,
  case when event_type = 'error' and event_id % 11 = 0 then 429 when event_type = 'error' then 500 end as http_status
  from {events}""",
     "toc": """
-select conv_id as book_id, cast(turn as int) as idx, concat('第', turn + 1, '章 ', substring(text, 1, 20)) as title,
+select conv_id as book_id, cast(turn as int) as idx, concat('第', turn + 1, '章 ', text) as title,
  concat('https://c.example/', conv_id, '/', turn) as url from {conversations}""",
     "new_toc": """
 select conv_id as book_id, cast(turn as int) as idx,
- case when turn % 4 = 3 then '序章' else concat('第 ', turn + 1, '章： ', substring(text, 1, 20), '!') end as title,
+ case when turn % 4 = 3 then '序章' else concat('第 ', turn + 1, '章： ', text, '!') end as title,
  concat('https://n.example/', conv_id, '/', turn) as url from {conversations} where conv_id % 13 <> 5""",
     "links": """
-select a.conv_id as book_id, concat('https://c.example/', a.conv_id, '/', a.turn) as url,
- case when b.turn is not null then concat('https://c.example/', b.conv_id, '/', b.turn) end as next_url,
- case when a.turn = 3 and a.conv_id % 7 = 2 then '  ' else a.text end as content
- from {conversations} a left join {conversations} b on a.conv_id = b.conv_id and b.turn = a.turn + 1""",
+select book_id, concat('https://c.example/', book_id, '/', n) as url,
+ case when n + 1 < pages then concat('https://c.example/', book_id, '/', n + 1) end as next_url,
+ case when turn = 3 and conv_id % 37 = 2 then '  ' else text end as content
+ from (select cast(floor(conv_id / 9) as bigint) as book_id, conv_id, turn, text,
+  row_number() over (partition by floor(conv_id / 9) order by conv_id, turn) - 1 as n,
+  count(*) over (partition by floor(conv_id / 9)) as pages from {conversations}) s""",
     "store": """
 select conv_id as book_id, 'https://c.example' as source_url,
  concat('https://c.example/', case when turn % 8 = 7 then 'old' else cast(conv_id as varchar(20)) end) as book_url,

@@ -14,9 +14,11 @@ from ..functions.text import js_trim, normalize_newlines
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed values.
-MAX_TEXT_BYTES = 30 * 1024 * 1024
-SNIFF_BYTES = 2048
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
+HEAD_END = r"(?i)</head\b|<body\b"
+META_CHARSET = r"(?i)<meta[^>]+charset=[\"']?\s*([\w-]+)"
+DECLARED_CHARSET = r"(?i)encoding=[\"']([\w-]+)[\"']"
+HEADER_CHARSET = r"(?i)charset=([\w-]+)"
 GB_LABELS = ["gb2312", "gbk", "gb18030"]
 CHARSETS = [
     "utf-8", "utf-16le", "utf-16be", "gb18030", "big5", "shift_jis", "euc-jp", "iso-2022-jp", "euc-kr",
@@ -30,14 +32,15 @@ def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
 
 
-def size_reason(length: Column) -> Column:
-    """Why a file is refused by its size; NULL when it is fine."""
-    return F.when(length > MAX_TEXT_BYTES, "too_large").when(length == 0, "empty")
+def size_reason(length: Column, most: int | None = None) -> Column:
+    """Why a file is refused by its size; NULL when it is fine. There is a largest size only if one is given."""
+    empty = F.when(length == 0, "empty")
+    return empty if most is None else empty.when(length > most, "too_large")
 
 
-def accept_size(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def accept_size(files: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused); both filters are on the ``length`` column alone."""
-    reason = size_reason(F.col("length"))
+    reason = size_reason(F.col("length"), most)
     refused = files.where(reason.isNotNull()).withColumn("reason", reason)
     return files.where(reason.isNull()), refused.drop("content")
 
@@ -74,19 +77,23 @@ def _decode_other(content: Column, encoding: Column) -> Column:
     return F.pandas_udf(run, "string")(content, encoding)
 
 
-def decode_texts(files: DataFrame, content: str = "content", requested: str | None = None) -> DataFrame:
+def decode_texts(
+    files: DataFrame, content: str = "content", requested: str | None = None, most: int | None = None
+) -> DataFrame:
     """Add ``encoding``, ``text`` and ``reason`` (NULL when the text is usable).
 
-    Valid UTF-8 is decoded natively; only the other rows carry bytes into the Arrow step.
+    Valid UTF-8 is decoded natively; only the other rows carry bytes into the Arrow step. Bytes refused
+    for their size are not decoded.
     """
+    refused = size_reason(F.length(content), most)
     enc = detect_encoding(F.col(content), requested)
     out = files.withColumn("encoding", enc)
     is_utf8 = F.col("encoding") == "utf-8"
-    native = F.when(is_utf8 & F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string"))
-    out = out.withColumn("_other", F.when(is_utf8, F.lit(None).cast("binary")).otherwise(F.col(content)))
+    native = F.when(is_utf8 & refused.isNull() & F.is_valid_utf8(F.col(content).cast("string")), F.col(content).cast("string"))
+    out = out.withColumn("_other", F.when(~is_utf8 & refused.isNull(), F.col(content)))
     other = _decode_other(F.col("_other"), F.col("encoding"))
     out = out.withColumn("text", normalize_newlines(F.coalesce(native, other))).drop("_other")
-    return out.withColumn("reason", F.coalesce(size_reason(F.length(content)), sanity_reason(F.col("text"))))
+    return out.withColumn("reason", F.coalesce(refused, sanity_reason(F.col("text"))))
 
 
 def sanity_reason(text: Column) -> Column:
@@ -106,10 +113,10 @@ def normalize_charset(label: Column) -> Column:
 
 
 def sniff_charset(content_type: Column, content: Column) -> Column:
-    """Header charset, else the one named in the first bytes of the page, else UTF-8."""
-    from_header = normalize_charset(F.regexp_extract(F.coalesce(content_type, F.lit("")), r"(?i)charset=([\w-]+)", 1))
-    head = F.decode(F.substring(content, 1, SNIFF_BYTES), "ISO-8859-1")
-    meta = F.regexp_extract(head, r"(?i)<meta[^>]+charset=[\"']?\s*([\w-]+)", 1)
-    declared = F.regexp_extract(head, r"(?i)encoding=[\"']([\w-]+)[\"']", 1)
+    """Header charset, else the one named in the head of the page (all that comes before its body), else UTF-8."""
+    from_header = normalize_charset(F.regexp_extract(F.coalesce(content_type, F.lit("")), HEADER_CHARSET, 1))
+    head = F.get(F.split(F.decode(content, "ISO-8859-1"), HEAD_END, 2), F.lit(0))
+    meta = F.regexp_extract(head, META_CHARSET, 1)
+    declared = F.regexp_extract(head, DECLARED_CHARSET, 1)
     in_page = normalize_charset(F.when(meta != "", meta).otherwise(declared))
     return F.coalesce(from_header, in_page, F.lit("utf-8"))

@@ -37,9 +37,11 @@ NODE = T.StructType(
     ]
 )
 
-# HTML's own element classes.
+# Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TEXT = frozenset(["script", "style"])
+PLAIN_TEXT = frozenset(["title", "textarea"])
+# Elements that end a line of readable text.
 LINE_BLOCKS = frozenset("p div li tr h1 h2 h3 h4 h5 blockquote section article".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre "
@@ -54,16 +56,23 @@ ENDS = {
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
     "option": (("option",), ("select",)),
+    "a": (("a",), ("table", "td", "th", "caption", "object", "template")),
 }
+# A closing tag does not reach out of these; one of a table's own parts only stops at the table.
+SCOPES = frozenset("table td th caption object template".split())
+TABLE_SCOPES = frozenset(["table", "template"])
+TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption colgroup".split())
 
-RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT}
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT | PLAIN_TEXT}
 ROWS_OUT = 256
 
+# A quote opens a value right after "=" only, and nothing here is tried twice, so a tag costs its own length.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
+    r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>",
     re.S,
 )
+MARKUP = re.compile(r"</?[a-zA-Z]|<[!?]")
 ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
@@ -146,11 +155,13 @@ def _shred(html: str, out: _Columns) -> None:
         return node
 
     while at < size:
-        m = TOKEN.search(html, at)
-        if m is None:
+        start = html.find("<", at)
+        while start >= 0 and not MARKUP.match(html, start):
+            start = html.find("<", start + 1)
+        m = TOKEN.match(html, start) if start >= 0 else None
+        if m is None:  # no markup is left, or it never ends
             add_text(html[at:], at)
             break
-        start = m.start()
         if start > at:
             add_text(html[at:start], at)
         at = m.end()
@@ -159,12 +170,15 @@ def _shred(html: str, out: _Columns) -> None:
             continue
         tag = tag.lower()
         if end:
+            barrier = TABLE_SCOPES if tag in TABLE_PARTS else SCOPES
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][TAG] == tag:
                     while len(stack) > depth + 1:
                         close(start, start)
                     close(start, at)
                     break
+                if stack[depth][TAG] in barrier:
+                    break
             continue
         if tag in CLOSES_P:
             end_open(("p",), ("button", "td", "th"), start)
@@ -174,10 +188,10 @@ def _shred(html: str, out: _Columns) -> None:
         if tag in VOID:
             continue
         stack.append(node)
-        if tag in RAW_TEXT:
+        if tag in RAW_END:
             stop = RAW_END[tag].search(html, at)
             until, after = (stop.start(), stop.end()) if stop else (size, size)
-            add_text(html[at:until], at, "#raw")
+            add_text(html[at:until], at, "#raw" if tag in RAW_TEXT else "#text")
             close(until, after)
             at = after
     while stack:

