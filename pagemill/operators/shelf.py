@@ -47,17 +47,13 @@ def remove_books(tables: dict[str, tuple[DataFrame, str]], book_ids: DataFrame)
 
 
 def latest_progress(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """The last position written per book, its scroll ratio within [0, 1]."""
+    """The last position written per book: chapter number, address and title, scroll ratio within [0, 1]."""
+    position = ["ts", "seq", "chapter_index", "chapter_url", "chapter_title", "scroll_ratio"]
+    keys = keys or ["book_id"]
     return (
-        events.groupBy(*(keys or ["book_id"]))
-        .agg(F.max(F.struct("ts", "seq", "chapter_index", "scroll_ratio")).alias("r"))
-        .select(
-            *(keys or ["book_id"]),
-            F.col("r.ts").alias("ts"),
-            F.col("r.seq").alias("seq"),
-            F.col("r.chapter_index").alias("chapter_index"),
-            clamp(F.col("r.scroll_ratio")).alias("scroll_ratio"),
-        )
+        events.groupBy(*keys)
+        .agg(F.max(F.struct(*position)).alias("r"))
+        .select(*keys, *[F.col(f"r.{c}") for c in position[:-1]], clamp(F.col("r.scroll_ratio")).alias("scroll_ratio"))
     )
 
 
@@ -132,9 +128,10 @@ def switch_plan(books: DataFrame, new_toc: DataFrame) -> DataFrame:
 
 
 def switch_apply(shelf: DataFrame, plan: DataFrame, new_toc: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(shelf after the switch, plan rows refused because the book changed meanwhile).
+    """(shelf after the switch, refused plan rows with the reason).
 
-    ``plan`` has id, old_source_url, old_book_url, the new source_url, source_name, book_url, toc_url,
+    A row is refused if its book changed meanwhile (or left the shelf), or if the new table of contents
+    has no such chapter. The scroll position and the time of reading start anew where the shelf has them. ``plan`` has id, old_source_url, old_book_url, the new source_url, source_name, book_url, toc_url,
     cover_url, intro and target_idx. Id and the time of adding stay; cover and intro only give way to
     something that is not empty.
     """
@@ -142,7 +139,7 @@ def switch_apply(shelf: DataFrame, plan: DataFrame, new_toc: DataFrame) -> tuple
     summary = new_toc.groupBy(F.col("book_id").alias("id")).agg(
         F.count("*").alias("_total"), F.max_by("title", "idx").alias("_latest")
     )
-    at = new_toc.select(F.col("book_id").alias("id"), F.col("idx").alias("_idx"), F.col("title").alias("_title"), F.col("url").alias("_url"))
+    at = new_toc.select(F.col("book_id").alias("_id"), F.col("idx").alias("_idx"), F.col("title").alias("_title"), F.col("url").alias("_url"))
     ready = (
         plan.select(
             "id",
@@ -150,9 +147,9 @@ def switch_apply(shelf: DataFrame, plan: DataFrame, new_toc: DataFrame) -> tuple
             F.col("old_book_url").alias("_old_b"),
             *[F.col(c).alias(f"_new_{c}") for c in new],
         )
+        .join(at, (F.col("id") == F.col("_id")) & (F.col("_new_target_idx") == F.col("_idx")))
+        .drop("_id")
         .join(summary, "id")
-        .join(at, "id")
-        .where(F.col("_idx") == F.col("_new_target_idx"))
     )
     same = (F.col("source_url") == F.col("_old_s")) & (F.col("book_url") == F.col("_old_b"))
     s = shelf.join(ready, "id", "left").withColumn("_go", F.coalesce(same, F.lit(False)))
@@ -164,6 +161,7 @@ def switch_apply(shelf: DataFrame, plan: DataFrame, new_toc: DataFrame) -> tuple
         fresh = F.col(f"_new_{name}")
         return F.when(F.col("_go") & (fresh != ""), fresh).otherwise(F.col(name))
 
+    fresh_start = {"scroll_ratio": F.lit(0.0), "last_read_time": F.current_timestamp()}
     out = s.withColumns(
         {
             **{c: take(F.col(f"_new_{c}"), c) for c in ("source_name", "toc_url")},
@@ -176,8 +174,13 @@ def switch_apply(shelf: DataFrame, plan: DataFrame, new_toc: DataFrame) -> tuple
             "unread_count": take(unread(F.col("_total"), F.col("_idx")), "unread_count"),
             "source_url": take(F.col("_new_source_url"), "source_url"),
             "book_url": take(F.col("_new_book_url"), "book_url"),
+            **{c: F.when(~F.col("_go"), F.col(c)).otherwise(v) for c, v in fresh_start.items() if c in shelf.columns},
         }
     ).select(*shelf.columns)
     present = shelf.select("id", F.col("source_url").alias("old_source_url"), F.col("book_url").alias("old_book_url"))
-    conflicts = plan.join(present, ["id", "old_source_url", "old_book_url"], "left_anti")
-    return out, conflicts
+    changed = plan.join(present, ["id", "old_source_url", "old_book_url"], "left_anti").withColumn("reason", F.lit("changed"))
+    there = plan.join(present, ["id", "old_source_url", "old_book_url"], "left_semi")
+    missing = there.join(
+        at, (there["id"] == at["_id"]) & (there["target_idx"] == at["_idx"]), "left_anti"
+    ).withColumn("reason", F.lit("no_chapter"))
+    return out, changed.unionByName(missing)

@@ -14,7 +14,10 @@ ORDER = ["page", "item_ord", "source_ord", "book_href"]
 
 
 def results(spark, sf):
-    df = view(spark, sf, "results")
+    return keyed(view(spark, sf, "results"))
+
+
+def keyed(df):
     return df.withColumns(
         {
             "book_url": resolve_url(F.col("book_href"), F.col("source_url")),

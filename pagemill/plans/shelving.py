@@ -100,13 +100,13 @@ def shelf_remove(spark, sf):
 
 
 def progress_latest(spark, sf):
-    return sh.latest_progress(view(spark, sf, "progress")).select("book_id", "seq", "chapter_index", "scroll_ratio")
+    return sh.latest_progress(view(spark, sf, "progress")).select(
+        "book_id", "seq", "chapter_index", "chapter_url", "chapter_title", "scroll_ratio"
+    )
 
 
 def progress_resume(spark, sf):
-    now = sh.latest_progress(view(spark, sf, "progress"))
-    now = now.withColumn("chapter_url", F.concat(F.lit("https://c.example/"), "book_id", F.lit("/"), "chapter_index"))
-    return sh.resume(now, view(spark, sf, "toc"))
+    return sh.resume(sh.latest_progress(view(spark, sf, "progress")), view(spark, sf, "toc"))
 
 
 def title_unique_match(spark, sf):
@@ -141,6 +141,7 @@ def switch_apply(spark, sf):
         F.lit("").alias("chapter_title"),
         F.lit(0).cast("bigint").alias("unread_count"),
         F.lit(7).alias("added_time"),
+        F.lit(0.7).alias("scroll_ratio"),
     )
     plan = sh.switch_plan(_readers(spark, sf), view(spark, sf, "new_toc")).where("auto_commit").select(
         id_.alias("id"),
@@ -152,13 +153,13 @@ def switch_apply(spark, sf):
         F.lit("t-new").alias("toc_url"),
         F.when(id_ % 3 == 0, F.lit("")).otherwise(F.lit("cover-new")).alias("cover_url"),
         F.lit("").alias("intro"),
-        "target_idx",
+        F.when(id_ % 17 == 3, F.col("target_idx") + 1000).otherwise(F.col("target_idx")).alias("target_idx"),
     )
     out, conflicts = sh.switch_apply(shelf, plan, view(spark, sf, "new_toc"))
     return out.select(
         "id", "source_url", "source_name", "book_url", "cover_url", "intro", "total_chapters", "latest_chapter",
-        "chapter_index", "chapter_url", "unread_count", "added_time", F.lit("shelf").alias("part"),
-    ).unionByName(conflicts.select("id", F.lit("conflict").alias("part")), allowMissingColumns=True)
+        "chapter_index", "chapter_url", "unread_count", "added_time", "scroll_ratio", F.lit("shelf").alias("part"),
+    ).unionByName(conflicts.select("id", F.col("reason").alias("part")), allowMissingColumns=True)
 
 
 QUERIES = {
@@ -233,21 +234,22 @@ from a left join s on a.run_id = s.run_id group by a.run_id""",
 select book_id, count(*) as n, 'toc' as table_name from t where book_id not in (select book_id from g) group by book_id
 union all select book_id, count(*), 'store' from {_STORE} where book_id not in (select book_id from g) group by book_id
 union all select book_id, count(*), 'progress' from {_PROGRESS} where book_id not in (select book_id from g) group by book_id""",
-    "progress_latest": f"with {_LATEST} select book_id, seq, chapter_index, least(1.0, greatest(0.0, scroll_ratio)) as scroll_ratio from l",
+    "progress_latest": f"with {_LATEST} select book_id, seq, chapter_index, chapter_url, chapter_title, least(1.0, greatest(0.0, scroll_ratio)) as scroll_ratio from l",
     "progress_resume": f"""with {_LATEST}, t as {_TOC}, z as (select book_id, count(*) as n from t group by book_id)
 select l.book_id, cast(coalesce(t.idx, least(chapter_index, n - 1), chapter_index) as bigint) as open_at,
  case when t.idx is not null then least(1.0, greatest(0.0, scroll_ratio)) else 0.0 end as ratio, t.idx is not null as found
-from l left join z on z.book_id = l.book_id left join t on t.book_id = l.book_id and t.url = concat('https://c.example/', l.book_id, '/', chapter_index)""",
+from l left join z on z.book_id = l.book_id left join t on t.book_id = l.book_id and t.url = l.chapter_url""",
     "title_unique_match": f"""with {_SINGLE}, t as {_TOC} select t.book_id, t.idx as old_idx, coalesce(k.idx, -1) as match_idx
 from t left join k on k.book_id = t.book_id and t.idx % 6 <> 5 and k.key = {_key('t.title')}""",
     "switch_plan": f"with {_PLAN} select book_id, cast(target_idx as bigint) as target_idx, how, auto_commit from p",
-    "switch_apply": f"""with {_PLAN}, j as (select a.book_id as id, start, p.*, auto_commit and a.book_id % 6 <> 4 as go,
+    "switch_apply": f"""with {_PLAN}, j as (select a.book_id as id, start, p.*, auto_commit and a.book_id % 6 <> 4 and a.book_id % 17 <> 3 as go,
  (select arg_max(title, idx) from n where n.book_id = a.book_id) as latest,
  (select url from n where n.book_id = a.book_id and n.idx = target_idx) as url from a join p on a.book_id = p.book_id)
 select id, case when go then 's-new' when id % 6 = 4 then 'moved' else 's-old' end as source_url, case when go then 'new' else 'old' end as source_name,
  concat(case when go then 'new/' else 'old/' end, id) as book_url, case when go and id % 3 <> 0 then 'cover-new' else 'cover-old' end as cover_url,
  'intro-old' as intro, case when go then total else 0 end as total_chapters, case when go then latest else '' end as latest_chapter,
  cast(case when go then target_idx else start end as int) as chapter_index, case when go then url else '' end as chapter_url,
- case when go then greatest(0, total - target_idx - 1) else 0 end as unread_count, 7 as added_time, 'shelf' as part from j
-union all select id, null, null, null, null, null, null, null, null, null, null, null, 'conflict' from j where auto_commit and id % 6 = 4""",
+ case when go then greatest(0, total - target_idx - 1) else 0 end as unread_count, 7 as added_time, cast(case when go then 0 else 0.7 end as double) as scroll_ratio, 'shelf' as part from j
+union all select id, null, null, null, null, null, null, null, null, null, null, null, null, case when id % 6 = 4 then 'changed' else 'no_chapter' end
+from j where auto_commit and (id % 6 = 4 or id % 17 = 3)""",
 }

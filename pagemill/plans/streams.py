@@ -1,4 +1,4 @@
-"""Streams over landed slices of the test tables, run to their end, compared with the batch result."""
+"""Streams over the test tables as they landed, run to their end, compared with the batch result."""
 
 from __future__ import annotations
 
@@ -9,69 +9,64 @@ from ..operators import search as se
 from ..session import new_table_path
 from ..streaming import jobs
 from . import purifying, searching, shelving
-from .views import sql_view, tables, view
+from .views import VIEWS, sql_view, tables, view
 
 
-def run_in_slices(df: DataFrame, order: str, job, slices: int = 3):
-    """Land ``df`` slice by slice of ``order`` and run the job after each, going on from its checkpoint."""
-    spark = df.sparkSession
-    path = new_table_path(spark, "landing")
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    step = (hi - lo) // slices + 1
-    for i in range(slices):
-        part = df.where((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
-        part.write.mode("append").parquet(path)
-        done = job(spark.readStream.schema(df.schema).parquet(path))
-    return done
+def landed(spark, sf: str, name: str) -> DataFrame:
+    """A whole test table, one file or a folder of them, as a stream of what has landed."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}[.]parquet")
 
 
 def stream_progress_latest(spark, sf):
     path = new_table_path(spark, "progress")
-    table = run_in_slices(view(spark, sf, "progress"), "seq", lambda s: jobs.keep_latest_progress(s, path))
-    return table.current().select("book_id", "seq", "chapter_index", "scroll_ratio")
-
+    jobs.keep_latest_progress(spark.sql(VIEWS["progress"], events=landed(spark, sf, "events")), path)
+    return jobs.current_progress(spark, path).select(
+        "book_id", "seq", "chapter_index", "chapter_url", "chapter_title", "scroll_ratio"
+    )
 
 
 def stream_debounce(spark, sf):
+    """Bursts closed by the stream, and the last ones that it still held when its input ended."""
     diff = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
     ms = f"1700000000000 + {diff} div 78000000"
-    writes = spark.sql(
-        f"select user_id as name, event_id as seq, timestamp_millis({ms}) as ts from {{events}}", **tables(spark, sf, "events")
-    )
+    sql = f"select user_id as name, event_id as seq, timestamp_millis({ms}) as ts from {{events}}"
     path = new_table_path(spark, "debounce")
-    run_in_slices(writes, "seq", lambda s: jobs.run_to_files(jobs.debounce(s), path))
-    return jobs.read_appended(spark, path).select("name", "seq", F.unix_millis("ts").alias("ts_ms"), "n_writes")
+    jobs.run_to_files(jobs.debounce(spark.sql(sql, events=landed(spark, sf, "events"))), path)
+    closed = jobs.read_appended(spark, path)
+    rest = jobs.open_bursts(spark.sql(sql, **tables(spark, sf, "events")))
+    return closed.unionByName(rest).select("name", "seq", F.unix_millis("ts").alias("ts_ms"), "n_writes")
 
 
 def stream_stale_drop(spark, sf):
     sql = "select user_id as key, event_id as ord, event_id + cast(floor(value) as bigint) % 200 as seq from {events}"
     path = new_table_path(spark, "stale")
-    run_in_slices(spark.sql(sql, **tables(spark, sf, "events")), "ord", lambda s: jobs.drop_stale(s, path))
+    jobs.drop_stale(spark.sql(sql, events=landed(spark, sf, "events")), path)
     return jobs.read_appended(spark, path).select("key", "ord", "seq")
 
 
 def stream_incremental_group(spark, sf):
     path = new_table_path(spark, "groups")
-    found = searching.results(spark, sf)
-    table = run_in_slices(found, "page", lambda s: jobs.group_results(s, path, searching.ORDER))
+    rows = spark.sql(VIEWS["results"], lineitem=landed(spark, sf, "lineitem"), **tables(spark, sf, "part"))
+    table = jobs.group_results(searching.keyed(rows), path, searching.ORDER)
     groups = se.group_variants(table.current())
     return groups.select("group_key", "name", "author", "source_url", "book_url", "kind", "n_alternatives")
 
 
 def stream_backfill_skip(spark, sf):
-    toc = view(spark, sf, "toc").withColumn("ts", F.timestamp_millis(F.lit(1700000000000) + F.col("idx") * 1000))
+    toc = spark.sql(VIEWS["toc"], conversations=landed(spark, sf, "conversations"))
     # Every chapter is asked for twice.
-    twice = toc.unionByName(toc.withColumn("ts", F.timestamp_millis(F.lit(1700000500000) + F.col("idx") * 1000)))
+    again = F.explode(F.array(F.lit(1700000000000), F.lit(1700000500000)))
+    twice = toc.withColumn("_at", again).withColumn("ts", F.timestamp_millis(F.col("_at") + F.col("idx") * 1000)).drop("_at")
     path = new_table_path(spark, "pending")
-    store = view(spark, sf, "store")
-    run_in_slices(twice, "idx", lambda s: jobs.run_to_files(jobs.skip_stored(s, store), path))
+    jobs.run_to_files(jobs.skip_stored(twice, view(spark, sf, "store")), path)
     return jobs.read_appended(spark, path).select("book_id", "url")
 
 
 def stream_purify(spark, sf):
-    docs = tables(spark, sf, "documents")["documents"].select("doc_id", "text")
     path = new_table_path(spark, "purified")
-    run_in_slices(docs, "doc_id", lambda s: jobs.run_to_files(jobs.purify_stream(s, purifying.RULES), path))
+    docs = landed(spark, sf, "documents").select("doc_id", "text")
+    jobs.run_to_files(jobs.purify_stream(docs, purifying.RULES), path)
     return jobs.read_appended(spark, path).select("doc_id", "clean", "status")
 
 
@@ -91,7 +86,7 @@ ORACLES = {
 n as (select *, case when ms - lag(ms) over (partition by name order by ms, seq) <= 500 then 0 else 1 end as fresh from e),
 b as (select *, sum(fresh) over (partition by name order by ms, seq rows unbounded preceding) as burst from n),
 r as (select name, arg_max(seq, (ms - 1700000000000) * 100000000 + seq) as seq, max(ms) as ts_ms, count(*) as n_writes from b group by name, burst)
-select name, seq, ts_ms, n_writes from r where ts_ms + 500 <= (select max(ms) - 1000 from e)""",
+select name, seq, ts_ms, n_writes from r""",
     "stream_stale_drop": """with e as (select user_id as key, event_id as ord, event_id + cast(floor(value) as bigint) % 200 as seq from events)
 select key, ord, seq from e qualify seq = max(seq) over (partition by key order by ord rows unbounded preceding)""",
     "stream_incremental_group": searching.ORACLES["search_group"],

@@ -32,6 +32,8 @@ select concat('bk', p_partkey) as id, p_name as name, p_brand as author,
  concat('https://s', p_partkey % 150, '.example/book/', p_partkey) as book_url from {part}""",
     "progress": """
 select user_id as book_id, event_id as seq, ts, cast(floor(value) as int) % 30 as chapter_index,
+ case when event_id % 4 <> 1 then concat('https://c.example/', user_id, '/', cast(floor(value) as int) % 9) end as chapter_url,
+ concat('title ', event_id % 50) as chapter_title,
  value / 100 as scroll_ratio from {events}""",
     "attempts": """
 select user_id as run_id, event_id as ord,

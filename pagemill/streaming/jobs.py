@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as se
+from ..operators import shelf
 from ..operators.ordered import running_max
 from ..operators.purify import Rule, apply_rules
-from ..operators.shelf import clamp
 from .state import MergedTable
 
 # Fixed value: how long a name must be quiet before its last write counts.
@@ -21,11 +21,9 @@ QUIET = "500 milliseconds"
 
 
 def latest_progress(events: DataFrame) -> DataFrame:
-    """Latest position per book, for update mode. Rows are combined per task before the shuffle."""
-    last = F.max(F.struct("ts", "seq", "chapter_index", "scroll_ratio"))
-    return events.groupBy("book_id").agg(last.alias("r")).select(
-        "book_id", "r.ts", "r.seq", "r.chapter_index", clamp(F.col("r.scroll_ratio")).alias("scroll_ratio")
-    )
+    """Latest position per book, for update mode. Rows are combined per task before the shuffle, and the position
+    of each book is kept in Spark's state store."""
+    return shelf.latest_progress(events)
 
 
 def debounce(events: DataFrame, late: str = "1 second", quiet: str = QUIET) -> DataFrame:
@@ -38,6 +36,17 @@ def debounce(events: DataFrame, late: str = "1 second", quiet: str = QUIET) -> D
     )
 
 
+def open_bursts(events: DataFrame, late: str = "1 second", quiet: str = QUIET) -> DataFrame:
+    """What a finished stream of ``events`` still holds back: bursts that its last watermark had not closed."""
+    end = events.agg((F.max("ts") - F.expr(f"interval {late}")).alias("_mark"))
+    bursts = (
+        events.groupBy("name", F.session_window("ts", quiet).alias("burst"))
+        .agg(F.max(F.struct("ts", "seq")).alias("r"), F.count("*").alias("n_writes"))
+        .join(F.broadcast(end), F.col("burst.end") > F.col("_mark"))  # one row: the last time seen
+    )
+    return bursts.select("name", "r.ts", "r.seq", "n_writes")
+
+
 def skip_stored(wanted: DataFrame, store: DataFrame, late: str = "30 days") -> DataFrame:
     """Chapters still to fetch, each asked for once. ``wanted`` has book_id, url and ts."""
     have = store.select("book_id", F.col("chapter_url").alias("url"))
@@ -81,17 +90,18 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
-def _newest(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("book_id").agg(F.max(F.struct("ts", "seq", "chapter_index", "scroll_ratio")).alias("r")).select(
-        "book_id", "r.*"
-    )
+def keep_latest_progress(events: DataFrame, path: str) -> None:
+    """Write the positions that each micro-batch changed; a batch that runs again overwrites its own folder."""
 
+    def each(rows: DataFrame, i: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/data/batch={i}")
 
-def keep_latest_progress(events: DataFrame, path: str) -> MergedTable:
-    """Fold the updates of each micro-batch into a table of current positions."""
-    table = MergedTable(events.sparkSession, f"{path}/state", _newest)
-    run_batches(latest_progress(events), path, lambda rows, i: table.add(i, rows), mode="update")
-    return table
+    run_batches(latest_progress(events), path, each, mode="update")
+
+
+def current_progress(spark: SparkSession, path: str) -> DataFrame:
+    """The last change of each book."""
+    return shelf.latest_progress(read_appended(spark, path))
 
 
 def drop_stale(responses: DataFrame, path: str) -> None:
