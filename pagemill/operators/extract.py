@@ -47,6 +47,26 @@ def item_rows(
     return pages.select(*keep, F.inline(rows if where is None else F.filter(rows, where)))
 
 
+def json_rows(
+    responses: DataFrame,
+    keep: list[str],
+    items: Column,
+    fields: Mapping[str, Callable[[Column, Column], Column]],
+    where: Callable[[Column], Column] | None = None,
+    doc: str = "v",
+) -> DataFrame:
+    """The same for JSON responses: one row per item of a list of VARIANT, each field from (document, item).
+
+    Columns that depend on the document alone belong into ``keep``, so they are worked out once per response.
+    """
+
+    def row(item: Column, i: Column) -> Column:
+        return F.struct(i.alias("ord"), *[f(F.col(doc), item).alias(name) for name, f in fields.items()])
+
+    rows = F.transform(items, row)
+    return responses.select(*keep, F.inline(rows if where is None else F.filter(rows, where)))
+
+
 def link_edges(pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """(page, href, absolute url) for every anchor with an href."""
     anchors = dom.select(F.col("nodes"), dom.Step(tag="a", attr="href"))

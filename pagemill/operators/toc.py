@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from ..functions import dom
 from ..functions.text import js_trim, let, nonblank
 from ..functions.urls import ABSOLUTE, resolve_url
 from ..sources.shred import shred_pages
-from .extract import Field, item_rows
+from .extract import Field, item_rows, json_rows
 from .ordered import dense_index, neighbours
 
 
@@ -71,6 +73,24 @@ def toc_items(pages: DataFrame, keys: list[str], items: Column, title: Field, hr
     return rows.withColumnRenamed("link", "url")
 
 
+def toc_json_items(
+    responses: DataFrame,
+    keys: list[str],
+    items: Column,
+    title: Callable[[Column, Column], Column],
+    href: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """Chapter rows of each JSON response; ``responses`` has keys, page_no, url and the document ``v``."""
+    fields = {
+        "title": lambda v, x: js_trim(title(v, x)),
+        "link": lambda v, x: resolve_url(href(v, x), F.col("url")),
+    }
+    rows = json_rows(
+        responses, [*keys, "page_no"], items, fields, where=lambda r: (r["title"] != "") & r["link"].rlike(ABSOLUTE)
+    )
+    return rows.withColumnRenamed("link", "url")
+
+
 def toc_from_items(items: DataFrame, keys: list[str]) -> DataFrame:
     """One chapter per address, the first one over all pages, numbered from 0."""
     # One struct per address, so both passes of the numbering share this shuffle.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import combine, dom, jsonx, rx
 from ..functions.dom import Step
 from ..functions.text import js_trim
+from ..functions.urls import resolve_url
 from ..operators import extract as ex
 from ..sources.shred import shred_pages
 from . import sqltext as q
@@ -138,21 +139,40 @@ def event_docs(spark, sf) -> DataFrame:
 
 def json_items(spark, sf):
     K, I, E = jsonx.Key, jsonx.Index, jsonx.Each
-    df = event_docs(spark, sf).withColumn("v", F.try_parse_json("doc"))
     v = F.col("v")
-    listed = jsonx.items(v, K("data"), K("list"))
-    rows = df.select("event_id", "v", F.posexplode(listed).alias("ord", "item"))
-    return rows.select(
-        "event_id",
-        F.col("ord").cast("bigint").alias("ord"),
-        jsonx.value(F.col("item"), K("id")).alias("id"),
-        jsonx.value(F.col("item"), K("name")).alias("name"),
-        jsonx.value(v, K("data"), K("list"), I(-2), K("id")).alias("from_end"),
-        jsonx.value(v, K("data"), K("list"), E(), K("id")).alias("all_ids"),
-        jsonx.value(v, K("data"), K("props"), E()).alias("prop"),
-        jsonx.value(v, K("data"), K("user name")).alias("quoted"),
-        F.concat(F.lit("/api?k="), jsonx.value(v, K("data"), K("props"), K("k")), F.lit("&x="), jsonx.value(v, K("nope"))).alias("link"),
+    # What belongs to the whole response is worked out once, before its items are unfolded.
+    whole = {
+        "from_end": jsonx.value(v, K("data"), K("list"), I(-2), K("id")),
+        "all_ids": jsonx.value(v, K("data"), K("list"), E(), K("id")),
+        "prop": jsonx.value(v, K("data"), K("props"), E()),
+        "quoted": jsonx.value(v, K("data"), K("user name")),
+        "link": F.concat(
+            F.lit("/api?k="), jsonx.value(v, K("data"), K("props"), K("k")), F.lit("&x="), jsonx.value(v, K("nope"))
+        ),
+    }
+    df = event_docs(spark, sf).withColumn("v", F.try_parse_json("doc")).withColumns(whole)
+    fields = {"id": lambda v, x: jsonx.value(x, K("id")), "name": lambda v, x: jsonx.value(x, K("name"))}
+    rows = ex.json_rows(df, ["event_id", *whole], jsonx.items(v, K("data"), K("list")), fields)
+    return rows.withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def extract_rows_json(spark, sf):
+    """Six fields per item of a JSON response; two of them belong to the whole response."""
+    K = jsonx.Key
+    v = F.col("v")
+    df = event_docs(spark, sf).withColumn("v", F.try_parse_json("doc"))
+    df = df.withColumns(
+        {"author": jsonx.value(v, K("data"), K("user name")), "kind": jsonx.value(v, K("data"), K("props"), K("k"))}
     )
+    base = F.lit("https://api.example/search?q=x")
+    fields = {
+        "name": lambda v, x: jsonx.value(x, K("name")),
+        "intro": lambda v, x: jsonx.value(x, K("nope")),
+        "cover_url": lambda v, x: resolve_url(F.concat(jsonx.value(x, K("name")), F.lit(".jpg")), base),
+        "book_url": lambda v, x: resolve_url(F.concat(F.lit("/b/"), jsonx.value(x, K("id"))), base),
+    }
+    rows = ex.json_rows(df, ["event_id", "author", "kind"], jsonx.items(v, K("data"), K("list")), fields)
+    return rows.withColumn("ord", F.col("ord").cast("bigint"))
 
 
 def json_deep_find(spark, sf):
@@ -246,6 +266,7 @@ QUERIES = {
     "html_to_text": html_to_text,
     "json_items": json_items,
     "json_deep_find": json_deep_find,
+    "extract_rows_json": extract_rows_json,
     "regex_items": regex_items,
     "regex_rewrite": regex_rewrite,
     "field_fallback": field_fallback,
@@ -304,6 +325,11 @@ union all select page_id, i - 1, {_X}, case when x like '<b>%' then '' else {_X}
 select event_id, o as ord, coalesce(j->'data'->'list'->o->>'id', '') as id, coalesce(j->'data'->'list'->o->>'name', '') as name,
  cast(event_id + 1 as varchar) as from_end, concat('[', event_id, ',', event_id + 1, ',null]') as all_ids,
  j->'data'->'props'->>'k' as prop, j->'data'->>'user name' as quoted, concat('/api?k=', j->'data'->'props'->>'k', '&x=') as link
+from d, (values (cast(0 as bigint)), (1), (2)) t(o)""",
+    "extract_rows_json": f"""with d as (select event_id, event_type, cast({EVENT_JSON.format()} as json) as j from events)
+select event_id, o as ord, j->'data'->>'user name' as author, j->'data'->'props'->>'k' as kind, case when o = 0 then event_type else '' end as name, '' as intro,
+ concat('https://api.example/', case when o = 0 then event_type else '' end, '.jpg') as cover_url,
+ concat('https://api.example/b/', case o when 0 then cast(event_id as varchar) when 1 then cast(event_id + 1 as varchar) else '' end) as book_url
 from d, (values (cast(0 as bigint)), (1), (2)) t(o)""",
     "json_deep_find": f"""with d as (select event_id, json_extract(cast({EVENT_JSON.format()} as json), '$..k') as l from events)
 select event_id, case i when 3 then 0 when 4 then 3 else i end as ord, value from (

@@ -13,7 +13,7 @@ from ..operators import extract as ex
 from ..operators import toc as tc
 from ..sources.shred import shred_pages
 from . import sqltext as q
-from .extraction import NAV_LINKS, nodes, pages_of, shredded
+from .extraction import NAV_LINKS, event_docs, nodes, pages_of, shredded
 from .views import sql_view, tables, view
 
 
@@ -59,6 +59,41 @@ def info_extract(spark, sf):
     return shredded(spark, sf).select("page_id", *[c.alias(n) for n, c in fields.items()])
 
 
+def info_extract_json(spark, sf):
+    """Detail fields of JSON responses."""
+    K, I = jsonx.Key, jsonx.Index
+    v = F.col("v")
+    fields = tc.info_fields(
+        F.lit("https://api.example/book/1"),
+        name=jsonx.value(v, K("data"), K("user name")),
+        author=jsonx.value(v, K("data"), K("nope")),
+        intro=jsonx.value(v, K("data"), K("list"), I(0), K("name")),
+        cover_url=jsonx.value(v, K("data"), K("list"), I(2), K("id")),
+        toc_url=F.concat(F.lit("toc/"), jsonx.value(v, K("data"), K("list"), I(1), K("id"))),
+    )
+    docs = event_docs(spark, sf).withColumn("v", F.try_parse_json("doc"))
+    return docs.select("event_id", *[c.alias(n) for n, c in fields.items()])
+
+
+def toc_extract_json(spark, sf):
+    """Chapters out of JSON responses: ten responses make one book, the first of equal addresses stays."""
+    K = jsonx.Key
+    docs = event_docs(spark, sf).select(
+        F.floor(F.col("event_id") / 10).alias("book_id"),
+        F.col("event_id").alias("page_no"),
+        F.lit("https://api.example/toc").alias("url"),
+        F.try_parse_json("doc").alias("v"),
+    )
+    items = tc.toc_json_items(
+        docs,
+        ["book_id"],
+        jsonx.items(F.col("v"), K("data"), K("list")),
+        lambda v, x: F.concat(F.lit(" "), jsonx.value(x, K("id"))),
+        lambda v, x: F.concat(F.lit("/c/"), jsonx.value(x, K("id"))),
+    )
+    return tc.toc_from_items(items, ["book_id"]).select("book_id", "idx", "title", "url")
+
+
 def info_init(spark, sf):
     """Fields read only from the part of the page that an init value picked out."""
     article = dom.first(dom.select(nodes(), Step(tag="article")))
@@ -202,6 +237,8 @@ def content_drop_title_line(spark, sf):
 QUERIES = {
     "info_extract": info_extract,
     "info_init": info_init,
+    "info_extract_json": info_extract_json,
+    "toc_extract_json": toc_extract_json,
     "info_backfill": info_backfill,
     "toc_extract": toc_extract,
     "toc_link_fallback": toc_link_fallback,
@@ -233,6 +270,12 @@ ORACLES = {
  {q.root_link("regexp_extract(html, '<a href=\"([^\"]*)\"', 1)", 'url')} as toc_url from pages""",
     "info_init": f"""select page_id, {q.plain(q.H1)} as name, cast(len(string_split({q.ARTICLE}, '<p>')) - 1 as bigint) as n_paragraphs,
  cast(0 as bigint) as n_links from pages""",
+    "info_extract_json": """select event_id, cast(user_id as varchar) as name, cast(null as varchar) as author, event_type as intro,
+ cast(null as varchar) as cover_url, concat('https://api.example/book/toc/', event_id + 1) as toc_url from events""",
+    "toc_extract_json": """with i as (select event_id // 10 as book_id, event_id as page_no, o, event_id + o as id from events, (values (0), (1)) t(o)),
+f as (select * from i qualify row_number() over (partition by book_id, id order by page_no, o) = 1)
+select book_id, cast(row_number() over (partition by book_id order by page_no, o) - 1 as int) as idx, cast(id as varchar) as title,
+ concat('https://api.example/c/', id) as url from f""",
     "info_backfill": f"""select b.id, source_url, book_url,
  case when b.author like '%1' and s.s_suppkey is not null then concat('c', s_suppkey) when b.author like '%1' then '' else 'old-cover' end as cover_url,
  case when b.author like '%2' and s.s_suppkey is not null then concat('i', s_suppkey) when b.author like '%2' then '' else 'old-intro' end as intro,
