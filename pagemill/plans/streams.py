@@ -48,8 +48,8 @@ def stream_stale_drop(spark, sf):
 def stream_incremental_group(spark, sf):
     path = new_table_path(spark, "groups")
     rows = spark.sql(VIEWS["results"], lineitem=landed(spark, sf, "lineitem"), **tables(spark, sf, "part"))
-    table = jobs.group_results(searching.keyed(rows), path, searching.ORDER)
-    groups = se.group_variants(table.current())
+    jobs.group_results(searching.keyed(rows), path, searching.ORDER)
+    groups = se.group_variants(jobs.current_variants(spark, path, searching.ORDER))
     return groups.select("group_key", "name", "author", "source_url", "book_url", "kind", "n_alternatives")
 
 

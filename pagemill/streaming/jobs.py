@@ -86,17 +86,18 @@ def run_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int], N
     query.awaitTermination()
 
 
+def _write_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch that runs again overwrites its own folder."""
+    return lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/data/batch={i}")
+
+
 def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
 def keep_latest_progress(events: DataFrame, path: str) -> None:
-    """Write the positions that each micro-batch changed; a batch that runs again overwrites its own folder."""
-
-    def each(rows: DataFrame, i: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{path}/data/batch={i}")
-
-    run_batches(latest_progress(events), path, each, mode="update")
+    """Write the positions that each micro-batch changed."""
+    run_batches(latest_progress(events), path, _write_batch(path), mode="update")
 
 
 def current_progress(spark: SparkSession, path: str) -> DataFrame:
@@ -129,17 +130,14 @@ def drop_stale(responses: DataFrame, path: str) -> None:
     run_batches(responses, path, each)
 
 
-def group_results(results: DataFrame, path: str, order: list[str]) -> MergedTable:
-    """Keep the variants of all results seen so far; :func:`se.group_variants` of it gives the groups.
+def group_results(results: DataFrame, path: str, order: list[str]) -> None:
+    """Follow the first sighting of every variant in Spark's state store, and write those that a micro-batch changed.
 
     ``results`` rows carry group_key, source_url, book_url and the ``order`` columns.
     """
+    run_batches(se.variants(results, order), path, _write_batch(path), mode="update")
 
-    def merge(df: DataFrame) -> DataFrame:
-        fields = [c for c in df.columns if c not in ("group_key", "source_url", "book_url", "first_seen")]
-        raw = df.select("group_key", "source_url", "book_url", *fields)
-        return se.variants(raw, order)
 
-    table = MergedTable(results.sparkSession, f"{path}/state", merge)
-    run_batches(results, path, lambda rows, i: table.add(i, rows))
-    return table
+def current_variants(spark: SparkSession, path: str, order: list[str]) -> DataFrame:
+    """All variants seen so far; :func:`se.group_variants` of it gives the groups."""
+    return se.variants(read_appended(spark, path).drop("first_seen", "batch"), order)
