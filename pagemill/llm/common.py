@@ -114,7 +114,7 @@ class Words:
     def row(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def hashes(self, block: int = 1 << 21) -> np.ndarray:
+    def hashes(self, block: int = 1 << 19) -> np.ndarray:
         """64 bits for each word, worked out a block of bytes at a time."""
         out = np.empty(len(self.start), np.uint64)
         lo = 0
@@ -146,7 +146,7 @@ class Spans:
         return mix64((self.sums[hi] - self.sums[lo]) * self.undo[lo] + (hi - lo).astype(np.uint64))
 
 
-def row_blocks(column: pa.Array, target: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def row_blocks(column: pa.Array, target: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``target`` bytes of text each (a longer text stands alone), to bound memory."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     lo, total = 0, 0
