@@ -21,7 +21,6 @@ NEAR_LINK = rf"\A{PLAIN}++(?:{PLAIN}++|[?.]|/(?!\.))*+\z"
 PLAIN_BASE = r"\A(https?://[a-z0-9.\-]+)(?:[/?#]|\z)"
 BARE_HOST = r"\A(https?://[a-z0-9.\-]+)(?:[?#]|\z)"
 PLAIN_FOLDER = rf"\A(https?://[a-z0-9.\-]+/(?:(?!\.)[A-Za-z0-9_~!$&()*+,;=:@%.\-]*/)*)(?!\.)[A-Za-z0-9_~!$&()*+,;=:@%.\-]*(?:[?#]|\z)"
-BASE = r"\A(https?://[a-z0-9.\-]+)(?:[/?#]|\z)"
 BASE = r"(?i)^(https?):/*([^/\\?#]+)([^?#]*)(\?[^#]*)?"
 
 

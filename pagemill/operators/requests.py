@@ -13,6 +13,7 @@ from ..functions.urls import ABSOLUTE, encode_component, resolve_url
 FORM = "application/x-www-form-urlencoded"
 OPTIONS = "struct<method:string,body:string,charset:string,headers:map<string,string>>"
 LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
+# Fixed value: how a template may name the search key.
 KEY_FORMS = r"\{\{\s*(?:key|(?i:(?:java\.)?encodeURI(?:Component)?)\(\s*key(?:\s*,\s*['\"][^'\"]+['\"])?\s*\))\s*\}\}"
 
 
