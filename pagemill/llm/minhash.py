@@ -145,9 +145,9 @@ def set_table(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     fields = [StructField("node", LongType()), StructField("set", ArrayType(LongType()))]
     return (
         keyed.join(nodes.select("node", "hash"), ["node", "hash"])
+        .dropDuplicates(["node", "hash"])  # repeated rows; dealt out as the join left them
         .select(F.col("node").cast("long").alias("node"), "text")
         .mapInArrow(run, StructType(fields))
-        .dropDuplicates(["node"])
     )
 
 
