@@ -177,3 +177,38 @@ def clean_documents(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, i, list_slice(w, i, i + 7) as k from (select doc_id, w, unnest(range(1, len(w) - 6)) as i from d)),
+rep as (select doc_id, i from win qualify count(*) over (partition by doc_id, k) > 1),
+cov as (select doc_id, count(distinct i + j)::bigint as n from rep, range(0, 8) r(j) group by doc_id),
+cut as (select doc_id, unnest(string_split(t, chr(10))) as x, generate_subscripts(string_split(t, chr(10)), 1) as n from d),
+l as (
+  select *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as lw, length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) as symbols,
+    row_number() over (partition by doc_id, x order by n) > 1 as again
+  from cut),
+f as (
+  select doc_id, len(lw) as words, len(lw) > 0 and again as doubled,
+    len(lw) > 0 and (
+      symbols > 0.25 * len(lw)
+      or (len(list_filter(lw, lambda y: y = '|')) >= 3 and 5 * len(list_filter(lw, lambda y: y = '|')) >= len(lw))
+      or len(list_filter(range(2, len(lw) + 1), lambda i: lw[i] = lw[i - 1])) > 0.2 * len(lw)
+      or again
+      or regexp_matches(x, '(?i)terms of (?:use|service)|privacy policy|(?:accept|use) cookies|cookie policy|subscribe to our|sign up for|click here|skip to (?:main )?content|back to top|follow us on')
+    ) as failed,
+    regexp_matches(x, '(?i)licen[sc]ed under|released under|all rights reserved') as notice
+  from l),
+s as (
+  select doc_id, count(*) filter (where doubled) as n_dup_lines,
+    coalesce(sum(words) filter (where failed and not notice), 0)::bigint as n_lost_words
+  from f group by doc_id),
+b as (
+  select d.doc_id, len(w)::bigint as n_words, length(array_to_string(w, ''))::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, n_dup_lines, coalesce(cov.n, 0) as n_repeat_words,
+    n_lost_words
+  from d join s on s.doc_id = d.doc_id left join cov on cov.doc_id = d.doc_id),
+g as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from b)
+select *, not base_failed and n_lost_words <= 0.5 * n_words as kept from g
+"""
