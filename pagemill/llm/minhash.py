@@ -317,3 +317,23 @@ def keep_one(docs: DataFrame, **options: int) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with recursive d as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+sh as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 2), ' ') as s
+  from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from d)
+  union all select doc_id, array_to_string(w, ' ') from d where len(w) in (1, 2)),
+n as (select doc_id, count(*) as n from sh group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as inter from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n nx on nx.doc_id = x join n ny on ny.doc_id = y where 100 * inter >= 85 * (nx.n + ny.n - inter)),
+e as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id as seen from d union select r.doc_id, e.y from r join e on e.x = r.seen),
+c as (select doc_id, min(seen) as component_id from r group by doc_id)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from d join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id
+"""

@@ -16,4 +16,10 @@ QUERIES = {
     "op9_topk": topk.query,
     "op10_minhash": minhash.query,
 }
-ORACLES = {"op3_mixing": mixing.SQL, "op7_quality_rules": lines.SQL, "op9_topk": topk.SQL}
+ORACLES = {
+    "op3_mixing": mixing.SQL,
+    "op5_substring_dedup": substrings.SQL,
+    "op7_quality_rules": lines.SQL,
+    "op9_topk": topk.SQL,
+    "op10_minhash": minhash.SQL,
+}

@@ -271,3 +271,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> Data
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) as k
+  from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+rep as (select doc_id, i from win qualify min(doc_id) over (partition by k) < doc_id),
+gone as (select doc_id, list(p) as spots, count(*) as n from (select distinct doc_id, i + j as p from rep, range(0, 50) r(j)) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n, 0)::bigint as n_removed,
+  sha256(array_to_string(case when spots is null then w else list_filter(w, lambda x, i: not list_contains(spots, i)) end, ' ')) as kept_sha256
+from d left join gone on gone.doc_id = d.doc_id
+"""

@@ -16,7 +16,7 @@ class WordEncoder:
     ``room`` words are remembered: beyond, those used least are forgotten.
     """
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
