@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from pagemill.llm.common import row_blocks, running
-from pagemill.llm.words_bpe import encoder, words_of
+from pagemill.llm.words_bpe import BLOCK, encoder, words_of
 from pagemill.session import cut_lineage
 
 LENGTH = 4096
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, nth = encoder(path), 0
         for batch in batches:
-            for lo, hi in row_blocks(batch.column(1)):
+            for lo, hi in row_blocks(batch.column(1), BLOCK):
                 rows = batch.slice(lo, hi - lo)
                 words = [words_of(t or "") for t in rows.column(1).to_pylist()]
                 ids, sizes = enc.gather(enc.slots([w for own in words for w in own]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from pagemill.llm.common import row_blocks
-from pagemill.llm.words_bpe import WordEncoder, encoder, words_of
+from pagemill.llm.words_bpe import BLOCK, WordEncoder, encoder, words_of
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -90,7 +90,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for lo, hi in row_blocks(batch.column(1)):
+            for lo, hi in row_blocks(batch.column(1), BLOCK):
                 rows = batch.slice(lo, hi - lo)
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 short = [words_of(t) if len(t) <= chunk else [] for t in texts]

@@ -7,6 +7,10 @@ import sys
 import numpy as np
 from tokenizers import Tokenizer
 
+BLOCK = 1 << 22
+"""Bytes of text encoded at a time: new words are looked for once in each block."""
+
+
 class WordEncoder:
     """Encodes texts word by word and remembers the ids of the words seen.
 
@@ -16,7 +20,7 @@ class WordEncoder:
     ``room`` words are remembered: beyond, those used least are forgotten.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
