@@ -13,14 +13,14 @@ from ..session import cut_lineage
 TOC_PAGES = 20
 CONTENT_PAGES = 10
 
-HOPS = 5
+HOPS = 10
 
 
 def follow(starts: DataFrame, links: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Pages reached from each start: (keys, page_no from 1, url), none twice, at most ``limit`` if one is given.
 
-    ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Chains advance five
-    links per stored round: inside a round the links are shuffled once and that shuffle serves all five
+    ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Chains advance ten
+    links per stored round: inside a round the links are shuffled once and that shuffle serves all ten
     joins. Only chains that still go on take part in the next round, and the loop ends when none does.
     """
     step = links.where(F.coalesce("next_url", F.lit("")) != "").groupBy("url").agg(F.min("next_url").alias("next_url"))
