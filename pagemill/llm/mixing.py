@@ -81,15 +81,17 @@ def copies(docs: DataFrame, seed: str = "mix", extra: list[str] | None = None, m
 def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is emitted, with the columns of ``docs``.
 
-    Rows that agree in doc_id, source, size and text are told apart by number; others keep their own copies.
+    Rows that agree in doc_id, source and text are one key of the plan. They are numbered, and the plan's copies of the
+    key are dealt out among them evenly, so all of them together are emitted as often as the plan says. Only rows of keys
+    that come more than once are stored for that.
     """
     names = docs.columns
     own = docs.select("doc_id", "source", "text", text_hash(F.col("text")).alias("_hash"))
     chosen = copies(own, seed, ["_hash"])
     chosen = cut_lineage(
-        chosen.where("copies > 0")
-        .groupBy("doc_id", "no_source", "source", "_hash")
-        .agg(F.sum("copies").alias("_emit"), F.min("size").alias("_size"))
+        chosen.groupBy("doc_id", "no_source", "source", "_hash")
+        .agg(F.sum("copies").cast("long").alias("_emit"), F.count(F.lit(1)).alias("_rows"))
+        .where("_emit > 0")
     )
     keyed = docs.select(
         *[F.col(c).alias(f"_doc_{i}") for i, c in enumerate(names)],
@@ -104,7 +106,20 @@ def mix_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
         & (F.col("_k_source") == F.col("source"))
         & (F.col("_k_hash") == F.col("_hash"))
     )
-    out = keyed.join(chosen, same)
+    columns = [f"_doc_{i}" for i in range(len(names))]
+    out = keyed.join(chosen.where("_rows = 1"), same).select(*columns, "_emit")
+    again = chosen.where("_rows > 1")
+    if not again.isEmpty():
+        key = ["_k_no_id", "_k_text_id", "_k_none", "_k_source", "_k_hash"]
+        rows = (
+            keyed.join(again, same)
+            .withColumn("_k_no_id", F.col("_k_id").isNull())
+            .withColumn("_k_text_id", F.coalesce(F.col("_k_id").cast("string"), F.lit("")))
+            .select(*columns, *key, "_emit", "_rows", F.rand(7).alias("_draw"), F.lit(1).cast("long").alias("_one"))
+        )
+        passed = F.expr("_emit * (_nth + 1) div _rows - _emit * _nth div _rows")
+        numbered = running(rows, key, ["_draw"], "_one", "_nth").withColumn("_emit", passed)
+        out = out.unionByName(numbered.select(*columns, "_emit").where("_emit > 0"))
     return out.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_emit")))).select(
         *[F.col(f"_doc_{i}").alias(c) for i, c in enumerate(names)]
     )

@@ -122,6 +122,22 @@ def test_mix_documents(docs, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_mix_documents_deals_out_repeats(spark):
+    """Rows that agree in doc_id, source and text are emitted as often as the plan says, all together."""
+    rest = [None] * 11
+    rows = [(1, "a b c", "en", "a", 0, *rest)] * 40 + [(2, "d e f g", "en", "a", 0, *rest), (2, "other", "en", "a", 0, *rest)]
+    rows += [(None, "h i", "en", None, 0, *rest)] * 9 + [(3, "big " * 300, "en", "b", 0, *rest), (4, None, "en", "a", 0, *rest)]
+    rows += [(5, "j k l", "en", "c", 0, f"row {i}", *rest[1:]) for i in range(20)]
+    table = frame(spark, rows)
+    plan = collections.Counter()
+    for r in mixing.copies(table.withColumn("_hash", mixing.text_hash(table["text"])), extra=["_hash"]).collect():
+        plan[r.doc_id, None if r.no_source else r.source, r.size] += r.copies
+    out = mixing.mix_documents(table).collect()
+    assert collections.Counter((r.doc_id, r.source, len(words(r.text))) for r in out) == +plan
+    assert plan[1, "a", 3] > 1 and plan[None, None, 2] > 1  # else nothing is told apart
+    assert max(collections.Counter(r.k1 for r in out if r.doc_id == 5).values()) <= 3
+
+
 def test_lm_scores(spark, docs, rows, empty):
     out = neural.score_documents(docs, classes=40, common=60).collect()
     own = [(r[0], [w.translate(data.LOWER) for w in words(r[1])] + ["\n"]) for r in rows]
