@@ -29,6 +29,8 @@ MAX_ECHO = 0.2
 """A line fails the repetition rule if more of its words than this equal the word before."""
 MAX_LOST = 0.5
 """A document is rejected if more of its words than this stand in failed lines."""
+PROSE = 40
+"""In a line of more words than this a phrase is part of what the line says, not what the line is."""
 _BASE = 0x8CB92BA72F3D8DD7
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
@@ -58,8 +60,12 @@ def _per(index: np.ndarray, n: int, weight: np.ndarray | None = None) -> np.ndar
     return np.bincount(index, weight, n).astype(np.int64)
 
 
-def judge(column: pa.Array) -> dict[str, list | np.ndarray]:
-    """Counts and verdicts of some texts, and the texts without their failed lines."""
+def judge(column: pa.Array, prose: int | None = None) -> dict[str, list | np.ndarray]:
+    """Counts and verdicts of some texts, and the texts without their failed lines.
+
+    With ``prose``, phrases and notices say nothing about lines of more words than that, and a text of which no word
+    would stay is not kept.
+    """
     texts = Texts(column)
     words = texts.words()
     data, rows = texts.data, len(words.count)
@@ -84,6 +90,7 @@ def judge(column: pa.Array) -> dict[str, list | np.ndarray]:
         | ((bars >= MIN_BARS) & (5 * bars >= in_line))
         | (echoes > MAX_ECHO * in_line)
     ) & (in_line > 0)
+    phrased = (in_line > 0) & (in_line <= prose) if prose is not None else in_line > 0
     doubled = np.zeros(rows, np.int64)
     notice = np.zeros(n_lines, bool)
     clean = []
@@ -105,7 +112,7 @@ def judge(column: pa.Array) -> dict[str, list | np.ndarray]:
         for pattern, mark in ((BOILERPLATE, failed), (NOTICE, notice)):
             if pattern.search(text):
                 for j, part in enumerate(lines):
-                    if solid[j] and pattern.search(part):
+                    if phrased[a + j] and pattern.search(part):
                         mark[a + j] = True
         bad = failed[a:b] | notice[a:b]
         clean.append("\n".join([part for part, out in zip(lines, bad) if not out]) if bad.any() else text)
@@ -123,6 +130,8 @@ def judge(column: pa.Array) -> dict[str, list | np.ndarray]:
     }
     out["base_failed"] = (out["n_words"] < 20) | (100 * out["n_repeat_words"] > 30 * out["n_words"])
     out["kept"] = ~out["base_failed"] & (out["n_lost_words"] <= MAX_LOST * out["n_words"])
+    if prose is not None:
+        out["kept"] &= np.diff(np.append(0, np.cumsum(np.where(failed | notice, 0, in_line)))[first_line]) > 0
     out["clean_text"] = clean
     return out
 
@@ -157,7 +166,11 @@ def apply_rules(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` without rejected documents, the others without their failed lines; ``n_chars`` follows the text."""
+    """``docs`` without rejected documents, the others without their failed lines; ``n_chars`` follows the text.
+
+    The rules are those of :func:`apply_rules`, except that a phrase or notice inside a line of more than ``PROSE`` words
+    is left where it stands, and a document that would lose all its words goes.
+    """
     columns = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +178,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
             at = columns.index("text")
             for lo, hi in row_blocks(batch.column(at)):
                 part = batch.slice(lo, hi - lo)
-                found = judge(part.column(at))
+                found = judge(part.column(at), PROSE)
                 own = [pa.array(found["clean_text"], pa.string()) if n == "text" else part.column(n) for n in columns]
                 yield pa.RecordBatch.from_arrays(own, columns).filter(pa.array(found["kept"]))
 

@@ -324,6 +324,21 @@ def test_line_rules(spark):
     assert {r.doc_id: r.n_chars for r in clean.collect()} == {1: 2 * len(prose) + 1, 3: len(prose), 5: len(prose)}
 
 
+def test_phrases_in_running_prose(spark):
+    """A phrase in a long line of prose costs neither the line nor the document; short lines go as before."""
+    words_500 = [f"word{i}" for i in range(500)]
+    texts = {}
+    for i, phrase in enumerate(["our privacy policy", "click here", "released under the MIT License", "All rights reserved"]):
+        texts[i] = " ".join([*words_500[:250], phrase, *words_500[250:]])
+        texts[10 + i] = texts[i] + "\n" + phrase + "\n" + " ".join(words_500[::-1])
+    texts[20] = "\n".join(f"Part {i} of {i + 1} is licensed under licence {i}" for i in range(10))  # notices alone
+    rows = [(i, t, "en", "s", 0, *([None] * 11)) for i, t in texts.items()]
+    got = {r.doc_id: r.text for r in lines.clean_documents(frame(spark, rows)).collect()}
+    want = {i: t for i, t in texts.items() if i < 10}
+    want |= {i: "\n".join(t.split("\n")[::2]) for i, t in texts.items() if 10 <= i < 20}
+    assert got == want
+
+
 def test_packing(docs, rows, empty):
     tokenizer = Tokenizer.from_file(PATH)
     want = collections.Counter()
