@@ -7,11 +7,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from pagemill.llm.common import Texts, Words, mix64, powers, row_blocks, text_hash
+from pagemill.llm.common import WORD, Texts, Words, mix64, powers, row_blocks, text_hash
 from pagemill.llm.components import components
 from pagemill.session import cut_lineage
 
@@ -284,6 +284,18 @@ def link_classes(docs: DataFrame, percent: int, width: int, bands: int, rows: in
     return table, cut_lineage(named.select(*same, F.coalesce("component", "node").alias("component")))
 
 
+def verdicts(table: DataFrame, named: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``table``, from what :func:`link_classes` found."""
+    joined = table.drop("keys", "hash").join(named, ["n_shingles", "d1", "d2"], "left")
+    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return joined.select(
+        "doc_id",
+        "n_shingles",
+        component.cast("long").alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
+    )
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 85, width: int = 3, bands: int = BANDS, rows: int = ROWS
 ) -> DataFrame:
@@ -297,22 +309,38 @@ def near_duplicates(
     Null and empty texts have no shingles and are linked with nothing. A row without a doc_id is linked with nothing
     and has no component; it is kept. Rows that share a doc_id are the same document and share their component.
     """
-    table, named = link_classes(docs, percent, width, bands, rows)
-    joined = table.drop("keys", "hash").join(named, ["n_shingles", "d1", "d2"], "left")
-    component = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return joined.select(
-        "doc_id",
-        "n_shingles",
-        component.cast("long").alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
-    )
+    return verdicts(*link_classes(docs, percent, width, bands, rows))
 
 
-def keep_one(docs: DataFrame, **options: int) -> DataFrame:
-    """``docs`` without the documents that a kept one of their component stands for."""
-    gone = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("doc"))
-    return rows.join(cut_lineage(gone), F.col("doc.doc_id") == F.col("gone"), "left_anti").select("doc.*")
+def keep_one(
+    docs: DataFrame, percent: int = 85, width: int = 3, bands: int = BANDS, rows: int = ROWS
+) -> DataFrame:
+    """``docs`` without the rows that a kept one of their component stands for.
+
+    Of rows that share the kept doc_id and their set of shingles one stays. Rows without a doc_id take part under an
+    id made from their text, so equal ones are one document, and beyond the ids of most tables, so that documents with
+    an id are kept before them. Without a doc_id and without words a row is linked with nothing and stays.
+    """
+    text = text_hash(F.col("text"))
+    spare = F.when(F.col("text").rlike(WORD), F.lit(2**62) + F.pmod(text, F.lit(2**62)))
+    own = F.coalesce(F.col("doc_id").cast("long"), spare)
+    table, named = link_classes(docs.select(own.alias("doc_id"), "text"), percent, width, bands, rows)
+    gone = cut_lineage(verdicts(table, named).where("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    whole = docs.select(F.struct(*docs.columns).alias("doc"), own.alias("own_id"), text.alias("own_hash"))
+    out = whole.join(gone, F.col("own_id") == F.col("gone"), "left_anti")
+    # Of rows that share doc_id and set, those with the smallest text hash stay; if they are several, one of them.
+    same = ["doc_id", "n_shingles", "d1", "d2"]
+    times = table.where("doc_id is not null").groupBy(*same, "hash").agg(F.count(F.lit(1)).alias("times"))
+    listed = cut_lineage(
+        times.withColumn("first", F.col("hash") == F.min("hash").over(Window.partitionBy(*same)))
+        .where("not first or times > 1")
+        .select(F.col("doc_id").alias("twice"), F.col("hash").alias("twice_hash"), "first")
+    )
+    if listed.isEmpty():
+        return out.select("doc.*")
+    listed_row = (F.col("own_id") == F.col("twice")) & (F.col("own_hash") == F.col("twice_hash"))
+    one = out.join(listed.where("first"), listed_row, "left_semi").dropDuplicates(["own_id", "own_hash"])
+    return out.join(listed, listed_row, "left_anti").unionByName(one).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

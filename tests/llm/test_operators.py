@@ -481,6 +481,23 @@ def test_near_duplicates(docs, rows, empty, percent, width, bands):
         assert {r.doc_id for r in one.collect()} == {c for d, _, c in want if d == c}
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Rows that repeat the kept doc_id and text, and rows without a doc_id, leave one as well."""
+    import random
+
+    rng = random.Random(4)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(100)) for _ in range(4))
+    texts = [(1, a)] * 5 + [(1, a.upper()), (1, b), (2, a + " end"), (None, a), (None, c), (None, c), (None, c + " end")]
+    texts += [(3, d), (None, None), (None, ""), (4, ""), (4, None)]
+    table = frame(spark, [(i, t, "en", "s", 0, *([None] * 11)) for i, t in texts])
+    out = [(r.doc_id, (r.text or "").lower()) for r in minhash.keep_one(table).collect()]
+    ended = sorted(t for i, t in out if i is None and t)
+    assert ended in ([c], [c + " end"])
+    assert collections.Counter((i, t) for i, t in out if i is not None or not t) == collections.Counter(
+        [(1, a), (1, b), (3, d), (None, ""), (None, ""), (4, "")]
+    )
+
+
 def test_no_link_is_lost_where_the_hub_misses(spark, monkeypatch):
     """Chains of near copies: neighbours are linked, most are not linked to any hub. Small blocks take part too."""
     import random
