@@ -34,7 +34,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     factor = powers(_SALT, width + 1)[1:]
     n = len(h)
     full = np.zeros(n, np.uint64)
-    for j in range(width):
+    for j in range(min(width, n)):
         full[: n - j] += h[j:] * factor[j]
     ends = words.row_end()
     inside = np.arange(n) + width <= ends
