@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from pagemill.llm import lines, minhash, mixing, neural, packing, quality, sharding, substrings, tokens, topk
+from pagemill.llm import (
+    lines,
+    minhash,
+    mining,
+    mixing,
+    neural,
+    packing,
+    quality,
+    sharding,
+    sigtree,
+    substrings,
+    tokens,
+    topk,
+    trie,
+)
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_topk": topk.query,
     "op10_minhash": minhash.query,
+    "op11_hard_negatives": mining.query,
+    "op12_prefix_trie": trie.query,
+    "op13_ngram_join": sigtree.query,
 }
 ORACLES = {
     "op3_mixing": mixing.SQL,
@@ -22,4 +39,7 @@ ORACLES = {
     "op7_quality_rules": lines.SQL,
     "op9_topk": topk.SQL,
     "op10_minhash": minhash.SQL,
+    "op11_hard_negatives": mining.SQL,
+    "op12_prefix_trie": trie.SQL,
+    "op13_ngram_join": sigtree.SQL,
 }
