@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.session import cut_lineage
+from pagemill.session import cut_lineage, new_table_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 """A word: a run of anything but ASCII white space."""
@@ -19,6 +19,14 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: unlike a checkpoint it has a known size, by which Spark may choose
+    to broadcast it instead of shuffling what it is joined with."""
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def running(df: DataFrame, group: list[str], order: list[str], weight: str, name: str = "before") -> DataFrame:
     """Add the sum of ``weight`` over the rows that come earlier in their group.
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from pagemill.llm.common import Texts, mix64, row_blocks, text_hash
+from pagemill.llm.common import Texts, mix64, row_blocks, stored, text_hash
 from pagemill.llm.components import components
 from pagemill.llm.minhash import lists, shingles
 from pagemill.session import cut_lineage
@@ -205,13 +205,14 @@ def commonness(counts: DataFrame) -> np.ndarray:
 def representatives(docs: DataFrame, table: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, hash, text) once for each class of equal sets; most rows pass without a shuffle of their texts."""
     mine = classes.select(F.col("node").alias("doc_id"), "hash", F.lit(True).alias("chosen")).distinct()
-    listed = cut_lineage(
+    listed = stored(
         table.where("n_shingles > 0 and doc_id is not null")
         .groupBy("doc_id", "hash")
         .agg(F.count(F.lit(1)).alias("times"))
         .join(mine, ["doc_id", "hash"], "left")
         .where("chosen is null or times > 1")
-        .select("doc_id", "hash", F.col("chosen").isNotNull().alias("chosen"))
+        .select("doc_id", "hash", F.col("chosen").isNotNull().alias("chosen")),
+        "copies",
     )
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(F.col("text")).alias("hash"), "text")
     keyed = keyed.where("doc_id is not null and text is not null")
@@ -267,27 +268,25 @@ def trees(rare: DataFrame) -> DataFrame:
     All sets that share a rare token meet. Tokens with the same sets count once, and all tokens of one hub (the set that
     meets most others: the original among its copies) make one tree.
     """
-    rows = rare.select("node", "hash", "n", F.explode("rare").alias("token"))
-    shared = cut_lineage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    tagged = rare.withColumn("tag", F.xxhash64("node", "hash"))
+    rows = tagged.select("tag", F.explode("rare").alias("token"))
+    shared = stored(rows.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shared")
     met = cut_lineage(rows.join(shared, "token"))
-    tag = F.xxhash64("node", "hash")
-    alike = cut_lineage(
+    alike = stored(
         met.groupBy("token")
-        .agg(F.bit_xor(tag).alias("x"), F.min(tag).alias("low"), F.first("members").alias("members"))
+        .agg(F.bit_xor("tag").alias("x"), F.min("tag").alias("low"), F.first("members").alias("members"))
         .groupBy("x", "low", "members")
         .agg(F.min("token").alias("token"))
-        .select("token")
+        .select("token"),
+        "alike",
     )
     met = cut_lineage(met.join(alike, "token"))
-    worth = cut_lineage(met.groupBy("node", "hash").agg(F.sum("members").alias("worth")))
-    hubs = cut_lineage(
-        met.select("token", "node", "hash")
-        .join(worth, ["node", "hash"])
-        .groupBy("token")
-        .agg(F.max(F.struct("worth", "node", "hash")).alias("top"))
-        .select("token", F.xxhash64("top.node", "top.hash").alias("tree"))
+    worth = stored(met.groupBy("tag").agg(F.sum("members").alias("worth")), "worth")
+    hubs = stored(
+        met.join(worth, "tag").groupBy("token").agg(F.max(F.struct("worth", "tag")).alias("top")).select("token", F.col("top.tag").alias("tree")),
+        "hubs",
     )
-    return met.join(hubs, "token").select("tree", "node", "hash", "n").distinct()
+    return met.join(hubs, "token").select("tree", "tag").distinct().join(tagged.select("tag", "node", "hash", "n"), "tag").drop("tag")
 
 
 def traverse(dealt: DataFrame, percent: int) -> DataFrame:
@@ -359,10 +358,11 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
     )
     texts = representatives(docs, table, classes)
     grown = cut_lineage(trees(cut_lineage(rare_tokens(texts, levels, width, percent))))
-    sets = cut_lineage(set_table(texts, grown.select("node", "hash").distinct(), width))
+    sets = cut_lineage(set_table(texts, stored(grown.select("node", "hash").distinct(), "members"), width))
     parts = grown.groupBy("tree").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
-    parts = cut_lineage(
-        parts.select("tree", F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("tokens") / TOKENS)).cast("int").alias("parts"))
+    parts = stored(
+        parts.select("tree", F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("tokens") / TOKENS)).cast("int").alias("parts")),
+        "parts",
     )
     tag = F.xxhash64("node", "hash")
     part = F.when(tag == F.col("tree"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
