@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -171,7 +172,7 @@ def digest_table(docs: DataFrame, width: int) -> DataFrame:
                 columns = [part.column("doc_id"), part.column("hash"), *map(pa.array, (np.diff(first), *digest)), *blank]
                 yield pa.RecordBatch.from_arrays(columns, names)
         used = [i for i in range(COUNTERS // _SLICE) if hits[i * _SLICE : (i + 1) * _SLICE].any()]
-        cells = [hits[i * _SLICE : (i + 1) * _SLICE].tobytes() for i in used]
+        cells = [zlib.compress(hits[i * _SLICE : (i + 1) * _SLICE].tobytes(), 1) for i in used]
         if used:
             blank = [pa.nulls(len(used), t) for t in [pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays([*blank, pa.array(used, pa.int32()), pa.array(cells, pa.binary())], names)
@@ -189,7 +190,7 @@ def commonness(counts: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                got = np.frombuffer(cells, np.int64)
+                got = np.frombuffer(zlib.decompress(cells), np.int64)
                 sums[i] = sums[i] + got if i in sums else got
         if sums:
             levels = [np.minimum(4 * np.log2(s + 1.0), 255).astype(np.uint8).tobytes() for s in sums.values()]
@@ -358,7 +359,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
     )
     texts = representatives(docs, table, classes)
     grown = cut_lineage(trees(cut_lineage(rare_tokens(texts, levels, width, percent))))
-    sets = cut_lineage(set_table(texts, stored(grown.select("node", "hash").distinct(), "members"), width))
+    sets = set_table(texts, stored(grown.select("node", "hash").distinct(), "members"), width)
     parts = grown.groupBy("tree").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
     parts = stored(
         parts.select("tree", F.ceil(F.greatest(F.col("members") / MEMBERS, F.col("tokens") / TOKENS)).cast("int").alias("parts")),
@@ -368,7 +369,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
     part = F.when(tag == F.col("tree"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(
         F.array(F.pmod(F.xxhash64("hash", "node", F.lit(1)), F.col("parts")).cast("int"))
     )
-    dealt = grown.join(parts, "tree").withColumn("i", F.explode(part))
+    dealt = stored(grown.join(parts, "tree").withColumn("i", F.explode(part)), "dealt")
     first = (
         dealt.withColumn("j", F.col("i"))
         .withColumn("side", F.lit(0))
