@@ -90,6 +90,9 @@ def test_tree_traversal_loses_no_link(seed):
         for _ in range(rng.integers(1, 5)):
             sets.append(np.unique(np.where(rng.random(len(own)) < 0.05, rng.integers(0, 2**63, len(own), dtype=np.uint64), own)))
     got = sigtree.links(sets, np.arange(len(sets)), 80)
+    bits, sizes = [sigtree.bitmap(s, sigtree.width_of(len(s))) for s in sets], np.array([len(s) for s in sets])
+    has = sigtree.partners(bits, sizes, np.array([s[0] for s in sets]), 80)
+    assert all(has[i] for pair in got for i in pair)
     root = list(range(len(sets)))
 
     def find(i, r):
