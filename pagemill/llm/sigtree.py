@@ -397,7 +397,8 @@ def jaccard_join(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFram
     chosen = stored(chosen.unionByName(dealt.where("parts > 1")), "chosen")
     first = chosen.withColumn("j", F.col("i")).withColumn("side", F.lit(0)).withColumn("component", F.col("tag"))
     texts = single_texts(docs, own)
-    found = cut_lineage(traverse(first.join(texts, ["node", "hash"]), width, percent))
+    # The texts are the larger side and grow with the rest, so they are dealt out by key at any size.
+    found = cut_lineage(traverse(first.hint("merge").join(texts, ["node", "hash"]), width, percent))
     if not parts.where("parts > 1").isEmpty():
         found = found.unionByName(across_parts(dealt.where("parts > 1"), texts, found, width, percent))
     # Classes of one doc_id are one document.
