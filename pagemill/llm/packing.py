@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,20 +118,22 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1), BLOCK):
                 rows = batch.slice(lo, hi - lo)
-                words = [words_of(t or "") for t in rows.column(1).to_pylist()]
-                ids, sizes = enc.gather(enc.slots([w for own in words for w in own]))
+                words = [words_of(t) for t in rows.column(1).cast(pa.large_binary()).to_pylist()]
+                ids, sizes = enc.gather(enc.slots(list(chain.from_iterable(words))))
                 ends = np.cumsum([len(own) for own in words])
                 bounds = np.append(0, np.cumsum(sizes, dtype=np.int64))[np.append(0, ends)]
-                row, start, size, crc, whole = [], [], [], [], []
-                for i in range(len(words)):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], np.uint32(end)).astype("<u4")
-                    for at in range(0, len(own), length):
-                        part = own[at : at + length]
-                        row.append(i)
-                        start.append(at)
-                        size.append(len(part))
-                        crc.append(zlib.crc32(part.tobytes()))
-                        whole.append(len(own))
+                # All rows' ids in one array, each row's followed by its end.
+                own = np.diff(bounds)
+                joined = np.full(len(ids) + len(own), end, "<u4")
+                joined[np.arange(len(ids)) + np.repeat(np.arange(len(own)), own)] = ids
+                whole = own + 1
+                many = -(-whole // length)
+                row = np.repeat(np.arange(len(own)), many)
+                start = length * (np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many))
+                size = np.minimum(whole[row] - start, length)
+                at = (bounds[:-1] + np.arange(len(own)))[row] + start
+                crc = [zlib.crc32(joined[x : x + n]) for x, n in zip(at.tolist(), size.tolist())]
+                whole = whole[row]
                 longs = [pa.array(x, pa.int64()) for x in (start, size, crc, whole, range(nth, nth + len(row)))]
                 nth += len(row)
                 yield pa.RecordBatch.from_arrays(

@@ -9,6 +9,8 @@ from tokenizers import Tokenizer
 
 BLOCK = 1 << 22
 """Bytes of text encoded at a time: new words are looked for once in each block."""
+LONGEST = 96
+"""Bytes of a word that is remembered."""
 
 
 class WordEncoder:
@@ -16,8 +18,9 @@ class WordEncoder:
 
     The library does all encoding, with its normalizing and its special strings; a word's ids are the same alone and
     within a text because the tokenizer splits at white space first and drops it. Unseen words are encoded together,
-    parted by blanks; where the tokens that end a word do not show where each word's ids end, one at a time. About
-    ``room`` words are remembered: beyond, those used least are forgotten.
+    parted by blanks; where the tokens that end a word do not show where each word's ids end, one at a time. Words are
+    bytes (UTF-8). About ``room`` words of up to ``LONGEST`` bytes are remembered, so the store is bounded in bytes too:
+    beyond, those used least are forgotten. Longer words are kept until the next call only.
     """
 
     def __init__(self, path: str, room: int = 600_000):
@@ -31,17 +34,19 @@ class WordEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
         self.room = room
+        self.letters: dict[str, bool] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.slot: dict[bytes, int] = {}
+        self.kept = 0
         self.size = np.zeros(1 << 16, np.int32)
         self.at = np.zeros(1 << 16, np.int64)
         self.ids = np.zeros(1 << 18, np.uint32)
         self.filled = 0
         self.used = np.zeros(0, np.int64)
 
-    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.slot)
         while n + len(words) > len(self.size):
             self.size = np.concatenate([self.size, np.zeros_like(self.size)])
@@ -54,67 +59,83 @@ class WordEncoder:
         self.ids[self.filled : self.filled + len(ids)] = ids
         self.filled += len(ids)
 
-    def learn(self, words: list[str]) -> None:
+    def parts(self, letter: str) -> bool:
+        """Whether the library parts this letter from a full stop or comma behind it: it may know fewer letters."""
+        if letter not in self.letters:
+            alone, *ended = (e.ids for e in self.tokenizer.encode_batch([letter, ".", ",", f"{letter}.", f"{letter},"], add_special_tokens=False))
+            self.letters[letter] = ended[2:] == [alone + ended[0], alone + ended[1]]
+        return self.letters[letter]
+
+    def learn(self, words: list[bytes]) -> None:
         """Encode words not seen before (each once)."""
-        plain = [w for w in words if w.isalpha()]
-        rest = [w for w in words if not w.isalpha()]
-        # Letters followed by full stops or commas: two parts, split by the tokenizer too.
-        tails = [(w, w.rstrip(".,")) for w in rest]
-        ended = [(w, stem) for w, stem in tails if len(stem) < len(w) and stem.isalpha()]
-        odd = [w for w, stem in tails if not (len(stem) < len(w) and stem.isalpha())]
-        stems = list(dict.fromkeys([*plain, *(s for _, s in ended if s not in self.slot)]))
+        texts = {w: w.decode() for w in words}
+        plain, ended, odd = [], [], []
+        for w, t in texts.items():
+            stem = t.rstrip(".,")
+            # Lower-casing may turn a letter into one and a mark (U+0130).
+            if not (stem.isalpha() and stem.lower().isalpha()):
+                odd.append(w)
+            elif len(stem) == len(t):
+                plain.append(w)
+            elif not self.parts(stem[-1]):
+                odd.append(w)
+            else:  # letters followed by full stops or commas: two parts, split by the tokenizer too
+                ended.append((w, stem.encode(), t[len(stem) :].encode()))
+        stems = list(dict.fromkeys([*plain, *(s for _, s, _ in ended if s not in self.slot)]))
         for lo in range(0, len(stems), 512):
             part = stems[lo : lo + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, np.uint32)
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(part) and (len(ids) == 0 or stops[-1] == len(ids)):
                 self._add(part, ids, np.diff(stops, prepend=0))
             else:
                 odd += part
+        odd += {m for _, _, m in ended if m not in self.slot}
         if odd:
-            got = self.tokenizer.encode_batch(odd, add_special_tokens=False)
+            got = self.tokenizer.encode_batch([w.decode() for w in odd], add_special_tokens=False)
             sizes = np.array([len(e.ids) for e in got])
             self._add(odd, np.array([i for e in got for i in e.ids], np.uint32), sizes)
-        marks = list({w[len(stem) :] for w, stem in ended})
-        marks = [m for m in marks if m not in self.slot]
-        if marks:
-            self.learn(marks)
         if ended:
-            a = np.array([self.slot[s] for _, s in ended])
-            b = np.array([self.slot[w[len(s) :]] for w, s in ended])
-            pairs = np.stack([a, b], 1).ravel()
-            ids, sizes = self.gather(pairs)
-            self._add([w for w, _ in ended], ids, sizes.reshape(-1, 2).sum(1))
+            pairs = np.array([[self.slot[s], self.slot[m]] for _, s, m in ended])
+            ids, sizes = self.gather(pairs.ravel())
+            self._add([w for w, _, _ in ended], ids, sizes.reshape(-1, 2).sum(1))
 
-    def slots(self, words: list[str]) -> np.ndarray:
+    def slots(self, words: list[bytes]) -> np.ndarray:
         """A number for each word, valid until the next call."""
+        if self.kept < len(self.slot):  # long words of the last call
+            self.shrink(self.room)
         fresh = set(words).difference(self.slot)
         if len(self.slot) + 2 * len(fresh) > self.room:
-            self.shrink()
+            self.shrink(self.room // 2)
             fresh = set(words).difference(self.slot)
         if fresh:
-            self.learn(list(fresh))
+            self.learn([w for w in fresh if len(w) <= LONGEST])
+            self.kept = len(self.slot)
+            self.learn([w for w in fresh if len(w) > LONGEST and w not in self.slot])
         slots = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
         used = np.bincount(slots, minlength=len(self.used))
         self.used = np.concatenate([self.used, np.zeros(len(used) - len(self.used), np.int64)]) + used
         return slots
 
-    def counts(self, words: list[str]) -> np.ndarray:
+    def counts(self, words: list[bytes]) -> np.ndarray:
         """Each word's number of ids."""
         slots = self.slots(words)
         return self.size[slots].astype(np.int64)
 
-    def shrink(self) -> None:
-        """Forget all but the words used most, half of the room at most."""
+    def shrink(self, room: int) -> None:
+        """Forget long words, and beyond ``room`` words all but those used most; once only is not enough to stay then."""
         words = list(self.slot)
         used = np.zeros(len(words), np.int64)
         used[: len(self.used)] = self.used[: len(words)]
-        keep = np.argsort(-used, kind="stable")[: self.room // 2]
-        keep = keep[used[keep] > 1]
+        short = np.flatnonzero(np.fromiter(map(len, words), np.int64, len(words)) <= LONGEST)
+        keep = short
+        if len(keep) > room:
+            keep = short[np.argsort(-used[short], kind="stable")[:room]]
+            keep = keep[used[keep] > 1]
         ids, sizes = self.gather(keep)
         self.clear()
         self._add([words[i] for i in keep], ids, sizes)
-        self.used = used[keep]
+        self.used, self.kept = used[keep], len(keep)
 
     def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The words' ids one after another, and how many each word has."""
@@ -132,8 +153,6 @@ def encoder(path: str) -> WordEncoder:
     return held[path]
 
 
-def words_of(text: str) -> list[str]:
+def words_of(text: bytes | None) -> list[bytes]:
     """Words between ASCII white space; other white space stays inside for the tokenizer to drop."""
-    for blank in "\t\n\r\x0b\x0c":
-        text = text.replace(blank, " ")
-    return list(filter(None, text.split(" ")))
+    return text.split() if text else []
