@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagemill.llm import lines, minhash, mixing, neural, packing, quality, sharding, substrings, tokens, topk
+from pagemill.llm import lines, minhash, mixing, neural, packing, quality, sharding, substrings, tokens, topk, words_bpe
 from tests.llm import data
 from tests.llm.data import frame, words
 
@@ -82,6 +82,43 @@ def test_long_texts_are_spliced(docs):
     assert any(r.n_widened for r in out.values())  # the text without white space
 
 
+def test_splices_widen_and_decide():
+    """A cut inside a word gives other tokens than the word has: only a boundary that both chunks prove is right."""
+    tokenizer = Tokenizer.from_file(PATH)
+
+    def whole(text):
+        return len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+    prose = " ".join(f"internationalisation{i % 7} of, CUMHUR\u0130YET\u0130," for i in range(300))
+    count, chunks, widened = tokens.count_long(tokenizer, prose, 100, 40)
+    assert (count, widened > 0) == (whole(prose), True) and chunks > 50
+    cut = sum(whole(prose[i : i + 100]) for i in range(0, len(prose), 100))
+    assert cut != count  # chunks put together without a splice
+    solid = "antidisestablishment" * 40
+    text = prose[:3000] + " " + solid + " " + prose[:3000]
+    assert tokens.count_long(tokenizer, text, 200, 16)[0] == whole(text)
+    assert tokens.count_long(tokenizer, text, 200, 16)[2] > 3  # the solid part shares no boundary until it is whole
+    left, right = tokens.Encoded(tokenizer, text, 0, 200), tokens.Encoded(tokenizer, text, 100, 300)
+    at = tokens.splice(left, right, text)
+    assert at and text[at - 1] == " " and at in left.starts and at in right.starts
+
+
+def test_words_end_in_marks():
+    """Every letter, alone and in a word, before a full stop and a comma: the store's ids are the library's."""
+    tokenizer = Tokenizer.from_file(PATH)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isalpha() and c < 0x30000]
+    letters = [x for i, x in enumerate(letters) if ord(x) < 0x3000 or i % 97 == 0]
+    texts = [x + end for x in letters for end in (".", ",")] + ["CUMHUR\u0130YET\u0130,", "\u015e\u0130RKET\u0130.", "a" * 200, "a" * 200 + "."]
+    enc = words_bpe.WordEncoder(PATH, room=4000)
+    for lo in range(0, len(texts), 1000):
+        part = texts[lo : lo + 1000]
+        ids, sizes = enc.gather(enc.slots([t.encode() for t in part]))
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    enc.slots([b"b"])
+    assert max(map(len, enc.slot)) <= words_bpe.LONGEST and len(enc.slot) <= 4000
+
+
 def test_mixing(docs, rows, empty):
     out = mixing.copies(docs).collect()
     size = collections.Counter()
