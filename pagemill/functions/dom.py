@@ -17,22 +17,53 @@ from .urls import resolve_link
 DOCUMENT = -1
 
 
+def _has_word(value: Column, wanted: str) -> Column:
+    return F.array_contains(F.split(value, r"[ \t\n\f\r]+"), wanted)
+
+
+# An empty value is at the start of nothing, and no word holds white space.
+ATTR_OPS = {
+    "=": lambda value, wanted: value == wanted,
+    "^=": lambda value, wanted: F.startswith(value, F.lit(wanted)) & F.lit(wanted != ""),
+    "$=": lambda value, wanted: F.endswith(value, F.lit(wanted)) & F.lit(wanted != ""),
+    "*=": lambda value, wanted: F.contains(value, F.lit(wanted)) & F.lit(wanted != ""),
+    "~=": lambda value, wanted: _has_word(value, wanted) & F.lit(wanted.split() == [wanted]),
+}
+
+
 @dataclass(frozen=True)
 class Step:
-    """One selection step: what an element must look like and where to look for it."""
+    """One selection step: what an element must look like and where to look for it.
+
+    ``cls`` is a class or several that must all be there. ``attr_op`` says how ``attr_value`` is compared: equal (=), at
+    the start (^=), at the end ($=), anywhere (*=), or as one of the words (~=). ``nth`` is a position among all
+    elements of one parent, counted from 1, or (a, b) for the positions a*k + b with k from 0 on. A step looks below
+    each root, among its children (``child``), at the element right after it (``sibling="+"``) or at all elements after
+    it under the same parent (``sibling="~"``).
+    """
 
     tag: str | None = None
-    cls: str | None = None
+    cls: str | tuple[str, ...] | None = None
     id: str | None = None
     attr: str | None = None
     attr_value: str | None = None
     contains: str | None = None
     child: bool = False
     include_self: bool = False
+    attr_op: str = "="
+    nth: int | tuple[int, int] | None = None
+    sibling: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.sibling not in (None, "+", "~") or self.attr_op not in ATTR_OPS:
+            raise ValueError(f"unknown axis or comparison: {self.sibling} {self.attr_op}")
 
     def __truediv__(self, other: "Step") -> tuple["Step", "Step"]:
         return (self, replace(other, child=True))
 
+    def __add__(self, other: "Step") -> tuple["Step", "Step"]:
+        return (self, replace(other, sibling="+"))
+
 
 def document() -> Column:
     return F.array(F.lit(DOCUMENT))
@@ -53,32 +84,54 @@ def text_content(nodes: Column, pre: Column) -> Column:
     return F.array_join(F.transform(texts, lambda n: n["text"]), "")
 
 
-def _matches(nodes: Column, n: Column, step: Step) -> Column:
+def matches(n, step: Step) -> Column:
+    """Whether a node looks as the step says, but for the text it contains; ``n`` has a node's fields by name."""
     ok = n["text"].isNull()
     if step.tag and step.tag != "*":
-        ok = n["tag"] == step.tag.lower()
-    if step.cls:
-        ok = ok & F.coalesce(F.contains(n["cls"], F.lit(f" {step.cls} ")), F.lit(False))
+        ok = ok & (n["tag"] == step.tag.lower())
+    for cls in (step.cls,) if isinstance(step.cls, str) else step.cls or ():
+        ok = ok & F.coalesce(F.contains(n["cls"], F.lit(f" {cls} ")), F.lit(False))
     if step.id:
         ok = ok & F.coalesce(n["attrs"]["id"] == step.id, F.lit(False))
     if step.attr:
         value = F.element_at(n["attrs"], F.lit(step.attr))
-        hit = value.isNotNull() if step.attr_value is None else value == step.attr_value
+        hit = value.isNotNull() if step.attr_value is None else ATTR_OPS[step.attr_op](value, step.attr_value)
         ok = ok & F.coalesce(hit, F.lit(False))
+    if step.nth is not None:
+        a, b = (0, step.nth) if isinstance(step.nth, int) else step.nth
+        gone = n["rank"] - b
+        ok = ok & ((gone == 0) if a == 0 else (gone % a == 0) & (gone * (1 if a > 0 else -1) >= 0))
+    return ok
+
+
+def _matches(nodes: Column, n: Column, step: Step) -> Column:
+    ok = matches(n, step)
     if step.contains:
         ok = ok & F.contains(text_content(nodes, n["pre"]), F.lit(step.contains))
     return ok
 
 
+def _after(nodes: Column, root: Column) -> Column:
+    """What lies behind a node and its subtree under its parent; nothing for the document."""
+    own = F.get(nodes, root)
+    end = let(own["parent"], lambda p: F.when(p < 0, F.size(nodes) - 1).otherwise(F.get(nodes, p)["fin"]))
+    return F.when(root >= 0, F.slice(nodes, own["fin"] + 2, end - own["fin"])).otherwise(F.slice(nodes, 1, 0))
+
+
 def _under(nodes: Column, step: Step):
-    """Function of one root: the matching node numbers below it."""
+    """Function of one root: the matching node numbers the step finds from it."""
 
     def wanted(n: Column, root: Column) -> Column:
         ok = _matches(nodes, n, step)
+        if step.sibling:
+            own = F.get(nodes, root)
+            ok = ok & (n["parent"] == own["parent"])
+            return ok & (n["rank"] == own["rank"] + 1) if step.sibling == "+" else ok
         return (n["parent"] == root) & ok if step.child else ok
 
     def run(root: Column) -> Column:
-        hits = F.transform(F.filter(below(nodes, root), lambda n: wanted(n, root)), lambda n: n["pre"])
+        near = _after(nodes, root) if step.sibling else below(nodes, root)
+        hits = F.transform(F.filter(near, lambda n: wanted(n, root)), lambda n: n["pre"])
         if not step.include_self:
             return hits
         own = F.filter(F.array(root), lambda r: (r >= 0) & _matches(nodes, F.get(nodes, r), step))

@@ -22,7 +22,7 @@ def response_kind(text: Column) -> Column:
 def node_rows(pages: DataFrame, keys: list[str]) -> DataFrame:
     """The table form of ``nodes``: one row per node, for joins by (page, pre BETWEEN ...)."""
     n = F.col("n")
-    fields = ["pre", "fin", "parent", "tag", "cls", "attrs", "text"]
+    fields = ["pre", "fin", "parent", "rank", "tag", "cls", "attrs", "text"]
     return pages.select(*keys, F.explode("nodes").alias("n")).select(*keys, *[n[f].alias(f) for f in fields])
 
 

@@ -12,6 +12,8 @@ from ..functions.dom import Step
 from ..functions.text import js_trim
 from ..functions.urls import resolve_url
 from ..operators import extract as ex
+from ..operators import structural
+from ..session import new_table_path
 from ..sources.shred import shred_pages
 from . import sqltext as q
 from .views import tables
@@ -70,6 +72,44 @@ def dom_select(spark, sf):
     return _long(shredded(spark, sf), sel, dom.text)
 
 
+LI_LINK = Step(tag="li"), Step(tag="a", child=True)
+# Selections by their form, and the same ones for arrays and for the node table.
+FORMS = {
+    "next": (Step(tag="nav"), Step(tag="li"), Step(tag="li", sibling="+"), Step(tag="a")),
+    "later": (Step(tag="li"), Step(tag="li", sibling="~"), Step(tag="a")),
+    "odd": (Step(tag="li", nth=(2, 1)), Step(tag="a")),
+    "third": (Step(tag="li", nth=3), Step(tag="a", child=True)),
+    "upto": (Step(tag="li", nth=(-1, 2)), Step(tag="a")),
+    "starts": (Step(tag="nav"), Step(tag="a", attr="href", attr_op="^=", attr_value="/")),
+    "ends": (Step(attr="href", attr_op="$=", attr_value="e"),),
+    "anywhere": (*LI_LINK[:1], Step(tag="a", attr="href", attr_op="*=", attr_value="n")),
+    "word": (Step(tag="div", attr="class", attr_op="~=", attr_value="ad"),),
+    "classes": (Step(cls=("ad", "missing")),),
+    "after_head": (Step(tag="article"), Step(tag="h1"), Step(tag="p", sibling="~")),
+    "after_nav": (Step(tag="nav"), Step(sibling="~"), Step(tag="h1", child=True)),
+    "nested": (Step(tag="*"), Step(tag="*"), Step(tag="a")),
+    "children": (Step(tag="*"), Step(child=True, tag="*"), Step(tag="h1")),
+}
+
+
+def dom_select_forms(spark, sf):
+    sel = {name: dom.select(nodes(), *steps) for name, steps in FORMS.items()}
+    return _long(shredded(spark, sf), sel, dom.own_text)
+
+
+def dom_select_rows(spark, sf):
+    """The same selections on the node table, which is written once and read by each."""
+    rows = ex.node_rows(shredded(spark, sf), ["page_id"])
+    path = new_table_path(spark, "nodes")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    parts = []
+    for name, steps in FORMS.items():
+        found = structural.own_texts(rows, structural.select_rows(rows, ["page_id"], *steps), ["page_id"])
+        parts.append(found.select("page_id", F.lit(name).alias("kind"), F.col("ord").cast("bigint").alias("ord"), js_trim("own").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def dom_position(spark, sf):
     links = dom.select(nodes(), *NAV_LINKS)
     sel = {
@@ -261,6 +301,8 @@ QUERIES = {
     "resp_route": resp_route,
     "dom_nodes": dom_nodes,
     "dom_select": dom_select,
+    "dom_select_forms": dom_select_forms,
+    "dom_select_rows": dom_select_rows,
     "dom_position": dom_position,
     "dom_values": dom_values,
     "html_to_text": html_to_text,
@@ -291,7 +333,29 @@ def _pick(kind: str, ord_sql: str, cond: str) -> str:
     return f"select page_id, '{kind}' as kind, {ord_sql} as ord, {_X} as value from {_A} where {cond}"
 
 
+_AD = "regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)"
+_SOME = "select page_id, '{}' as kind, row_number() over (partition by page_id order by i) - 1 as ord, {} as value from {} where {}"
+_OWN_P = q.plain("regexp_replace(x, '(?s)<b>.*', '')")
+_FORMS = "\nunion all ".join(
+    [
+        *(_SOME.format(name, _X, _A, "i > 1") for name in ("next", "later")),
+        _SOME.format("odd", _X, _A, "i % 2 = 1"),
+        _SOME.format("third", _X, _A, "i = 3"),
+        _SOME.format("upto", _X, _A, "i <= 2"),
+        _SOME.format("starts", _X, _A, f"starts_with({_HREF}, '/')"),
+        _SOME.format("ends", _X, _A, f"ends_with({_HREF}, 'e')"),
+        _SOME.format("anywhere", _X, _A, f"contains({_HREF}, 'n')"),
+        *(_SOME.format(name, _X, _A, "true") for name in ("nested",)),
+        _SOME.format("after_head", _OWN_P, _P, "true"),
+        f"select page_id, 'word', 0, {q.plain(_AD)} from pages where contains(html, '<div class=')",
+        f"select page_id, 'after_nav', 0, {q.plain(q.H1)} from pages",
+        f"select page_id, 'children', 0, {q.plain(q.H1)} from pages",
+    ]
+)
+
 ORACLES = {
+    "dom_select_forms": _FORMS,
+    "dom_select_rows": _FORMS,
     "resp_route": "select page_id, case when page_id % 5 in (1, 2) then 'json' else 'html' end as kind from pages",
     "dom_nodes": """select page_id, tag, count(*) as n from (
  select page_id, unnest(regexp_extract_all(html, '<([a-z0-9]+)[ >]', 1)) as tag from pages) group by page_id, tag""",

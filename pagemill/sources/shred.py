@@ -34,6 +34,8 @@ NODE = T.StructType(
         T.StructField("i1", T.IntegerType(), False),
         T.StructField("i2", T.IntegerType(), False),
         T.StructField("o2", T.IntegerType(), False),
+        # Place among the elements of one parent, from 1; 0 for texts.
+        T.StructField("rank", T.IntegerType(), False),
     ]
 )
 
@@ -94,7 +96,7 @@ class _Columns:
 
     def arrow(self) -> pa.ListArray:
         i32, utf8 = pa.int32(), pa.string()
-        types = [i32, i32, i32, utf8, utf8, i32, utf8, pa.bool_(), i32, i32, i32, i32]
+        types = [i32, i32, i32, utf8, utf8, i32, utf8, pa.bool_(), i32, i32, i32, i32, i32]
         columns = list(zip(*self.nodes)) or [()] * len(types)
         parts = [pa.array(c, t) for c, t in zip(columns, types)]
         attr_at = pa.array([*columns[5], len(self.attrs)], i32)
@@ -114,30 +116,33 @@ def _shred(html: str, out: _Columns) -> None:
     nodes, all_attrs = out.nodes, out.attrs
     base, at, size = len(nodes), 0, len(html)
     stack: list[list] = []
+    open_at: dict[str, list[int]] = {}  # depths of the open elements of each name, so that nothing walks the stack
+    kids = [0]  # elements so far under the page and under each open element
 
     def close(pos: int, after: int) -> None:
         node = stack.pop()
+        kids.pop()
+        open_at[node[TAG]].pop()
         node[FIN] = len(nodes) - base - 1
         node[I2], node[O2] = pos, after
         if node[TAG] in LINE_BLOCKS:
             nodes[-1][BRK] = True
 
+    def deepest(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
+
     def end_open(names, barrier, pos: int) -> None:
-        for depth in range(len(stack) - 1, -1, -1):
-            tag = stack[depth][TAG]
-            if tag in barrier:
-                return
-            if tag in names:
-                while len(stack) > depth:
-                    close(pos, pos)
-                return
+        depth = deepest(names)
+        if depth > deepest(barrier):
+            while len(stack) > depth:
+                close(pos, pos)
 
     def add_text(raw: str, pos: int, name: str = "#text") -> None:
         if raw:
             pre = len(nodes) - base
             value = unescape(raw) if name == "#text" else raw
             up = stack[-1][0] if stack else -1
-            nodes.append([pre, pre, up, name, None, len(all_attrs), value, False, pos, pos, pos + len(raw), pos + len(raw)])
+            nodes.append([pre, pre, up, name, None, len(all_attrs), value, False, pos, pos, pos + len(raw), pos + len(raw), 0])
 
     def add_element(tag: str, raw_attrs: str, start: int, inner: int) -> list:
         pre, first = len(nodes) - base, len(all_attrs)
@@ -150,7 +155,8 @@ def _shred(html: str, out: _Columns) -> None:
             if "class" in found:
                 cls = f" {' '.join(found['class'].split())} "
         up = stack[-1][0] if stack else -1
-        node = [pre, pre, up, tag, cls, first, None, tag == "br", start, inner, inner, inner]
+        kids[-1] += 1
+        node = [pre, pre, up, tag, cls, first, None, tag == "br", start, inner, inner, inner, kids[-1]]
         nodes.append(node)
         return node
 
@@ -171,14 +177,11 @@ def _shred(html: str, out: _Columns) -> None:
         tag = tag.lower()
         if end:
             barrier = TABLE_SCOPES if tag in TABLE_PARTS else SCOPES
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][TAG] == tag:
-                    while len(stack) > depth + 1:
-                        close(start, start)
-                    close(start, at)
-                    break
-                if stack[depth][TAG] in barrier:
-                    break
+            depth = deepest((tag,))
+            if depth >= 0 and depth >= deepest(barrier):
+                while len(stack) > depth + 1:
+                    close(start, start)
+                close(start, at)
             continue
         if tag in CLOSES_P:
             end_open(("p",), ("button", "td", "th"), start)
@@ -187,7 +190,9 @@ def _shred(html: str, out: _Columns) -> None:
         node = add_element(tag, raw_attrs, start, at)
         if tag in VOID:
             continue
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(node)
+        kids.append(0)
         if tag in RAW_END:
             stop = RAW_END[tag].search(html, at)
             until, after = (stop.start(), stop.end()) if stop else (size, size)
