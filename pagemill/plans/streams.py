@@ -27,15 +27,12 @@ def stream_progress_latest(spark, sf):
 
 
 def stream_debounce(spark, sf):
-    """Bursts closed by the stream, and the last ones that it still held when its input ended."""
     diff = "timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
     ms = f"1700000000000 + {diff} div 78000000"
     sql = f"select user_id as name, event_id as seq, timestamp_millis({ms}) as ts from {{events}}"
     path = new_table_path(spark, "debounce")
-    jobs.run_to_files(jobs.debounce(spark.sql(sql, events=landed(spark, sf, "events"))), path)
-    closed = jobs.read_appended(spark, path)
-    rest = jobs.open_bursts(spark.sql(sql, **tables(spark, sf, "events")))
-    return closed.unionByName(rest).select("name", "seq", F.unix_millis("ts").alias("ts_ms"), "n_writes")
+    jobs.keep_bursts(spark.sql(sql, events=landed(spark, sf, "events")), path)
+    return jobs.current_bursts(spark, path).select("name", "seq", F.unix_millis("ts").alias("ts_ms"), "n_writes")
 
 
 def stream_stale_drop(spark, sf):

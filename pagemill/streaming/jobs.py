@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as se
 from ..operators import shelf
-from ..operators.ordered import running_max
 from ..operators.purify import Rule, apply_rules
-from .state import MergedTable
+from .processors import BURST, Bursts, NewestRequest, partial_bursts, record_highs
 
 # Fixed value: how long a name must be quiet before its last write counts.
 QUIET = "500 milliseconds"
@@ -27,24 +27,18 @@ def latest_progress(events: DataFrame) -> DataFrame:
 
 
 def debounce(events: DataFrame, late: str = "1 second", quiet: str = QUIET) -> DataFrame:
-    """The last write of each burst per name; a burst ends when nothing comes for ``quiet``."""
-    return (
-        events.withWatermark("ts", late)
-        .groupBy("name", F.session_window("ts", quiet).alias("burst"))
-        .agg(F.max(F.struct("ts", "seq")).alias("r"), F.count("*").alias("n_writes"))
-        .select("name", "r.ts", "r.seq", "n_writes")
-    )
+    """Bursts of writes per name (name, first, last, seq of the last write, n_writes), as they grow; a burst ends when
+    nothing comes for longer than ``quiet``. Every micro-batch gives the new form of the bursts it changed, so the last
+    ones need no later event to become visible. ``name`` and ``seq`` are integers; the session's time zone is UTC."""
+    parts = partial_bursts(events, quiet).withWatermark("last", late)
+    return parts.groupBy("name").transformWithStateInPandas(Bursts(quiet), BURST, "Update", "EventTime")
 
 
-def open_bursts(events: DataFrame, late: str = "1 second", quiet: str = QUIET) -> DataFrame:
-    """What a finished stream of ``events`` still holds back: bursts that its last watermark had not closed."""
-    end = events.agg((F.max("ts") - F.expr(f"interval {late}")).alias("_mark"))
-    bursts = (
-        events.groupBy("name", F.session_window("ts", quiet).alias("burst"))
-        .agg(F.max(F.struct("ts", "seq")).alias("r"), F.count("*").alias("n_writes"))
-        .join(F.broadcast(end), F.col("burst.end") > F.col("_mark"))  # one row: the last time seen
-    )
-    return bursts.select("name", "r.ts", "r.seq", "n_writes")
+def newest_only(responses: DataFrame) -> DataFrame:
+    """Responses (key, ord, seq) that no newer request was seen before, per key; ``ord`` is the order of arrival and
+    rises from micro-batch to micro-batch. The newest request of each key is kept in Spark's state store."""
+    rows = record_highs(responses.select("key", "ord", "seq"))
+    return rows.groupBy("key").transformWithStateInPandas(NewestRequest(), rows.schema, "Append", "None")
 
 
 def skip_stored(wanted: DataFrame, store: DataFrame, late: str = "30 days") -> DataFrame:
@@ -106,28 +100,35 @@ def current_progress(spark: SparkSession, path: str) -> DataFrame:
 
 
 def drop_stale(responses: DataFrame, path: str) -> None:
-    """Keep a response only if no newer request was seen before it, per key.
-
-    ``responses`` has key, ord (arrival, increasing over micro-batches) and seq (the request it
-    answers). The running maximum is taken in bounded chunks of the arrival order, so a key with a
-    large share of a batch is spread over tasks; between batches one maximum per key is kept.
-    """
-    tops = MergedTable(
-        responses.sparkSession, f"{path}/state", lambda df: df.groupBy("key").agg(F.max("seq").alias("seq"))
-    )
-
-    def each(rows: DataFrame, i: int) -> None:
-        rows = rows.persist()
-        seen = running_max(rows, ["key"], "ord", "seq", "_top")
-        before = tops.before(i)
-        if before is not None:
-            seen = seen.join(before.select("key", F.col("seq").alias("_before")), "key", "left")
-            seen = seen.withColumn("_top", F.greatest("_top", "_before")).drop("_before")
-        seen.where(F.col("seq") == F.col("_top")).drop("_top").write.mode("overwrite").parquet(f"{path}/data/batch={i}")
-        tops.add(i, rows.select("key", "seq"))
-        rows.unpersist()
-
-    run_batches(responses, path, each)
+    """Keep a response (key, ord, seq) only if no newer request was seen before it, per key. A micro-batch only touches
+    the keys it brings."""
+    with rocks_state(responses.sparkSession):
+        run_to_files(newest_only(responses), path)
+
+
+def keep_bursts(events: DataFrame, path: str, late: str = "1 second", quiet: str = QUIET) -> None:
+    """Write the bursts that each micro-batch changed."""
+    with rocks_state(events.sparkSession):
+        run_batches(debounce(events, late, quiet), path, _write_batch(path), mode="update")
+
+
+def current_bursts(spark: SparkSession, path: str) -> DataFrame:
+    """(name, ts, seq, n_writes): the last form of each burst."""
+    rows = read_appended(spark, path)
+    last = rows.groupBy("name", "first").agg(F.max(F.struct("batch", "last", "seq", "n_writes")).alias("r"))
+    return last.where("r.n_writes > 0").select("name", F.col("r.last").alias("ts"), "r.seq", "r.n_writes")
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Values per key need the state store that keeps them on disk; the session's own choice comes back afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def group_results(results: DataFrame, path: str, order: list[str]) -> None:

@@ -2,6 +2,8 @@
 
 import random
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from pagemill.operators import chains, ordered, segment, store
 from pagemill.session import cut_lineage
 from pagemill.sources.sinks import read_sections, write_sections
 from pagemill.streaming import jobs
-from pagemill.streaming.state import MergedTable
+from pagemill.streaming import processors
 
 
 def outcome(log):
@@ -166,15 +168,35 @@ def test_sections_sink_round_trip(spark, tmp_path):
         write_sections(segment.section_rows(segment.segment(df), ["doc_id"]), str(tmp_path / "s"), "doc_id")
 
 
-def test_merged_table_compacts(spark, tmp_path):
-    table = MergedTable(spark, str(tmp_path / "t"), lambda df: df.groupBy("k").agg(F.max("v").alias("v")))
-    assert table.current() is None
-    for i in range(18):
-        table.add(i, spark.createDataFrame([(i % 3, i), (9, -i)], "k int, v int"))
-    assert {r.k: r.v for r in table.current().collect()} == {0: 15, 1: 16, 2: 17, 9: 0}
-    assert {r.k: r.v for r in table.before(2).collect()} == {0: 0, 1: 1, 9: 0}
-    table.add(17, spark.createDataFrame([(2, 17), (9, -17)], "k int, v int"))
-    assert {r.k: r.v for r in table.current().collect()} == {0: 15, 1: 16, 2: 17, 9: 0}
+def test_bursts_over_batches(spark, tmp_path):
+    """Bursts grow, are joined by a late write, and close; their last form is the one a single pass would give."""
+    landing, path = str(tmp_path / "in"), str(tmp_path / "out")
+    at = lambda ms: dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(milliseconds=ms)
+    batches = [
+        [(1, 0, 1), (1, 400, 2), (2, 100, 1)],
+        [(1, 1300, 3), (2, 600, 2)],  # a second burst of 1; the first write of 2 was exactly the quiet time before
+        [(1, 850, 4)],  # bridges both bursts of 1
+        [(1, 9000, 5), (2, 9000, 9)],
+        [(1, 9400, 6), (3, 9500, 1)],
+    ]
+    for rows in batches:
+        df = spark.createDataFrame([(n, at(ms), q) for n, ms, q in rows], "name long, ts timestamp, seq long").coalesce(1)
+        df.write.mode("append").parquet(landing)
+        jobs.keep_bursts(spark.readStream.schema(df.schema).parquet(landing), path, late="2 seconds")
+    got = {(r.name, r.seq, r.ms, r.n_writes) for r in jobs.current_bursts(spark, path).withColumn("ms", F.unix_millis("ts")).collect()}
+    base = int(at(0).timestamp() * 1000)
+    want = {(1, 3, 1300, 4), (2, 2, 600, 2), (1, 6, 9400, 2), (2, 9, 9000, 1), (3, 1, 9500, 1)}
+    assert got == {(n, q, base + ms, k) for n, q, ms, k in want}
+
+
+def test_busy_keys_send_few_rows(spark):
+    """What one key brings is thinned out before it reaches its state."""
+    rows = spark.range(20_000, numPartitions=2)
+    busy = rows.select(F.lit("k").alias("key"), F.col("id").alias("ord"), F.pmod(F.xxhash64("id"), F.lit(10**9)).alias("seq"))
+    assert processors.record_highs(busy).count() < 2000
+    writes = rows.select(F.lit(1).cast("long").alias("name"), F.timestamp_millis(F.col("id") * 100).alias("ts"), F.col("id").alias("seq"))
+    parts = processors.partial_bursts(writes, "500 milliseconds")
+    assert parts.count() < 200 and parts.agg(F.sum("n_writes")).first()[0] == 20_000
 
 
 def test_stale_responses_over_batches(spark, tmp_path):
