@@ -8,6 +8,7 @@ from __future__ import annotations
 import itertools
 import json
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -35,6 +36,13 @@ class Each:
     """All items of an array, or all values of an object (in key order)."""
 
 
+@dataclass(frozen=True)
+class Deep:
+    """Values under this name at any depth, in document order; a hit is searched too. For :func:`find` only."""
+
+    name: str
+
+
 def kind(v: Column) -> Column:
     """'array', 'object', 'string', 'number', 'boolean' or 'null'."""
     s = F.schema_of_variant(v)
@@ -147,7 +155,8 @@ def value(v: Column, *steps) -> Column:
     return let(walk(v, *steps), pick)
 
 
-def _find(node, key: str, out: list) -> None:
+def _deep(node, key: str) -> Iterator:
+    """Values under ``key`` in ``node``, in document order, without recursion."""
     todo = [iter([node])]
     while todo:
         nxt = next(todo[-1], todo)
@@ -155,7 +164,7 @@ def _find(node, key: str, out: list) -> None:
             todo.pop()
         elif isinstance(nxt, tuple):
             if nxt[0] == key:
-                out.append(json.dumps(nxt[1], ensure_ascii=False, separators=(",", ":")))
+                yield nxt[1]
             todo.append(iter([nxt[1]]))
         elif isinstance(nxt, list):
             todo.append(iter(nxt))
@@ -163,21 +172,59 @@ def _find(node, key: str, out: list) -> None:
             todo.append(iter(nxt.items()))
 
 
-def deep_find(text: Column, key: str) -> Column:
-    """JSON text of every value stored under ``key`` at any depth, in document order.
-
-    Depth is not known when the plan is made, so this one step runs in Arrow batches.
+def _hits(node, steps) -> list:
+    """What a path leads to in a parsed document."""
+    found = [node]
+    for step in steps:
+        onward: list = []
+        for v in found:
+            if isinstance(step, Deep):
+                onward += _deep(v, step.name)
+            elif isinstance(step, Key):
+                onward += [v[step.name]] if isinstance(v, dict) and step.name in v else []
+            elif isinstance(step, Index):
+                onward += [v[step.i]] if isinstance(v, list) and -len(v) <= step.i < len(v) else []
+            else:
+                onward += v if isinstance(v, list) else v.values() if isinstance(v, dict) else []
+        found = onward
+    return found
+
+
+def find(text: Column, *steps) -> Column:
+    """JSON texts of all hits of a path that may go to any depth, as an array in document order.
+
+    VARIANT keeps the members of an object in key order, and a depth that is not known when the plan is made cannot be
+    unfolded there, so these paths run over the text, in Arrow batches. A text that is no JSON has no hits.
     """
 
     def run(col: pd.Series) -> pd.Series:
         def one(doc):
-            out: list = []
             try:
-                _find(json.loads(doc), key, out)
-            except (TypeError, ValueError):
-                pass
-            return out
+                found = _hits(json.loads(doc), steps)
+            except (TypeError, ValueError, RecursionError):
+                return []
+            return [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in found]
 
         return col.map(one)
 
     return F.pandas_udf(run, "array<string>")(text)
+
+
+def find_items(hits: Column) -> Column:
+    """List form of :func:`find`: VARIANT items; a single hit that is an array stands for its own items."""
+    none = F.array().cast("array<variant>")
+    many = F.transform(hits, lambda x: F.parse_json(x))
+    one = F.parse_json(F.get(hits, F.lit(0)))
+    own = F.when(F.is_variant_null(one), none).otherwise(F.coalesce(as_list(one), many))
+    return F.when(F.size(hits) == 1, own).otherwise(many)
+
+
+def find_value(hits: Column) -> Column:
+    """Scalar form of :func:`find`: one hit as text, several as a JSON list."""
+    many = F.concat(F.lit("["), F.array_join(hits, ","), F.lit("]"))
+    return F.when(F.size(hits) > 1, many).otherwise(to_text(F.parse_json(F.get(hits, F.lit(0)))))
+
+
+def deep_find(text: Column, key: str) -> Column:
+    """JSON text of every value stored under ``key`` at any depth, in document order."""
+    return find(text, Deep(key))

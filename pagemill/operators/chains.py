@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,38 +11,34 @@ from ..session import cut_lineage
 TOC_PAGES = 20
 CONTENT_PAGES = 10
 
-HOPS = 10
 
 
 def follow(starts: DataFrame, links: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
     """Pages reached from each start: (keys, page_no from 1, url), none twice, at most ``limit`` if one is given.
 
-    ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Chains advance ten
-    links per stored round: inside a round the links are shuffled once and that shuffle serves all ten
-    joins. Only chains that still go on take part in the next round, and the loop ends when none does.
+    ``starts`` has the keys and ``url``; ``links`` has ``url`` and ``next_url``. Both what is known of the chains and the
+    links double in length with every stored round: the pages of a chain up to n, each moved on by n, are its pages up to
+    2n, and a link over n pages followed by another is one over 2n. A chain that runs back into itself meets pages it
+    has already; they keep their first place, and the loop ends when a round adds nothing. So a chain of n pages takes
+    about log2(n) rounds, and no list of a chain's pages is carried along.
     """
-    step = links.where(F.coalesce("next_url", F.lit("")) != "").groupBy("url").agg(F.min("next_url").alias("next_url"))
-    step = cut_lineage(step).withColumnRenamed("url", "_from")
-    # What an ended chain joins on: never an address, and different per chain, so ended chains stay spread.
-    ended = F.concat(F.lit("\0"), F.xxhash64(*keys).cast("string"))
-    alive = starts.select(*keys, F.array("url").alias("_seen"), F.col("url").alias("_last"))
-    finished, left = [], None if limit is None else limit - 1
-    while left is None or left > 0:
-        for _ in range(HOPS if left is None else min(HOPS, left)):
-            onward = F.when(~F.array_contains("_seen", F.col("next_url")), F.col("next_url"))
-            alive = alive.join(step, F.col("_last") == F.col("_from"), "left").select(
-                *keys,
-                F.when(onward.isNotNull(), F.array_append("_seen", onward)).otherwise(F.col("_seen")).alias("_seen"),
-                F.coalesce(onward, ended).alias("_last"),
-            )
-        left = None if left is None else left - HOPS
-        alive = cut_lineage(alive)
-        done = F.col("_last").startswith("\0")
-        finished.append(alive.where(done))
-        alive = alive.where(~done)
-        if (left is None or left > 0) and alive.isEmpty():
+    step = links.where(F.coalesce("next_url", F.lit("")) != "").groupBy("url").agg(F.min("next_url").alias("_to"))
+    jump = cut_lineage(step.withColumnRenamed("url", "_from"))
+    known = starts.select(*keys, "url", F.lit(1).alias("page_no")).distinct()
+    reach, size = 1, None
+    while limit is None or reach < limit:
+        onward = known.join(jump, F.col("url") == F.col("_from")).select(
+            *keys, F.col("_to").alias("url"), (F.col("page_no") + reach).alias("page_no")
+        )
+        if limit is not None:
+            onward = onward.where(F.col("page_no") <= limit)
+        known = cut_lineage(known.unionByName(onward).groupBy(*keys, "url").agg(F.min("page_no").alias("page_no")))
+        reach *= 2
+        before, size = size, known.count()
+        if size == before:
+            break
+        after = jump.select(F.col("_from").alias("_to"), F.col("_to").alias("_end"))
+        jump = cut_lineage(jump.join(after, "_to").select("_from", F.col("_end").alias("_to")))
+        if jump.isEmpty():
             break
-    chains = reduce(DataFrame.unionByName, finished, alive)
-    return chains.select(*keys, F.posexplode("_seen").alias("_pos", "url")).select(
-        *keys, (F.col("_pos") + 1).alias("page_no"), "url"
-    )
+    return known.select(*keys, "page_no", "url")

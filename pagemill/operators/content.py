@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import dom
 from ..functions.rx import compiles, java_pattern
 from ..functions.text import clean_lines, js_trim
+from ..session import cut_lineage
 from .chains import CONTENT_PAGES, follow
 
 # Fixed value.
@@ -26,30 +27,38 @@ def json_text(value: Column, nodes: Column) -> Column:
     return F.when(value.rlike(HAS_TAGS), dom.html_to_text(nodes, F.lit(dom.DOCUMENT))).otherwise(value)
 
 
-def stitch(
-    starts: DataFrame, pages: DataFrame, keys: list[str], limit: int | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """(chapters joined over all their pages, chapters refused because a page was blank or missing).
+def stitched(starts: DataFrame, pages: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
+    """(keys, n_pages, many_pages, content, reason): chapters joined over all their pages. One of which a page is blank or
+    missing has no content but a reason.
 
-    ``pages`` has url, next_url and content. Addresses are followed without the texts; the texts are
-    joined in once at the end, and only those of pages that a chapter reaches. Chapters of more than
-    CONTENT_PAGES pages are whole and marked ``many_pages``.
+    ``pages`` has url, next_url and content. Addresses are followed without the texts; the texts are joined in once at the
+    end, and only those of pages that a chapter reaches. Chapters of more than CONTENT_PAGES pages are whole and marked
+    ``many_pages``.
     """
     chain = follow(starts, pages.select("url", "next_url"), keys, limit)
     reached = pages.join(chain.select("url").distinct(), "url", "left_semi")
     by_url = reached.groupBy("url").agg(F.min("content").alias("content"))
     texts = chain.join(by_url, "url", "left")
     part = js_trim(F.coalesce("content", F.lit("")))
-    whole = texts.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("page_no", part.alias("part")))), lambda x: x["part"]), "\n"
-        ).alias("content"),
-        F.bool_or(part == "").alias("_blank"),
-        F.count("*").alias("n_pages"),
-    ).withColumn("many_pages", F.col("n_pages") > CONTENT_PAGES)
-    good = whole.where(~F.col("_blank")).drop("_blank")
-    bad = whole.where(F.col("_blank")).select(*keys, F.lit("blank_page").alias("reason"), "n_pages", "many_pages")
-    return good, bad
+    joined = F.array_join(
+        F.transform(F.sort_array(F.collect_list(F.struct("page_no", part.alias("part")))), lambda x: x["part"]), "\n"
+    )
+    whole = texts.groupBy(*keys).agg(joined.alias("content"), F.bool_or(part == "").alias("_blank"), F.count("*").alias("n_pages"))
+    return whole.select(
+        *keys,
+        "n_pages",
+        (F.col("n_pages") > CONTENT_PAGES).alias("many_pages"),
+        F.when(~F.col("_blank"), F.col("content")).alias("content"),
+        F.when(F.col("_blank"), F.lit("blank_page")).alias("reason"),
+    )
+
+
+def stitch(
+    starts: DataFrame, pages: DataFrame, keys: list[str], limit: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`stitched`, stored once, as (chapters with their text, chapters refused with the reason)."""
+    whole = cut_lineage(stitched(starts, pages, keys, limit))
+    return whole.where("reason is null").drop("reason"), whole.where("reason is not null").drop("content")
 
 
 def strip_pattern(spark: SparkSession, content: Column, pattern: str) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import js_trim
+from ..session import cut_lineage
 from .ordered import CHUNK
 
 VERSION = 1
@@ -36,6 +39,57 @@ def upsert(store: DataFrame, incoming: DataFrame, seq: list[str]) -> DataFrame:
     return both.groupBy(*KEYS).agg(latest.alias("r")).select(*KEYS, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+PARTS, SPREAD = 64, 4
+"""A stored table has PARTS parts by book, each in SPREAD by chapter, so that a large book is not one part."""
+
+
+def _place(book: str = "book_id", chapter: str = "chapter_url") -> Column:
+    return F.pmod(F.xxhash64(book), F.lit(PARTS)) * SPREAD + F.pmod(F.xxhash64(chapter), F.lit(SPREAD))
+
+
+def write_parts(store: DataFrame, path: str) -> None:
+    """Lay the store out under ``path`` in parts (folders ``part=n``); a part is written by one task."""
+    placed = store.withColumn("part", _place().cast("int"))
+    placed.repartition(PARTS * SPREAD, "part").write.partitionBy("part").parquet(path)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).where("book_id is not null").drop("part")
+
+
+def _rewrite(spark: SparkSession, path: str, parts: list[int], change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace some parts by what ``change`` makes of their rows; the other parts are neither read nor written.
+
+    The new rows are stored before the old ones go. A part that is left without rows keeps one blank row, as a write
+    without rows would leave it as it was; readers pass that row over.
+    """
+    if not parts:
+        return
+    old = spark.read.parquet(path).where(F.col("part").isin(parts))
+    new = change(old.where("book_id is not null").drop("part")).withColumn("part", _place().cast("int"))
+    blank = spark.createDataFrame([(p,) for p in parts], "part int")
+    for f in new.schema.fields:
+        if f.name != "part":
+            blank = blank.withColumn(f.name, F.lit(None).cast(f.dataType))
+    rows = cut_lineage(new.unionByName(blank).repartition(len(parts), "part"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+
+
+def merge_parts(spark: SparkSession, path: str, incoming: DataFrame, seq: list[str]) -> None:
+    """:func:`upsert` of ``incoming`` into the stored table, in the parts that it reaches."""
+    rows = cut_lineage(incoming)
+    parts = [r[0] for r in rows.select(_place().cast("int")).distinct().collect()]  # PARTS * SPREAD numbers at most
+    _rewrite(spark, path, parts, lambda old: upsert(old, rows, seq))
+
+
+def clear_parts(spark: SparkSession, path: str, book_ids: DataFrame) -> None:
+    """:func:`clear_books` in the stored table, in the parts of these books."""
+    ids = cut_lineage(book_ids.select("book_id").distinct())
+    books = ids.select(F.pmod(F.xxhash64("book_id"), F.lit(PARTS)).cast("int")).distinct().collect()  # PARTS numbers at most
+    parts = [r[0] * SPREAD + i for r in books for i in range(SPREAD)]
+    _rewrite(spark, path, parts, lambda old: clear_books(old, ids))
+
+
 def checked_read(wanted: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(wanted chapters with their text, records to purge).
 

@@ -215,6 +215,24 @@ def extract_rows_json(spark, sf):
     return rows.withColumn("ord", F.col("ord").cast("bigint"))
 
 
+def json_paths(spark, sf):
+    """Steps to any depth inside longer paths, in scalar and in list form."""
+    K, D, I, E = jsonx.Key, jsonx.Deep, jsonx.Index, jsonx.Each
+    paths = {
+        "ids": (K("data"), D("id")),
+        "second": (D("list"), I(1), K("id")),
+        "last": (D("list"), I(-1)),
+        "first_k": (K("k"), D("k"), I(0)),
+        "all_k": (D("k"),),
+        "names": (D("list"), E(), D("name")),
+        "nothing": (D("nope"), K("id")),
+    }
+    df = event_docs(spark, sf)
+    df = df.select("event_id", jsonx.find("doc", D("list")).alias("list"), *(jsonx.find("doc", *s).alias(n) for n, s in paths.items()))
+    values = {n: jsonx.find_value(F.col(n)) for n in paths}
+    return df.select("event_id", *(v.alias(n) for n, v in values.items()), F.size(jsonx.find_items(F.col("list"))).cast("bigint").alias("n_items"))
+
+
 def json_deep_find(spark, sf):
     df = event_docs(spark, sf).select("event_id", F.posexplode(jsonx.deep_find(F.col("doc"), "k")).alias("ord", "value"))
     return df.select("event_id", F.col("ord").cast("bigint").alias("ord"), "value")
@@ -307,6 +325,7 @@ QUERIES = {
     "dom_values": dom_values,
     "html_to_text": html_to_text,
     "json_items": json_items,
+    "json_paths": json_paths,
     "json_deep_find": json_deep_find,
     "extract_rows_json": extract_rows_json,
     "regex_items": regex_items,
@@ -395,6 +414,10 @@ select event_id, o as ord, j->'data'->>'user name' as author, j->'data'->'props'
  concat('https://api.example/', case when o = 0 then event_type else '' end, '.jpg') as cover_url,
  concat('https://api.example/b/', case o when 0 then cast(event_id as varchar) when 1 then cast(event_id + 1 as varchar) else '' end) as book_url
 from d, (values (cast(0 as bigint)), (1), (2)) t(o)""",
+    "json_paths": """with d as (select event_id, event_id + 1 as n, event_type as t, user_id as u, cast(props as json)->>'k' as p,
+ concat('[', user_id, ',{"k":"deep"}]') as inner_k from events)
+select event_id, concat('[', event_id, ',', n, ',null]') as ids, cast(n as varchar) as second, '{"id":null}' as last, cast(u as varchar) as first_k,
+ concat('[', p, ',{"k":', inner_k, '},', inner_k, ',"deep"]') as all_k, t as names, '' as nothing, cast(3 as bigint) as n_items from d""",
     "json_deep_find": f"""with d as (select event_id, json_extract(cast({EVENT_JSON.format()} as json), '$..k') as l from events)
 select event_id, case i when 3 then 0 when 4 then 3 else i end as ord, value from (
  select event_id, generate_subscripts(l, 1) as i, cast(unnest(l) as varchar) as value from d)""",

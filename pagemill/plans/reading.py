@@ -189,10 +189,7 @@ def _chapter_starts(spark, sf):
 
 def content_stitch(spark, sf):
     links, starts = _chapter_starts(spark, sf)
-    good, bad = co.stitch(starts, links, ["book_id"])
-    return good.select("book_id", "n_pages", "many_pages", "content", F.lit(None).cast("string").alias("reason")).unionByName(
-        bad.select("book_id", "n_pages", "many_pages", F.lit(None).cast("string").alias("content"), "reason")
-    )
+    return co.stitched(starts, links, ["book_id"])
 
 
 def content_strip_regex(spark, sf):

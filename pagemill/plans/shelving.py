@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import shelf as sh
 from ..operators import store as st
 from ..operators.toc import unread
+from ..session import new_table_path
 from .views import sql_view, tables, view
 
 
@@ -32,6 +33,25 @@ def store_upsert(spark, sf):
     return out.select("book_id", "chapter_url", "content", "seq")
 
 
+def store_merge_parts(spark, sf):
+    """The same on a stored table, in two batches."""
+    path = new_table_path(spark, "chapters")
+    old = _records(spark, sf, "event_type = 'purchase'").withColumn("content", F.concat(F.lit("old"), "content"))
+    st.write_parts(st.upsert(old, old.where("false"), ["saved_at", "seq"]), path)
+    new = _records(spark, sf, "event_type <> 'purchase'")
+    for rest in (0, 1):
+        st.merge_parts(spark, path, new.where(F.col("book_id") % 2 == rest), ["saved_at", "seq"])
+    return st.read_parts(spark, path).select("book_id", "chapter_url", "content", "seq")
+
+
+def store_clear_parts(spark, sf):
+    path = new_table_path(spark, "chapters")
+    st.write_parts(view(spark, sf, "store"), path)
+    gone = tables(spark, sf, "customer")["customer"].where("c_acctbal < 0").select(F.col("c_custkey").alias("book_id"))
+    st.clear_parts(spark, path, gone)
+    return st.read_parts(spark, path).select("book_id", "chapter_url")
+
+
 def _wanted(spark, sf):
     return view(spark, sf, "toc").select(
         "book_id",
@@ -165,6 +185,8 @@ def switch_apply(spark, sf):
 QUERIES = {
     "store_keys": store_keys,
     "store_upsert": store_upsert,
+    "store_merge_parts": store_merge_parts,
+    "store_clear_parts": store_clear_parts,
     "store_valid_read": store_valid_read,
     "store_coverage": store_coverage,
     "store_clear_book": store_clear_book,
@@ -253,3 +275,4 @@ select id, case when go then 's-new' when id % 6 = 4 then 'moved' else 's-old' e
 union all select id, null, null, null, null, null, null, null, null, null, null, null, null, case when id % 6 = 4 then 'changed' else 'no_chapter' end
 from j where auto_commit and (id % 6 = 4 or id % 17 = 3)""",
 }
+ORACLES |= {"store_merge_parts": ORACLES["store_upsert"], "store_clear_parts": ORACLES["store_clear_book"]}

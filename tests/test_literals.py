@@ -436,3 +436,26 @@ def test_leading_contents(spark):
 def test_volumes_only_without_chapters(spark):
     assert [t for t, _ in sections(spark, "第一卷 起\na\n第二卷 落\nb")[1]] == ["第一卷 起", "第二卷 落"]
     assert [t for t, _ in sections(spark, "第一卷 起\n第1章 一\na\n第二卷 落\n第2章 二\nb")[1]] == ["前言", "第1章 一", "第2章 二"]
+
+
+def test_json_paths_to_any_depth(spark):
+    from pagemill.functions.jsonx import Deep, Each, Index, Key
+
+    doc = '{"b":[{"z":1,"a":{"b":[5,6]}},{"a":null}],"a":{"x":{"b":[7]},"b":"s"},"n":[[{"b":[8,9]}]]}'
+    cases = {
+        (Deep("b"),): ['[{"z":1,"a":{"b":[5,6]}},{"a":null}]', "[5,6]", "[7]", '"s"', "[8,9]"],
+        (Key("a"), Deep("b"), Index(0)): ["7"],
+        (Deep("b"), Index(-1)): ['{"a":null}', "6", "7", "9"],
+        (Deep("a"), Each()): ["[5,6]", '{"b":[7]}', '"s"'],
+        (Key("n"), Each(), Deep("b"), Each()): ["8", "9"],
+        (Deep("a"), Deep("b")): ["[5,6]", "[7]", '"s"'],
+        (Deep("a"), Key("q")): [],
+    }
+    for steps, want in cases.items():
+        assert one(spark, jsonx.find(F.lit(doc), *steps)) == want
+    assert one(spark, jsonx.find(F.lit("{no json"), Deep("b"))) == [] and one(spark, jsonx.find(F.lit(None).cast("string"), Deep("b"))) == []
+    assert one(spark, jsonx.find_value(jsonx.find(F.lit(doc), Key("a"), Deep("b")))) == '[[7],"s"]'
+    assert one(spark, jsonx.find_value(jsonx.find(F.lit(doc), Key("b"), Deep("z")))) == "1"
+    assert one(spark, F.size(jsonx.find_items(jsonx.find(F.lit(doc), Key("n"), Deep("b"))))) == 2
+    deep = '{"a":' * 300 + "1" + "}" * 300
+    assert len(one(spark, jsonx.find(F.lit(deep), Deep("a")))) == 300

@@ -1,5 +1,6 @@
 """Operators that cut long groups into chunks, against brute force, with tiny chunks and a hot key."""
 
+import os
 import random
 
 import datetime as dt
@@ -104,6 +105,52 @@ def test_chains(spark):
     }
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A chain of 10 000 pages and a cycle of 3 000 behind a run-up, in less than 20 stored rounds."""
+    rounds = []
+    before = chains.cut_lineage
+    monkeypatch.setattr(chains, "cut_lineage", lambda df: rounds.append(1) or before(df))
+    links = [(f"u{i}", f"u{i + 1}") for i in range(9_999)] + [(f"c{i}", f"c{i + 1}") for i in range(3_499)] + [("c3499", "c500")]
+    starts = [("long", "u0"), ("cycle", "c0"), ("inside", "c700"), ("end", "u9998")]
+    out = chains.follow(spark.createDataFrame(starts, "k string, url string"), spark.createDataFrame(links, "url string, next_url string"), ["k"])
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.k, {})[r.page_no] = r.url
+    assert [got["long"][i + 1] for i in range(10_000)] == [f"u{i}" for i in range(10_000)] and len(got["long"]) == 10_000
+    assert [got["cycle"][i + 1] for i in range(3_500)] == [f"c{i}" for i in range(3_500)] and len(got["cycle"]) == 3_500
+    assert [got["inside"][i + 1] for i in range(3_000)] == [f"c{500 + (200 + i) % 3000}" for i in range(3_000)] and len(got["inside"]) == 3_000
+    assert got["end"] == {1: "u9998", 2: "u9999"}
+    assert len(rounds) < 2 * 20
+
+
+def part_files(path):
+    return {f"{folder}/{name}" for folder, _, names in os.walk(path) for name in names if name.startswith("part-")}
+
+
+def test_stored_parts(spark, tmp_path):
+    """Only the parts that a batch reaches are read and written; a cleared part stays empty."""
+    path = str(tmp_path / "store")
+    schema = "book_id long, source_url string, book_url string, chapter_url string, content string, seq long"
+    rows = [(b, "s", "u", f"c{c}", "text", 1) for b in range(40) for c in range(8)] + [(7, "s", "u", f"x{c}", "text", 1) for c in range(300)]
+    store.write_parts(spark.createDataFrame(rows, schema), path)
+    first = part_files(path)
+    new = [(3, "s", "u", "c1", "newer", 2), (3, "s", "u", "c2", " ", 2), (41, "s", "u", "c0", "added", 1)]
+    store.merge_parts(spark, path, spark.createDataFrame(new, schema), ["seq"])
+    second = part_files(path)
+    assert 0 < len(first - second) <= 3  # the rest keep their files
+    got = {(r.book_id, r.chapter_url): r.content for r in store.read_parts(spark, path).collect()}
+    want = {(b, c): t for b, _, _, c, t, _ in rows} | {(3, "c1"): "newer", (41, "c0"): "added"}
+    assert got == want
+    parts = spark.read.parquet(path).where(F.col("part").isin([1, 2]))
+    assert "PartitionFilters: [" in parts._jdf.queryExecution().toString() and "part" in parts._jdf.queryExecution().toString()
+    store.clear_parts(spark, path, spark.createDataFrame([(3,), (7,)], "book_id long"))
+    got = {(r.book_id, r.chapter_url): r.content for r in store.read_parts(spark, path).collect()}
+    assert got == {k: t for k, t in want.items() if k[0] not in (3, 7)}
+    assert len(second - part_files(path)) <= 2 * store.SPREAD
+    store.merge_parts(spark, path, spark.createDataFrame([], schema), ["seq"])
+    assert store.read_parts(spark, path).count() == len(got)
+
+
 def cut_points(text):
     """Brute force: every allowed place is looked at."""
     pos, out = 0, []
