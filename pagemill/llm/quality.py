@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from pagemill.llm.common import Texts, row_blocks
 
@@ -183,8 +183,12 @@ def labelled_sample(
         .where("quality = high")
         .select("doc_id", "quality")
     )
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
-    known = texts.select("doc_id", "size").join(marks, "doc_id").withColumn("mark", F.xxhash64("doc_id", F.lit(7)))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("hash", F.xxhash64("text"))
+    sized = texts.select("doc_id", F.struct("hash", F.octet_length("text").alias("size")).alias("one"))
+    # Of rows that share an id the text with the smallest hash counts, once.
+    known = sized.groupBy("doc_id").agg(F.min("one").alias("one")).select("doc_id", "one.*").join(marks, "doc_id")
+    known = known.withColumn("mark", F.xxhash64("doc_id", F.lit(7)))
     counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = counts.get(1, 0) / max(counts.get(0, 0), 1) or 1.0
     chosen = []
@@ -193,9 +197,13 @@ def labelled_sample(
         for row in known.where(F.col("quality") == quality).orderBy("mark", "doc_id").limit(per_class).collect():
             if row["size"] <= left:
                 left -= row["size"]
-                chosen.append(row["doc_id"])
-    picked = texts.where(F.col("doc_id").isin(chosen)).join(marks, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(7)), "text")
-    rows = picked.select("text", "quality").collect() if chosen else []
+                chosen.append((row["doc_id"], row["hash"], row["mark"], int(quality)))
+    if not chosen:
+        return [], [], odds
+    schema = StructType([docs.schema["doc_id"], *(StructField(n, LongType()) for n in ("hash", "mark", "quality"))])
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, schema))  # 2 * per_class rows at most
+    picked = texts.join(wanted, ["doc_id", "hash"]).dropDuplicates(["doc_id"]).orderBy("mark", "text")
+    rows = picked.select("text", "quality").collect()
     return [r["text"] for r in rows], [int(r["quality"]) for r in rows], odds
 
 

@@ -26,13 +26,14 @@ def ring(spark: SparkSession, n_shards: int, virtual_nodes: int, cells: int = CE
         .withColumn("arc", F.row_number().over(Window.orderBy("cell")) - 1)
     )
     first = nodes.orderBy("cell").limit(1).select(F.col("arc").alias("arc0"), F.col("home").alias("home0"))
-    ahead = Window.orderBy("cell").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # From the last cell backwards, so that each row only looks at the one before it.
+    ahead = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         spark.range(cells)
         .withColumnRenamed("id", "cell")
         .join(nodes, "cell", "left")
-        .withColumn("arc", F.first("arc", ignorenulls=True).over(ahead))
-        .withColumn("home", F.first("home", ignorenulls=True).over(ahead))
+        .withColumn("arc", F.last("arc", ignorenulls=True).over(ahead))
+        .withColumn("home", F.last("home", ignorenulls=True).over(ahead))
         .join(F.broadcast(first), F.col("arc").isNull(), "left")  # past the last node the ring starts again
         .select("cell", F.coalesce("arc", "arc0").alias("arc"), F.coalesce("home", "home0").alias("home"))
     )

@@ -135,7 +135,7 @@ def repeated(docs: DataFrame, window: int = WINDOW, k: int = KMER) -> tuple[Data
         known.where("first_doc = doc_id")
         .join(forks, "mark")
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "windows", "mark")).alias("parts"))
+        .agg(F.collect_set(F.struct("start", "windows", "mark")).alias("parts"))  # once for all repeated rows
     )
     fields = [docs.schema["doc_id"], *(StructField(n, LongType()) for n in ("k1", "k2", "mark", "start", "windows", "h1"))]
     single = (

@@ -591,3 +591,22 @@ def test_pipeline(spark, tmp_path):
     assert set(ids) <= near and max(ids.values()) <= 3
     pieces = collections.Counter(r.doc_id for r in kept[4] if r.start == 0)
     assert pieces == ids
+
+
+def test_quality_sample_is_bounded_with_repeated_ids(spark):
+    """Thousands of rows with one labelled id bring one text to the driver."""
+    rows = [(1, f"text {i % 3}") for i in range(3000)] + [(i, f"own {i}") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    texts, marks, _ = quality.labelled_sample(docs, labels, 10, 10_000)
+    assert len(texts) == len(marks) == 20 and sum(t.startswith("text") for t in texts) <= 1
+
+
+def test_repeated_rows_cost_their_number(spark):
+    """The list of a document's pieces does not grow with the number of its rows."""
+    base = " ".join(f"w{i}" for i in range(300))
+    near = base.replace("w150 ", "other ")
+    rows = [(2, base)] * 400 + [(1, near), (3, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = bag(substrings.digests(docs), "doc_id", "n_removed")
+    assert got == collections.Counter({(1, 0): 1, (2, 299): 400, (3, 300): 1})
