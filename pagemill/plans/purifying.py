@@ -50,11 +50,9 @@ def pur_recovered(spark, sf):
 def pur_literal(spark, sf):
     """Every usable benchmark passage removed from every document."""
     rules = [r for r in pu.collect_rules(_phrases(spark, sf)) if r.mode == "text"]
-    out = pu.apply_rules(docs(spark, sf), rules)
-    hits = F.lit(0)
-    for r in rules:
-        hits = hits + pu.column(r.hits)
-    return out.select("doc_id", F.sha2("clean", 256).alias("clean_hash"), hits.cast("bigint").alias("hits"))
+    out = pu.apply_literals(docs(spark, sf), rules)
+    hits = F.aggregate("hits", F.lit(0).cast("bigint"), lambda n, h: n + h["hits"])
+    return out.select("doc_id", F.sha2("clean", 256).alias("clean_hash"), hits.alias("hits"))
 
 
 def pur_regex(spark, sf):

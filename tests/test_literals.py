@@ -459,3 +459,27 @@ def test_json_paths_to_any_depth(spark):
     assert one(spark, F.size(jsonx.find_items(jsonx.find(F.lit(doc), Key("n"), Deep("b"))))) == 2
     deep = '{"a":' * 300 + "1" + "}" * 300
     assert len(one(spark, jsonx.find(F.lit(deep), Deep("a")))) == 300
+
+
+def test_many_literal_rules(spark):
+    """Ten thousand rules in order, the same as one projection each; a rule may bring hits of later ones and of no earlier."""
+    import random
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
+    few = [purify.Rule(f"r{i}", word(), word() if i % 3 else "") for i in range(40)] + [purify.Rule("off", "a", enabled=False), purify.Rule("twice", "ab"), purify.Rule("again", "ab", "x")]
+    texts = [(i, "".join(rng.choice("abc \r\n") for _ in range(60))) for i in range(30)] + [(90, ""), (91, None)]
+    df = spark.createDataFrame(texts, "i long, text string")
+    want = {r.i: r.clean for r in purify.apply_rules(df, few).select("i", "clean").collect()}
+    out = purify.apply_literals(df, few)
+    assert {r.i: r.clean for r in out.collect()} == want
+    counted = purify.apply_rules(df, few)
+    hits = {r["i"]: {x.id: r[x.hits] for x in few if x.enabled and r[x.hits]} for r in counted.collect()}
+    assert {r.i: {h.rule_id: h.hits for h in r.hits} for r in out.collect()} == hits
+    many = [purify.Rule(f"m{i}", f"phrase number {i};", f"<{i}>") for i in range(10_000)]
+    df = spark.createDataFrame([(i, f"x phrase number {i}; phrase number {i + 1}; y") for i in range(0, 9_000, 30)], "i long, text string")
+    got = purify.apply_literals(df, many).collect()
+    assert all(r.clean == f"x <{r.i}> <{r.i + 1}> y" and len(r.hits) == 2 for r in got)
+    growing = [purify.Rule("g", "e", "-" * 600)]
+    assert purify.apply_literals(spark.createDataFrame([("e" * 2000,)], "text string"), growing).first().status == "too_large"
+    assert purify.apply_literals(df, []).first().clean.startswith("x phrase")
