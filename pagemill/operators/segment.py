@@ -280,14 +280,31 @@ def chapter_id(idx: Column) -> Column:
     return F.lpad((idx + 1).cast("string"), 6, "0")
 
 
-def manifest(segmented: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """One row per text: content hash, split method, section count, last title and id, unread count."""
+# Fixed value: said of a text that was split by length though headings were looked for.
+BY_LENGTH_WARNING = "未识别到可靠章节标题，已按长度自动分段"
+
+
+def warnings(mode: str = "auto") -> Column:
+    """What to tell about a segmented text: nothing, or that no reliable headings were found in it."""
+    by_length = F.array(F.lit(BY_LENGTH_WARNING))
+    none = F.array().cast("array<string>")
+    return F.when((F.col("split_method") == "length") & F.lit(mode in ("auto", "length")), by_length).otherwise(none)
+
+
+def manifest(
+    segmented: DataFrame, keys: list[str], text: str = "text", encoding: Column | None = None, mode: str = "auto"
+) -> DataFrame:
+    """One row per text: content hash, encoding, split method, warnings, section count, the list of ids and titles, last
+    title and id, unread count."""
     n = F.size("sections")
     return segmented.select(
         *keys,
         F.sha2(F.col(text), 256).alias("content_hash"),
+        (F.lit("utf-8") if encoding is None else encoding).alias("encoding"),
         "split_method",
+        warnings(mode).alias("warnings"),
         n.alias("n_sections"),
+        F.transform("sections", lambda s, i: F.struct(chapter_id(i).alias("id"), s["title"].alias("title"))).alias("chapters"),
         F.element_at("sections", -1)["title"].alias("latest_chapter"),
         chapter_id(n - 1).alias("last_chapter_id"),
         F.greatest(F.lit(0), n - 1).alias("unread_count"),
@@ -305,3 +322,18 @@ def dedupe_by_hash(df: DataFrame, key: str, text: str = "text", imported: DataFr
     if imported is None:
         return out
     return out.join(imported.select("content_hash"), "content_hash", "left_anti")
+
+
+def import_plan(df: DataFrame, key: str, books: DataFrame, chapters: DataFrame, text: str = "text") -> DataFrame:
+    """One row per distinct text: ``key`` of the row that stands for it, ``n_copies``, ``book_id`` of the book that already
+    holds it, and ``action``: 'import' a new text, 'open' the book, or 'replace' a book whose chapters are gone.
+
+    ``books`` has id and content_hash (of several with one text the smallest id counts), ``chapters`` book_id, idx and
+    content. A book is intact if its first chapter is there and not blank. Only hashes and keys are shuffled.
+    """
+    copies = dedupe_by_hash(df, key, text)
+    held = books.where(F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("id").alias("book_id"))
+    whole = chapters.where((F.col("idx") == 0) & (js_trim(F.coalesce("content", F.lit(""))) != "")).select("book_id").distinct()
+    known = held.join(whole.withColumn("_whole", F.lit(True)), "book_id", "left")
+    action = F.when(F.col("book_id").isNull(), "import").when(F.col("_whole"), "open").otherwise("replace")
+    return copies.join(known, "content_hash", "left").select("content_hash", key, "n_copies", "book_id", action.alias("action"))

@@ -164,7 +164,15 @@ def plan_requests_query(spark, sf):
     headers = F.array_join(
         F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";"
     )
-    return out.withColumn("headers", headers)
+    return out.drop("reason").withColumn("headers", headers)
+
+
+def plan_page_expressions(spark, sf):
+    """Page arithmetic of several kinds, without forms made by hand, and expressions that nothing fills."""
+    forms = ["{{(page-1)*20}}", "{{page*5}}&h={{ page / 2 }}", "{{page>1?page:0}}", "{{page-1}}&x={{secret}}", "{{10%page}}{{page-}}"]
+    template = F.concat(F.lit("/s?k={{key}}&p={{page}}&o="), F.element_at(F.array(*map(F.lit, forms)), (F.col("ord") % 5 + 1).cast("int")))
+    df = view(spark, sf, "sources").select("source_url", template.alias("search_url"), F.lit(None).cast("map<string,string>").alias("header"))
+    return plan_requests(df, ["k"], pages=3).select("source_url", "page", "url", "reason")
 
 
 def link_edges_query(spark, sf):
@@ -198,6 +206,7 @@ QUERIES = {
     "sink_sections": sink_sections,
     "shelf_export_import": shelf_export_import,
     "plan_requests": plan_requests_query,
+    "plan_page_expressions": plan_page_expressions,
     "link_edges": link_edges_query,
     "link_degrees": link_degrees_query,
     "link_resolve": link_resolve,
@@ -277,3 +286,8 @@ select source_url, key, page,
  when '/a/./b/../c' then concat({_ORIGIN}, '/a/c') else href end as target
 from pages, (values {', '.join("('" + r + "')" for r in RELATIVE)}) v(href)""",
 }
+ORACLES["plan_page_expressions"] = f"""with s as (select source_url, ord % 5 as k, p from {sql_view('sources')}, range(1, 4) t(p))
+select source_url, cast(p as int) as page, concat(source_url, '/s?k=k&p=', p, '&o=', case k when 0 then cast((p - 1) * 20 as varchar)
+ when 1 then concat(p * 5, '&h=', case when p % 2 = 0 then cast(p // 2 as varchar) else concat(p // 2, '.5') end)
+ when 2 then '' when 3 then concat(p - 1, '&x=') else cast(10 % p as varchar) end) as url,
+ case k when 2 then 'unknown expression: page>1?page:0' when 3 then 'unknown expression: secret' when 4 then 'unknown expression: page-' end as reason from s"""

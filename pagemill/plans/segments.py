@@ -140,7 +140,27 @@ def seg_dedupe_hash(spark, sf):
     return sg.dedupe_by_hash(docs, "doc_id", imported=shelf)
 
 
+def seg_import_manifest(spark, sf):
+    """What an import keeps of each text beside its sections."""
+    kept = sg.manifest(sg.segment(headed(spark, sf)), ["doc_id"], encoding=F.when(F.col("doc_id") % 2 == 0, "utf-8").otherwise("gb18030"))
+    ids = F.array_join(F.transform("chapters", lambda c: F.concat(c["id"], F.lit(" "), c["title"])), "|")
+    return kept.select("doc_id", "encoding", F.array_join("warnings", "|").alias("warnings"), ids.alias("chapters"))
+
+
+def seg_import_plan(spark, sf):
+    """Texts of one source are books already; every third of these has lost its chapters, every fifth its first one."""
+    docs = tables(spark, sf, "documents")["documents"]
+    own = docs.where(F.col("source") == "src1")
+    books = own.select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    chapters = own.where("doc_id % 3 <> 0").select(
+        F.col("doc_id").alias("book_id"), F.lit(0).alias("idx"), F.when(F.col("doc_id") % 5 == 0, F.lit(" ")).otherwise(F.lit("x")).alias("content")
+    )
+    return sg.import_plan(docs, "doc_id", books, chapters)
+
+
 QUERIES = {
+    "seg_import_manifest": seg_import_manifest,
+    "seg_import_plan": seg_import_plan,
     "seg_normalize": seg_normalize,
     "seg_lines": seg_lines,
     "seg_heading_match": seg_heading_match,
@@ -235,5 +255,13 @@ from done d join t on d.doc_id = t.doc_id group by d.doc_id""",
     "seg_dedupe_hash": """select sha256(text) as content_hash, min(doc_id) as doc_id, count(*) as n_copies from documents
 where sha256(text) not in (select sha256(text) from documents where source = 'src1') group by 1""",
 }
+ORACLES["seg_import_manifest"] = f"""{_SECTIONS} select d.doc_id, case when d.doc_id % 2 = 0 then 'utf-8' else 'gb18030' end as encoding,
+ case when any_value(split_method) = 'length' then '未识别到可靠章节标题，已按长度自动分段' else '' end as warnings,
+ string_agg(concat(lpad(cast(idx + 1 as varchar), 6, '0'), ' ', title), '|' order by idx) as chapters from done d group by d.doc_id"""
+ORACLES["seg_import_plan"] = """with h as (select doc_id, sha256(text) as content_hash, source from documents),
+b as (select content_hash, min(doc_id) as book_id from h where source = 'src1' group by 1)
+select h.content_hash, min(h.doc_id) as doc_id, count(*) as n_copies, any_value(book_id) as book_id,
+ case when any_value(book_id) is null then 'import' when any_value(book_id) % 3 <> 0 and any_value(book_id) % 5 <> 0 then 'open' else 'replace' end as action
+from h left join b on b.content_hash = h.content_hash group by 1"""
 ORACLES["sink_sections"] = f"""{_SECTIONS} select sha256(cast(doc_id as varchar)) as book_id, lpad(cast(idx + 1 as varchar), 6, '0') as chapter_id,
  title, text_hash as content_hash from done"""

@@ -483,3 +483,12 @@ def test_many_literal_rules(spark):
     growing = [purify.Rule("g", "e", "-" * 600)]
     assert purify.apply_literals(spark.createDataFrame([("e" * 2000,)], "text string"), growing).first().status == "too_large"
     assert purify.apply_literals(df, []).first().clean.startswith("x phrase")
+
+
+def test_page_arithmetic():
+    from pagemill.operators.requests import page_value
+
+    cases = {"(page-1)*20": "40", "page/2": "1.5", " page*10 + 5 ": "35", "-page": "-3", "10%page": "1", "page/(page-3)": "Infinity", "0/(page-3)": "NaN"}
+    assert {e: page_value(e, 3) for e in cases} == cases
+    for bad in ("page**2", "page//2", "page-", "pagepage", "page(1)", "page.a", "", "page page", "page--1+a"):
+        assert page_value(bad, 3) is None
