@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from pagemill.llm.common import row_blocks, running
-from pagemill.llm.words_bpe import BLOCK, encoder, words_of
+from pagemill.llm.words_bpe import BLOCK, encoder
 from pagemill.session import cut_lineage
 
 LENGTH = 4096
@@ -118,10 +117,9 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1), BLOCK):
                 rows = batch.slice(lo, hi - lo)
-                words = [words_of(t) for t in rows.column(1).cast(pa.large_binary()).to_pylist()]
-                ids, sizes = enc.gather(enc.slots(list(chain.from_iterable(words))))
-                ends = np.cumsum([len(own) for own in words])
-                bounds = np.append(0, np.cumsum(sizes, dtype=np.int64))[np.append(0, ends)]
+                slots, n_words = enc.rows(rows.column(1))
+                ids, sizes = enc.gather(slots)
+                bounds = np.append(0, np.cumsum(sizes, dtype=np.int64))[np.append(0, np.cumsum(n_words))]
                 # All rows' ids in one array, each row's followed by its end.
                 own = np.diff(bounds)
                 joined = np.full(len(ids) + len(own), end, "<u4")

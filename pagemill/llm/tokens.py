@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from pagemill.llm.common import row_blocks
-from pagemill.llm.words_bpe import BLOCK, encoder, words_of
+from pagemill.llm.words_bpe import BLOCK, encoder
 
 CHUNK = 32_768
 OVERLAP = 256
@@ -96,15 +95,14 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
         for batch in batches:
             for lo, hi in row_blocks(batch.column(1), BLOCK):
                 rows = batch.slice(lo, hi - lo)
-                texts = rows.column(1).cast(pa.large_binary()).to_pylist()
-                short = [words_of(t) if t and len(t) <= chunk else [] for t in texts]
-                sizes = enc.counts(list(chain.from_iterable(short)))
-                ends = np.cumsum([len(w) for w in short])
-                tokens = np.diff(np.append(0, np.cumsum(sizes))[np.append(0, ends)])
-                chunks, widened = np.ones(len(texts), np.int64), np.zeros(len(texts), np.int64)
-                for i, text in enumerate(texts):
-                    if text and len(text) > chunk:
-                        tokens[i], chunks[i], widened[i] = count_long(enc.tokenizer, text.decode(), chunk, overlap)
+                sizes = pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False)
+                long = np.flatnonzero(sizes > chunk)
+                slots, n_words = enc.rows(pc.if_else(pa.array(sizes > chunk), "", rows.column(1)))
+                tokens = np.diff(np.append(0, np.cumsum(enc.size[slots], dtype=np.int64))[np.append(0, np.cumsum(n_words))])
+                chunks, widened = np.ones(len(rows), np.int64), np.zeros(len(rows), np.int64)
+                for i in long.tolist():
+                    text = rows.column(1)[i].as_py()
+                    tokens[i], chunks[i], widened[i] = count_long(enc.tokenizer, text, chunk, overlap)
                 n_bytes = pc.fill_null(pc.binary_length(rows.column(1)), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), n_bytes, *map(pa.array, (tokens, chunks, widened))], ["doc_id", *names]

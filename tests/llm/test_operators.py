@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -112,11 +113,13 @@ def test_words_end_in_marks():
     enc = words_bpe.WordEncoder(PATH, room=4000)
     for lo in range(0, len(texts), 1000):
         part = texts[lo : lo + 1000]
-        ids, sizes = enc.gather(enc.slots([t.encode() for t in part]))
+        slots, n_words = enc.rows(pa.array([*part, None, " "]))
+        assert n_words.tolist() == [1] * len(part) + [0, 0]
+        ids, sizes = enc.gather(slots)
         got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
         assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
-    enc.slots([b"b"])
-    assert max(map(len, enc.slot)) <= words_bpe.LONGEST and len(enc.slot) <= 4000
+        assert len(enc.keys) <= 4000
+    assert enc.rows(pa.array(["a b a"]))[0].tolist()[0] == enc.rows(pa.array(["a"]))[0].tolist()[0]
 
 
 def test_mixing(docs, rows, empty):
