@@ -11,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from pagemill.llm.common import running, table
-from pagemill.session import cut_lineage
+from pagemill.llm.common import running, stored, table
 
 CHUNK = 4096
 """Turns of one conversation, or ids of one node, that are handled together."""
@@ -20,6 +19,11 @@ MARK = ["p", "q"]
 """Two 64-bit hashes that stand for a whole prefix."""
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Every step is stored as a table of known size, so that small ones are broadcast and unions stay few files."""
+    return stored(df, "trie")
+
+
 def fattest(lo: str, hi: str) -> Column:
     """The number of (lo, hi] that is divisible by the highest power of two."""
     return F.expr(f"{hi} & shiftleft(cast(-1 as bigint), cast(length(bin({lo} ^ {hi})) - 1 as int))")
@@ -61,7 +65,7 @@ def rebuilt(turns: DataFrame, every: int = 100, most: int = 6) -> DataFrame:
     shift = convs.join(held, "base", "left").select(
         F.col("conv_id"), "h", (F.least(F.coalesce("held", F.lit(0)), "h") - F.col("h")).alias("shift")
     )
-    own = turns.join(cut_lineage(shift), "conv_id").where(F.col("pos") >= F.col("h"))
+    own = turns.join(kept(shift), "conv_id").where(F.col("pos") >= F.col("h"))
     return lent.select("conv_id", (F.col("pos") + 1).alias("depth"), "role", "text").unionByName(
         own.select("conv_id", (F.col("pos") + F.col("shift") + 1).alias("depth"), "role", "text")
     )
@@ -74,7 +78,7 @@ def prefix_marks(turns: DataFrame) -> DataFrame:
     summed up apart, and one small row per chunk is carried over.
     """
     spots = [F.xxhash64(F.lit(i), "depth", "role", "text").alias(n) for i, n in enumerate(MARK)]
-    rows = cut_lineage(turns.select("conv_id", "depth", *spots, F.length("text").cast("long").alias("size")))
+    rows = kept(turns.select("conv_id", "depth", *spots, F.length("text").cast("long").alias("size")))
     chunk = F.floor((F.col("depth") - 1) / CHUNK).alias("chunk")
     before = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("conv_id", chunk).agg(*(F.bit_xor(n).alias(n) for n in MARK))
@@ -113,7 +117,7 @@ def compacted(paths: DataFrame, ends: DataFrame, marks: DataFrame) -> DataFrame:
         F.coalesce("previous", "branch").alias("low"),
         F.when(F.col("previous").isNull(), F.col("parent")).otherwise(F.col("path")).alias("up"),
     )
-    edges = cut_lineage(edges.withColumn("f", fattest("low", "depth")))
+    edges = kept(edges.withColumn("f", fattest("low", "depth")))
     out = edges
     for name, at in (("f", F.col("f")), ("e", F.col("depth")), ("c", F.col("low") + 1)):
         there = marks.select(F.col("conv_id").alias("path"), F.col("depth").alias("_at"), *(F.col(n).alias(f"{n}_{name}") for n in MARK))
@@ -142,7 +146,7 @@ def locate(active: DataFrame, nodes: DataFrame, marks: DataFrame) -> DataFrame:
         hit = F.col("path").isNotNull()
         whole = hit & F.col("own_p").eqNullSafe(F.col("p_e")) & F.col("own_q").eqNullSafe(F.col("q_e"))
         hi = F.when(whole, F.col("hi")).when(hit, F.col("up_depth")).when(F.col("f").isNotNull(), F.col("f") - 1)
-        stepped = cut_lineage(
+        stepped = kept(
             asked.select(
                 "conv_id",
                 "length",
@@ -162,7 +166,7 @@ def exits(found: DataFrame, nodes: DataFrame, marks: DataFrame) -> DataFrame:
     it agrees with it, on the edge below its deepest node if that has its next turn."""
     ahead = marks.select("conv_id", (F.col("depth") - 1).alias("lo"), *(F.col(n).alias(f"{n}_c") for n in MARK))
     below = nodes.select(F.col("up_depth").alias("lo"), "p_c", "q_c", "path", F.col("depth").alias("extent"))
-    on_edge = cut_lineage(
+    on_edge = kept(
         found.join(ahead, ["conv_id", "lo"]).join(below, ["lo", "p_c", "q_c"]).select("conv_id", "lo", "path", "extent")
     )
     mine = marks.select("conv_id", "depth", *MARK)
@@ -193,29 +197,29 @@ def grow(convs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     path_type = StructType([StructField(n, LongType()) for n in ("path", "parent", "branch", "length", "batch")])
     # Conversation ids may be any number, so the root gets none of them: it is null as a parent.
     paths = spark.createDataFrame([], path_type)
-    ends = cut_lineage(convs.where("length = 0").select("conv_id", F.lit(None).cast("long").alias("path"), F.lit(0).cast("long").alias("depth")))
+    ends = kept(convs.where("length = 0").select("conv_id", F.lit(None).cast("long").alias("path"), F.lit(0).cast("long").alias("depth")))
     none = F.lit(None).cast("long")
-    active = cut_lineage(convs.where("length > 0").withColumn("at", none).withColumn("lo", F.lit(0).cast("long")))
+    active = kept(convs.where("length > 0").withColumn("at", none).withColumn("lo", F.lit(0).cast("long")))
     batch = 0
     while not active.isEmpty():
         if batch:
-            nodes = cut_lineage(compacted(paths, ends.where("path is not null"), marks))
-            left = cut_lineage(exits(locate(active, nodes, marks), nodes, marks))
+            nodes = kept(compacted(paths, ends.where("path is not null"), marks))
+            left = kept(exits(locate(active, nodes, marks), nodes, marks))
         else:
             left = active
         over = left.where("lo = length").select("conv_id", F.col("at").alias("path"), F.col("lo").alias("depth"))
-        ends = cut_lineage(ends.unionByName(over))
+        ends = kept(ends.unionByName(over))
         ahead = marks.select("conv_id", (F.col("depth") - 1).alias("lo"), *MARK)
-        more = cut_lineage(left.where("lo < length").join(ahead, ["conv_id", "lo"]))
+        more = kept(left.where("lo < length").join(ahead, ["conv_id", "lo"]))
         # What leaves at one place with one next turn shares a prefix, and only that.
         rank = F.struct(F.xxhash64("conv_id").alias("rank"), "conv_id", "length", "at", "lo")
         won = more.groupBy(*MARK).agg(F.min(rank).alias("w")).select("w.*")
         fresh = won.select(
             F.col("conv_id").alias("path"), F.col("at").alias("parent"), F.col("lo").alias("branch"), "length", F.lit(batch).cast("long").alias("batch")
         )
-        paths = cut_lineage(paths.unionByName(fresh))
+        paths = kept(paths.unionByName(fresh))
         fresh_ids = paths.where(F.col("batch") == batch).select(F.col("path").alias("conv_id"))
-        active = cut_lineage(more.drop(*MARK).join(fresh_ids, "conv_id", "left_anti"))
+        active = kept(more.drop(*MARK).join(fresh_ids, "conv_id", "left_anti"))
         batch += 1
     return paths, ends
 
@@ -277,9 +281,9 @@ def unfold(paths: DataFrame, ends: DataFrame, marks: DataFrame) -> DataFrame:
     spark = paths.sparkSession
     root = spark.createDataFrame([(0, 0)], "depth long, size long").select(F.lit(None).cast("long").alias("path"), "depth", "size")
     every = paths.join(marks.withColumnRenamed("conv_id", "path"), "path").where("depth > branch")
-    every = cut_lineage(every.select("path", "batch", "depth", "size"))
-    ended = cut_lineage(ends.unionByName(paths.select(F.col("path").alias("conv_id"), "path", F.col("length").alias("depth"))))
-    here = cut_lineage(ended.groupBy("path", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("low")))
+    every = kept(every.select("path", "batch", "depth", "size"))
+    ended = kept(ends.unionByName(paths.select(F.col("path").alias("conv_id"), "path", F.col("length").alias("depth"))))
+    here = kept(ended.groupBy("path", "depth").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("low")))
     last = paths.agg(F.max("batch")).first()[0]
     done, hung = [], None  # rows of finished batches; what paths hand to the place they hang at
 
@@ -298,7 +302,7 @@ def unfold(paths: DataFrame, ends: DataFrame, marks: DataFrame) -> DataFrame:
         else:
             rows = rows.select("*", *(F.lit(None).cast("long").alias(c) for c in ("kn", "klow", "kleaves", "ksaved", "kids")))
         zero = F.lit(0).cast("long")
-        return cut_lineage(
+        return kept(
             rows.select(
                 "path",
                 "depth",
@@ -317,9 +321,9 @@ def unfold(paths: DataFrame, ends: DataFrame, marks: DataFrame) -> DataFrame:
         rows = rows.join(lengths, "path")
         rows = rows.withColumn("n_children", F.col("kids") + (F.col("depth") < F.col("length")).cast("long"))
         rows = rows.withColumn("n_leaves", F.col("n_leaves") + (F.col("n_children") == 0).cast("long"))
-        rows = cut_lineage(suffix(suffix(suffix(rows, "n_convs"), "n_leaves"), "first", F.min))
+        rows = kept(suffix(suffix(suffix(rows, "n_convs"), "n_leaves"), "first", F.min))
         rows = rows.withColumn("saved", F.col("saved") + (F.col("n_convs") - 1) * F.col("size"))
-        rows = cut_lineage(suffix(rows, "saved"))
+        rows = kept(suffix(rows, "saved"))
         done.append(rows)
         top = rows.where(F.col("depth") == F.col("branch") + 1)
         more = top.select("path", "parent", "branch", "n_convs", "first", "n_leaves", "saved")
@@ -331,7 +335,7 @@ def unfold(paths: DataFrame, ends: DataFrame, marks: DataFrame) -> DataFrame:
     for rows in done:
         up = F.when(F.col("depth") == F.col("branch") + 1, F.col("parent")).otherwise(F.col("path"))
         nodes = nodes.unionByName(rows.select(*columns, up.alias("up")))
-    nodes = cut_lineage(nodes.where("n_convs > 0"))
+    nodes = kept(nodes.where("n_convs > 0"))
     parent = nodes.select(F.col("path").alias("u"), (F.col("depth") + 1).alias("ud"), F.col("first").alias("parent_conv_id"))
     hashes = end_hashes(ended).select(F.col("path").alias("e"), F.col("depth").alias("ed"), "ends_sha256")
     out = nodes.join(parent, F.col("up").eqNullSafe(F.col("u")) & (F.col("depth") == F.col("ud")), "left").join(
@@ -357,10 +361,10 @@ def prefix_trie(conversations: DataFrame, every: int = 100, most: int = 6) -> Da
     its edges are unfolded into one node per depth. Conversations that are left without turns end at the root. Without
     any conversation there are no nodes, not even a root. Only conv_id, turn, role and text are read.
     """
-    turns = cut_lineage(placed_turns(conversations))
-    marks = cut_lineage(prefix_marks(rebuilt(turns, every, most)))
+    turns = kept(placed_turns(conversations))
+    marks = kept(prefix_marks(rebuilt(turns, every, most)))
     lengths = marks.groupBy("conv_id").agg(F.max("depth").alias("length"))
-    convs = cut_lineage(
+    convs = kept(
         turns.select("conv_id").distinct().join(lengths, "conv_id", "left").select("conv_id", F.coalesce("length", F.lit(0).cast("long")).alias("length"))
     )
     paths, ends = grow(convs, marks)
