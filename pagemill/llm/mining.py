@@ -62,21 +62,33 @@ class Anchors:
 
 
 class Best:
-    """The k best (score, then smaller id) of each entry so far, and the score that a further row must reach."""
+    """The k best (score, then smaller id) of each entry so far, and the score that a further row must reach.
+
+    Entries are kept cluster by cluster, so that a step of one list only sorts what belongs to its cluster.
+    """
 
     def __init__(self, floor: np.ndarray, k: int):
         self.k, self.floor, self.need = k, floor, floor.copy()
-        self.entry, self.ids, self.score = (np.zeros(0, np.int64) for _ in range(3))
-
-    def add(self, entry: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        entry, ids, score = (np.concatenate(x) for x in ((self.entry, entry), (self.ids, ids), (self.score, score)))
+        self.pools: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def add(self, cluster: int, entry: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        if not len(entry):
+            return
+        new = (entry, ids, score)
+        if cluster in self.pools:
+            new = tuple(np.concatenate(x) for x in zip(self.pools[cluster], new))
+        entry, ids, score = new
         order = np.lexsort((ids, -score, entry))
         entry, ids, score = entry[order], ids[order], score[order]
         place = np.arange(len(entry)) - np.searchsorted(entry, entry)
-        self.entry, self.ids, self.score = (x[place < self.k] for x in (entry, ids, score))
+        self.pools[cluster] = tuple(x[place < self.k] for x in (entry, ids, score))
         last = place == self.k - 1
         self.need[entry[last]] = np.maximum(self.floor[entry[last]], score[last])
 
+    def all(self) -> tuple[np.ndarray, ...]:
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none, *x]) for x in zip(*self.pools.values())) if self.pools else (none,) * 3
+
 
 def walk(anchors: Anchors, ids: np.ndarray, labels: np.ndarray, vectors: np.ndarray, wanted, need) -> int:
     """Every cluster's list over some candidates: sorted by the angular bound once, walked by all members together.
@@ -87,7 +99,7 @@ def walk(anchors: Anchors, ids: np.ndarray, labels: np.ndarray, vectors: np.ndar
     directions, norm = unit(vectors)
     slack = 1e-6 + 1e-9 * anchors.norm.max(initial=0) * norm.max(initial=0)
     scored = 0
-    for members, centre, wide in zip(anchors.members, anchors.centres, anchors.wide):
+    for cluster, (members, centre, wide) in enumerate(zip(anchors.members, anchors.centres, anchors.wide)):
         angle = np.arccos(np.clip(directions @ centre, -1, 1))
         bound = norm * np.cos(np.maximum(angle - wide - 1e-7, 0))  # for a member of length one
         order = np.argsort(-bound, kind="stable")
@@ -98,7 +110,7 @@ def walk(anchors: Anchors, ids: np.ndarray, labels: np.ndarray, vectors: np.ndar
             if not len(members):
                 break
             part = order[at : at + STEP]
-            wanted(members, ids[part], labels[part], products(anchors.vectors[members], vectors[part]))
+            wanted(cluster, members, ids[part], labels[part], products(anchors.vectors[members], vectors[part]))
             scored += len(members) * len(part)
             at += STEP
     return scored
@@ -121,7 +133,8 @@ FOUND = StructType([StructField(n, LongType()) for n in ("entry", "vec_id", "sco
 
 def emit(held: dict[int, Best], base: dict[int, int]) -> Iterator[pa.RecordBatch]:
     for size, best in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (best.entry + base[size], best.ids, best.score)], FOUND.names)
+        entry, ids, score = best.all()
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (entry + base[size], ids, score)], FOUND.names)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -140,9 +153,9 @@ def positives(ready: DataFrame, groups: dict[int, Anchors], base: dict[int, int]
         for size, ids, labels, vectors in slices(batches, groups):
             g, best = groups[size], held[size]
 
-            def wanted(members, own, marks, score):
+            def wanted(cluster, members, own, marks, score):
                 q, i = np.nonzero((g.labels[members][:, None] == marks) & (score >= best.need[members][:, None]))
-                best.add(members[q], own[i], score[q, i])
+                best.add(cluster, members[q], own[i], score[q, i])
 
             walk(g, ids, labels, vectors, wanted, lambda members: best.need[members])
         yield from emit(held, base)
@@ -181,14 +194,15 @@ def negatives(
                 level = best.need.reshape(-1, per)[members]
                 return np.where(level <= top[members], level, np.iinfo(np.int64).max).min(axis=1)
 
-            def wanted(members, own, marks, score):
-                other = g.labels[members][:, None] != marks
-                level = best.need.reshape(-1, per)
-                for j in range(per):
-                    hit = other & (score >= level[members, j][:, None]) & (score <= top[members, j][:, None])
-                    q, i = np.nonzero(hit)
-                    if len(q):
-                        best.add(members[q] * per + j, own[i], score[q, i])
+            def wanted(cluster, members, own, marks, score):
+                level, most = best.need.reshape(-1, per)[members], top[members]
+                least = np.where(level <= most, level, np.iinfo(np.int64).max).min(axis=1)
+                # Scores below all bands or above them are out for every positive at once.
+                some = (g.labels[members][:, None] != marks) & (score >= least[:, None]) & (score <= most.max(axis=1)[:, None])
+                q, i = np.nonzero(some)
+                got = score[q, i][:, None]
+                n, j = np.nonzero((got >= level[q]) & (got <= most[q]))
+                best.add(cluster, members[q[n]] * per + j, own[i[n]], got[n, 0])
 
             walk(g, ids, labels, vectors, wanted, need)
         yield from emit(held, {n: base[n] * per for n in groups})

@@ -255,14 +255,14 @@ def test_walks_end_early():
     anchors = mining.Anchors(picked, near[picked], matrix[picked])
     best = mining.Best(np.full(len(picked), mining._NONE, np.int64), 6)
 
-    def wanted(members, ids, labels, score):
+    def wanted(cluster, members, ids, labels, score):
         q, i = np.nonzero((anchors.labels[members][:, None] == labels) & (score >= best.need[members][:, None]))
-        best.add(members[q], ids[i], score[q, i])
+        best.add(cluster, members[q], ids[i], score[q, i])
 
     scored = mining.walk(anchors, np.arange(4000), near, matrix, wanted, lambda members: best.need[members])
     assert scored < 0.5 * len(picked) * 4000
     for n, a in enumerate(picked):
         score = matrix @ matrix[a]
         want = sorted((-score[i], i) for i in range(4000) if near[i] == near[a])[:6]
-        mine = best.entry == n
-        assert list(zip(-best.score[mine], best.ids[mine])) == want
+        entry, ids, score = best.all()
+        assert list(zip(-score[entry == n], ids[entry == n])) == want
