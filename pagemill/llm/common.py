@@ -24,7 +24,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     to broadcast it instead of shuffling what it is joined with."""
     path = new_table_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running(df: DataFrame, group: list[str], order: list[str], weight: str, name: str = "before") -> DataFrame:

@@ -224,16 +224,20 @@ def grow(convs: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return paths, ends
 
 
-def suffix(rows: DataFrame, value: str, how=F.sum) -> DataFrame:
-    """Rows (path, depth, value) with the sum (or minimum) over the path from each depth to its end, chunk by chunk."""
-    chunk = F.floor(F.col("depth") / CHUNK)
+def suffix(rows: DataFrame, **how) -> DataFrame:
+    """Rows (path, depth, ...) with the named columns summed up (or their minimum taken) over the path from each depth to
+    its end, chunk by chunk."""
     after = Window.partitionBy("path").orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1)
     below = Window.partitionBy("path", "chunk").orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("chunk", chunk)
-    parts = rows.groupBy("path", "chunk").agg(how(value).alias("part")).select("path", "chunk", how("part").over(after).alias("rest"))
-    both = F.coalesce(F.col("here"), F.lit(0)) + F.coalesce(F.col("rest"), F.lit(0)) if how is F.sum else F.least("here", "rest")
-    out = rows.withColumn("here", how(value).over(below)).join(parts, ["path", "chunk"])
-    return out.withColumn(value, both).drop("chunk", "here", "rest")
+    rows = rows.withColumn("chunk", F.floor(F.col("depth") / CHUNK))
+    parts = rows.groupBy("path", "chunk").agg(*(f(c).alias(c) for c, f in how.items()))
+    parts = parts.select("path", "chunk", *(f(c).over(after).alias(f"{c}_rest") for c, f in how.items()))
+    kept_columns = [c for c in rows.columns if c not in how]
+    local = rows.select(*kept_columns, *(f(c).over(below).alias(c) for c, f in how.items()))
+    both = [
+        (F.col(c) + F.coalesce(f"{c}_rest", F.lit(0)) if f is F.sum else F.least(c, f"{c}_rest")).alias(c) for c, f in how.items()
+    ]
+    return local.join(parts, ["path", "chunk"]).select(*(c for c in kept_columns if c != "chunk"), *both)
 
 
 def end_hashes(ended: DataFrame) -> DataFrame:
@@ -321,9 +325,9 @@ def unfold(paths: DataFrame, ends: DataFrame, marks: DataFrame) -> DataFrame:
         rows = rows.join(lengths, "path")
         rows = rows.withColumn("n_children", F.col("kids") + (F.col("depth") < F.col("length")).cast("long"))
         rows = rows.withColumn("n_leaves", F.col("n_leaves") + (F.col("n_children") == 0).cast("long"))
-        rows = kept(suffix(suffix(suffix(rows, "n_convs"), "n_leaves"), "first", F.min))
+        rows = kept(suffix(rows, n_convs=F.sum, n_leaves=F.sum, first=F.min))
         rows = rows.withColumn("saved", F.col("saved") + (F.col("n_convs") - 1) * F.col("size"))
-        rows = kept(suffix(rows, "saved"))
+        rows = kept(suffix(rows, saved=F.sum))
         done.append(rows)
         top = rows.where(F.col("depth") == F.col("branch") + 1)
         more = top.select("path", "parent", "branch", "n_convs", "first", "n_leaves", "saved")
