@@ -196,14 +196,111 @@ def test_lm_scores(spark, docs, rows, empty):
     assert neural.score_documents(empty).count() == 0
 
 
-def test_lm_probabilities_sum_to_one(spark, docs):
+def log_softmax(scores):
+    top = max(scores)
+    total = top + math.log(sum(math.exp(x - top) for x in scores))
+    return [x - total for x in scores]
+
+
+class SlowModel:
+    """P(word | two words before) from the parameters alone, one score at a time."""
+
+    def __init__(self, vocab, model, vectors, dim):
+        self.vocab, self.model = vocab, model
+        self.input, self.output = vectors.astype(float).reshape(2, -1, dim)
+        self.number = {w: i + 2 for i, w in enumerate(vocab.words.split(b"\n"))}
+
+    def distribution(self, far, near):
+        """log10 P of the end, of all rare words together, and of each common word."""
+        v, m = self.vocab, self.model
+        q = m.input[v.kind[near]] * m.near + m.input[v.kind[far]] * m.far
+        by_class = log_softmax([float(q @ m.output[c] + m.bias[c]) for c in range(v.classes)])
+        own = self.input[near] + neural.FAR * self.input[far]
+        out = []
+        for c in range(v.classes):
+            members = [i for i, k in enumerate(v.kind) if k == c]
+            weight = [(v.docs if i == 0 else v.rest if i == 1 else int(v.counts[i - 2])) + 0.5 for i in members]
+            out += [by_class[c] + x for x in log_softmax([math.log(n) + own @ self.output[i] for i, n in zip(members, weight)])]
+        return [x / math.log(10) for x in out]
+
+    def score(self, ws, count):
+        number = [self.number.get(w.encode(), 1) for w in ws] + [0]
+        total, bottom = 0.0, math.log10(self.vocab.rest + 0.5 * (self.vocab.rest_kinds + 1))
+        for i, n in enumerate(number):
+            total += self.distribution(number[i - 2] if i > 1 else 0, number[i - 1] if i else 0)[n]
+            if n == 1:
+                total += math.log10(count[ws[i]] + 0.5) - bottom
+        return total
+
+
+def test_lm_scores_follow_the_model(spark):
+    docs = data.frame(spark, [r for r in data.documents(n=12) if len(r[1] or "") < 1000])
     train = docs.where(~neural.held_out()).select("doc_id", "text")
-    _, vocab = neural.vocabulary(train, 40, 60)
-    model = neural.train_model(train, vocab)
-    z = neural.normalisers(spark, model)
-    for far, near in ((0, 0), (1, 5), (7, 2)):
-        s = (model.input[near] * model.near + model.input[far] * model.far) @ model.output.T + model.bias
-        assert abs(np.exp(s - z[far, near]).sum() - 1) < 1e-4
+    _, vocab = neural.vocabulary(train, 20, 60)
+    model, vectors = neural.train_model(train, vocab)
+    assert vectors.astype(float).reshape(2, -1, neural.WORD_DIM)[1].any()  # words in shared classes were learnt
+    slow = SlowModel(vocab, model, vectors, neural.WORD_DIM)
+    for far, near in ((0, 0), (1, 5), (30, len(vocab.kind) - 1)):
+        ps = [10**x for x in slow.distribution(far, near)]
+        assert len(ps) == len(vocab.kind) > 40 and abs(sum(ps) - 1) < 1e-9
+    rows = [(r.doc_id, [w.translate(data.LOWER) for w in words(r.text)]) for r in docs.collect()]
+    learnt = {r.text for r in train.collect()}
+    count = collections.Counter(w.translate(data.LOWER) for r in train.collect() for w in words(r.text))
+    assert learnt and vocab.total == sum(count.values())
+    want = sorted((str(d), round(slow.score(ws, count), 2)) for d, ws in rows)
+    got = sorted((str(r.doc_id), r.score) for r in neural.score_documents(docs, 20, 60).collect())
+    assert [d for d, _ in got] == [d for d, _ in want]
+    assert all(abs(a - b) < 0.02 + 1e-4 * abs(b) for (_, a), (_, b) in zip(got, want))
+
+
+def test_lm_words_within_classes_descend():
+    rng = np.random.default_rng(3)
+    counts = np.sort(rng.integers(1, 50, 30))[::-1].astype(np.int64)
+    vocab = neural.Vocabulary(b"\n".join(b"w%d" % i for i in range(30)), counts, int(counts.sum()) + 9, 33, 5, 12)
+    assert vocab.classes == 12 and vocab.start[0] == 0 and vocab.stop[-1] == 32
+    assert [int(b) for b in vocab.stop[:-1]] == [int(a) for a in vocab.start[1:]]
+    number = rng.integers(0, 32, 500)
+    drawn = vocab.draw(rng, number)
+    assert (vocab.kind[drawn] == vocab.kind[number][:, None]).all()
+    # One step moves along the gradient of the noise-contrastive objective.
+    flat = rng.normal(0, 0.3, 2 * 32 * 3)
+    w, near, far, noise = number[:40], number[40:80], number[80:120], drawn[:40]
+
+    def objective(x):
+        m = neural.Words(x, 3)
+        q = m.input[near] + neural.FAR * m.input[far]
+        s = np.einsum("td,tjd->tj", q, m.output[np.concatenate([w[:, None], noise], 1)]) - np.log(noise.shape[1])
+        return -np.log1p(np.exp(-s[:, 0])).sum() - np.log1p(np.exp(s[:, 1:])).sum()
+
+    numeric = np.zeros_like(flat)
+    for i in range(len(flat)):
+        up, down = flat.copy(), flat.copy()
+        up[i] += 1e-5
+        down[i] -= 1e-5
+        numeric[i] = (objective(up) - objective(down)) / 2e-5
+    moved = neural.Words(flat.copy(), 3)
+    state = {"rate": 1e-6}
+    for name in ("input", "output"):
+        state |= {name: np.full((32, 3), 1e12), name + "_seen": np.zeros(32, np.int64)}
+    moved.step(w, near, far, noise, state)
+    step = (np.concatenate([moved.input, moved.output]).ravel() - flat) * 1e12
+    assert np.allclose(step, numeric, atol=2e-3)
+
+
+def test_lm_averages_meet_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(neural, "FAN", 3)
+    rng, rows, want = np.random.default_rng(4), [], {}
+    for part in range(20):
+        ids = np.unique(rng.integers(0, 9, 5))
+        weights, vectors = rng.integers(1, 5, len(ids)), rng.integers(-4, 5, (len(ids), 2)) / 4
+        rows.append(neural.partials(0, part, ids, weights, vectors))
+        for i, n, x in zip(ids, weights, vectors):
+            a, b = want.get(i, (0, 0))
+            want[i] = (a + n, b + n * x)
+    (row,) = neural.average(spark.createDataFrame(rows, neural.PARTIAL), 20, 2)
+    ids, weights, vectors = neural.opened(row, 2)
+    assert [*ids] == sorted(want)
+    assert all(n == want[i][0] and np.allclose(v, want[i][1] / n, atol=5e-3) for i, n, v in zip(ids, weights, vectors))
 
 
 def test_lm_beats_unigrams(spark):
