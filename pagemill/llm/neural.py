@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -132,9 +133,8 @@ class Model:
 
 
 def _add(to: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    n, dim = to.shape
-    spot = (rows[:, None] * dim + np.arange(dim)).ravel()
-    to += np.bincount(spot, values.ravel(), n * dim).reshape(n, dim).astype(np.float32)
+    for i in range(to.shape[1]):
+        to[:, i] += np.bincount(rows, values[:, i], len(to))
 
 
 class Vocabulary:
@@ -209,7 +209,7 @@ class Words:
         """One step up the noise-contrastive objective. The noise has the shares of the class, so they cancel out."""
         tried = np.concatenate([w[:, None], noise], 1)
         q, out = self.query(near, far), self.output[tried]
-        pull = -1 / (1 + np.exp(np.log(noise.shape[1]) - np.einsum("td,tjd->tj", q, out)))
+        pull = -1 / (1 + np.exp(math.log(noise.shape[1]) - np.einsum("td,tjd->tj", q, out)))
         pull[:, 0] += 1
         d_q = np.einsum("tj,tjd->td", pull, out)
         d_out = pull[:, :, None] * q[:, None, :]
