@@ -108,9 +108,10 @@ def group_variants(found: DataFrame, key: str = "group_key") -> DataFrame:
 def with_alternatives(found: DataFrame, key: str = "group_key") -> DataFrame:
     """Flat groups: every variant, with ``is_first`` on the one that stands for its group.
 
-    The heads are stored first: both sides of the join are then plain shuffles, of which Spark splits a
-    group that is far larger than others. ``key`` must not be null (see ``norm_key``).
+    Variants and heads are stored first: variants are found once, and both sides of the join are plain shuffles,
+    of which Spark splits a group that is far larger than others. ``key`` must not be null (see ``norm_key``).
     """
+    found = cut_lineage(found)
     heads = found.groupBy(key).agg(F.min("first_seen").alias("_head"), F.count("*").alias("n_alternatives"))
     heads = cut_lineage(heads)
     return found.join(heads, key).withColumn("is_first", F.col("first_seen") == F.col("_head")).drop("_head")
@@ -121,11 +122,13 @@ def merge_pages(results: DataFrame, session: list[str], page: str = "page") -> t
 
     Returns (variants that were read with ``first_page``, one row per search with ``last_page``,
     ``can_fetch_more`` and ``many_pages``). A page without a new variant is still read, and is the last
-    one. The limits are stored before they are joined, so Spark can split a search with very many rows.
+    one. Variants and limits are stored before they are joined: variants are found once, and Spark can split
+    a search with very many rows.
     """
     first = results.groupBy(*session, *VARIANT).agg(
         F.min(page).alias("first_page"), F.max(page).alias("_seen_page")
     )
+    first = cut_lineage(first)
     # Pages that bring something new, one row each; they run on from 1 as long as the nth is page n.
     pages = first.groupBy(*session, "first_page").agg(F.max("_seen_page").alias("_seen_page"))
     nth = F.row_number().over(Window.partitionBy(*session).orderBy("first_page"))
