@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import codecs
+import re
 import sys
 
 import pandas as pd
@@ -20,11 +22,48 @@ META_CHARSET = r"(?i)<meta[^>]+charset=[\"']?\s*([\w-]+)"
 DECLARED_CHARSET = r"(?i)encoding=[\"']([\w-]+)[\"']"
 HEADER_CHARSET = r"(?i)charset=([\w-]+)"
 GB_LABELS = ["gb2312", "gbk", "gb18030"]
-CHARSETS = [
-    "utf-8", "utf-16le", "utf-16be", "gb18030", "big5", "shift_jis", "euc-jp", "iso-2022-jp", "euc-kr",
-    "iso-8859-1", "iso-8859-2", "iso-8859-5", "iso-8859-15", "latin1", "ascii", "us-ascii", "koi8-r",
-    "windows-1250", "windows-1251", "windows-1252", "windows-1254",
-]
+# The labels that browsers know, by the codec that reads them.
+LABELS = {
+    "utf-8": r"utf-8|unicode-1-1-utf-8|unicode11utf8|unicode20utf8|x-unicode20utf8",
+    "utf-16le": r"utf-16(le)?|csunicode|iso-10646-ucs-2|ucs-2|unicode|unicodefeff",
+    "utf-16be": r"utf-16be|unicodefffe",
+    "gb18030": r"gb18030|gbk|x-gbk|chinese|csgb2312|csiso58gb231280|gb_?2312|gb_2312-80|iso-ir-58",
+    "big5hkscs": r"big5|big5-hkscs|cn-big5|csbig5|x-x-big5",
+    "cp932": r"shift[_-]jis|sjis|x-sjis|csshiftjis|ms932|ms_kanji|windows-31j",
+    "euc_jp": r"euc-jp|x-euc-jp|cseucpkdfmtjapanese",
+    "iso2022_jp": r"iso-2022-jp|csiso2022jp",
+    "cp949": r"euc-kr|cseuckr|csksc56011987|iso-ir-149|korean|ks_c_5601-198[79]|ksc_?5601|windows-949",
+    "cp866": r"866|cp866|(cs)?ibm866",
+    "koi8_r": r"koi|koi8|koi8[-_]r|cskoi8r",
+    "koi8_u": r"koi8-r?u",
+    "mac_roman": r"mac|(cs)?macintosh|x-mac-roman",
+    "mac_cyrillic": r"x-mac-(cyrillic|ukrainian)",
+    "cp874": r"windows-874|dos-874|tis-620|iso-?8859-?11",
+    "cp1250": r"(windows-|x-cp|cp)1250",
+    "cp1251": r"(windows-|x-cp|cp)1251",
+    "cp1252": r"(windows-|x-cp|cp)1252|ansi_x3\.4-1968|(us-)?ascii|(cp|ibm)819|csisolatin1|iso-ir-100|l1|latin1"
+    r"|iso[-_]8859-1|iso8859-?1|iso_8859-1:1987",
+    "cp1253": r"(windows-|x-cp|cp)1253",
+    "cp1254": r"(windows-|x-cp|cp)1254|csisolatin5|iso-ir-148|l5|latin5|iso[-_]8859-9|iso8859-?9|iso_8859-9:1989",
+    "cp1255": r"(windows-|x-cp|cp)1255",
+    "cp1256": r"(windows-|x-cp|cp)1256",
+    "cp1257": r"(windows-|x-cp|cp)1257",
+    "cp1258": r"(windows-|x-cp|cp)1258",
+    "iso8859_2": r"iso[-_]8859-2|iso8859-?2|iso_8859-2:1987|csisolatin2|iso-ir-101|l2|latin2",
+    "iso8859_3": r"iso[-_]8859-3|iso8859-?3|iso_8859-3:1988|csisolatin3|iso-ir-109|l3|latin3",
+    "iso8859_4": r"iso[-_]8859-4|iso8859-?4|iso_8859-4:1988|csisolatin4|iso-ir-110|l4|latin4",
+    "iso8859_5": r"iso[-_]8859-5|iso8859-?5|iso_8859-5:1988|csisolatincyrillic|cyrillic|iso-ir-144",
+    "iso8859_6": r"iso[-_]8859-6|iso8859-?6|iso-8859-6-[ei]|iso_8859-6:1987|csiso88596[ei]|csisolatinarabic|arabic"
+    r"|asmo-708|ecma-114|iso-ir-127",
+    "iso8859_7": r"iso[-_]8859-7|iso8859-?7|iso_8859-7:1987|csisolatingreek|ecma-118|elot_928|greek8?|iso-ir-126|sun_eu_greek",
+    "iso8859_8": r"iso[-_]8859-8|iso8859-?8|iso-8859-8-[ei]|iso_8859-8:1988|csiso88598[ei]|csisolatinhebrew|hebrew"
+    r"|iso-ir-138|visual|logical",
+    "iso8859_10": r"iso-8859-10|iso8859-?10|csisolatin6|iso-ir-157|l6|latin6",
+    "iso8859_13": r"iso-8859-13|iso8859-?13",
+    "iso8859_14": r"iso-8859-14|iso8859-?14",
+    "iso8859_15": r"iso[-_]8859-15|iso8859-?15|csisolatin9|l9",
+    "iso8859_16": r"iso-8859-16",
+}
 
 
 def read_texts(spark: SparkSession, path: str, glob: str = "*.txt") -> DataFrame:
@@ -59,6 +98,14 @@ def detect_encoding(content: Column, requested: str | None = None) -> Column:
     )
 
 
+def codec_of(label: str) -> str:
+    """The decoder of an encoding: Python's own name where it knows one, else by the labels of browsers."""
+    try:
+        return codecs.lookup(label).name
+    except LookupError:
+        return next((codec for codec, known in LABELS.items() if re.fullmatch(known, label)), label)
+
+
 def _decode_other(content: Column, encoding: Column) -> Column:
     """Strict decoding in Arrow batches; NULL for malformed bytes (a native decode would fail the job)."""
 
@@ -68,7 +115,7 @@ def _decode_other(content: Column, encoding: Column) -> Column:
                 return None
             mark = {"utf-16le": b"\xff\xfe", "utf-16be": b"\xfe\xff"}.get(e, b"")
             try:
-                return bytes(b).removeprefix(mark).decode(e)
+                return bytes(b).removeprefix(mark).decode(codec_of(e))
             except (UnicodeDecodeError, LookupError):
                 return None
 
@@ -107,9 +154,10 @@ def sanity_reason(text: Column) -> Column:
 
 
 def normalize_charset(label: Column) -> Column:
-    """Known label in its usual form, NULL for an unknown one."""
+    """A label that browsers know, in lower case and with usual names for GB18030 and UTF-8; NULL for any other."""
     name = F.regexp_replace(F.lower(js_trim(label)), "['\"]", "")
-    return F.when(name.isin(GB_LABELS), "gb18030").when(name == "utf8", "utf-8").when(name.isin(CHARSETS), name)
+    known = name.rlike(rf"\A({'|'.join(LABELS.values())})\z")
+    return F.when(name.isin(GB_LABELS), "gb18030").when(name == "utf8", "utf-8").when(known, name)
 
 
 def sniff_charset(content_type: Column, content: Column) -> Column:

@@ -1,5 +1,8 @@
 """Small literal cases with known answers."""
 
+import codecs
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,3 +495,33 @@ def test_page_arithmetic():
     assert {e: page_value(e, 3) for e in cases} == cases
     for bad in ("page**2", "page//2", "page-", "pagepage", "page(1)", "page.a", "", "page page", "page--1+a"):
         assert page_value(bad, 3) is None
+
+
+def test_charset_labels(spark):
+    """Labels keep their own name, whatever family they belong to; labels of decoders that do not exist are unknown."""
+    kept = [
+        "utf-16", "windows-1253", "x-cp1251", "iso-8859-7", "iso_8859-2:1987", "iso88595", "latin1", "us-ascii", "koi8-u",
+        "koi8-ru", "x-sjis", "windows-31j", "ks_c_5601-1987", "tis-620", "x-gbk", "x-mac-cyrillic", "ibm866", "big5-hkscs",
+        "iso-8859-8-i", "l9", "iso-8859-16", "windows-874",
+    ]
+    changed = {"GB2312": "gb18030", " 'GBK' ": "gb18030", "UTF8": "utf-8", '"Shift_JIS"': "shift_jis"}
+    unknown = ["", "nonsense", "iso-8859-12", "hz-gb-2312", "iso-2022-kr", "windows-1259", "xutf-8", "utf-8x", "iso_8859-16", None]
+    want = {k: k for k in kept} | changed | dict.fromkeys(unknown)
+    df = spark.createDataFrame([(k,) for k in want], "label string")
+    assert {r.label: r.name for r in df.select("label", by.normalize_charset(F.col("label")).alias("name")).collect()} == want
+    assert all(re.fullmatch(known, label) for label, known in (("koi8-u", by.LABELS["koi8_u"]), ("cyrillic", by.LABELS["iso8859_5"])))
+
+
+def test_texts_in_labelled_charsets(spark):
+    """Every family decodes what its codec wrote, under labels that Python has no name for as well."""
+    cases = [
+        ("x-cp1251", "Глава", "cp1251"), ("windows-874", "บทที่", "cp874"), ("x-sjis", "第一章", "cp932"),
+        ("x-mac-cyrillic", "Глава", "mac_cyrillic"), ("koi8-ru", "Глава", "koi8_u"), ("x-gbk", "第一章", "gbk"),
+        ("x-x-big5", "第一章", "big5"), ("csiso88596i", "فصل", "iso8859_6"), ("iso-8859-8-i", "פרק", "iso8859_8"),
+    ]
+    for label, text, codec in cases:
+        files = spark.createDataFrame([(text.encode(codec),)], "content binary")
+        (row,) = by.decode_texts(files, requested=label).collect()
+        assert (row.text, row.reason) == (text, None), label
+    for codec in by.LABELS:
+        assert codecs.lookup(codec)
