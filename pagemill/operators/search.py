@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions.text import js_trim, strip_ws
 from ..functions.urls import resolve_url
-from ..session import cut_lineage
+from ..session import cut_lineage, stored_table
 
 # Where JSON results usually keep their address, in order of trust.
 URL_FIELDS = [
@@ -108,12 +108,12 @@ def group_variants(found: DataFrame, key: str = "group_key") -> DataFrame:
 def with_alternatives(found: DataFrame, key: str = "group_key") -> DataFrame:
     """Flat groups: every variant, with ``is_first`` on the one that stands for its group.
 
-    Variants and heads are stored first: variants are found once, and both sides of the join are plain shuffles,
-    of which Spark splits a group that is far larger than others. ``key`` must not be null (see ``norm_key``).
+    Variants and heads are stored first: variants are found once, and both sides of the join are plain shuffles (heads
+    read from a table carry no partitioning that would be kept), of which Spark splits a group that is far larger than others. ``key`` must not be null (see ``norm_key``).
     """
     found = cut_lineage(found)
     heads = found.groupBy(key).agg(F.min("first_seen").alias("_head"), F.count("*").alias("n_alternatives"))
-    heads = cut_lineage(heads)
+    heads = stored_table(heads, "heads")
     return found.join(heads, key).withColumn("is_first", F.col("first_seen") == F.col("_head")).drop("_head")
 
 
@@ -143,7 +143,7 @@ def merge_pages(results: DataFrame, session: list[str], page: str = "page") -> t
             (F.least("_stale", "_landed") > MANY_PAGES).alias("many_pages"),
         )
     )
-    limits = cut_lineage(limits)
+    limits = stored_table(limits, "limits")
     read = first.drop("_seen_page").join(limits.select(*session, "last_page"), session)
     return read.where(F.col("first_page") <= F.col("last_page")).drop("last_page"), limits
 
@@ -170,7 +170,7 @@ def top_groups(groups: DataFrame, screens: int = 1) -> DataFrame:
 
 
 def mark_in_shelf(results: DataFrame, shelf: DataFrame) -> DataFrame:
-    own = cut_lineage(shelf.select(*VARIANT).distinct().withColumn("_own", F.lit(True)))
+    own = stored_table(shelf.select(*VARIANT).distinct().withColumn("_own", F.lit(True)), "own")
     return results.join(own, VARIANT, "left").withColumn("in_shelf", F.col("_own").isNotNull()).drop("_own")
 
 

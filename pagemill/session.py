@@ -61,6 +61,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh table in the shared folder and read it back.
+
+    Unlike a checkpoint, the table forgets how its rows were dealt out and tells its size: a join shuffles it, so that
+    Spark can split a hot key of the other side, or broadcasts it where it is small.
+    """
+    path = new_table_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for heavy work on a table that was read in fewer partitions than there are cores.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.text import js_trim, let
+from ..session import stored_table
 
 # Fixed value: mark on the name of a source whose type cannot be read.
 UNSUPPORTED_SUFFIX = "（暂不支持）"
@@ -112,6 +113,11 @@ def enabled_sources(sources: DataFrame, for_search: bool = False, only: str | No
 
 
 def lookup_source(shelf: DataFrame, sources: DataFrame) -> DataFrame:
-    """Each book with its source; ``source_missing`` marks books whose source is gone."""
+    """Each book with its source; ``source_missing`` marks books whose source is gone.
+
+    The names are stored first: should they be too many to broadcast, both sides of the join are plain shuffles, of
+    which Spark splits a source with very many books.
+    """
     known = sources.groupBy("source_url").agg(F.min_by("source_name", "ord").alias("found_name"))
+    known = stored_table(known, "source-names")
     return shelf.join(known, "source_url", "left").withColumn("source_missing", F.col("found_name").isNull())

@@ -8,8 +8,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.operators import chains, ordered, segment, store
+from pagemill.operators import chains, ordered, search, segment, store
 from pagemill.session import cut_lineage
+from pagemill.sources.catalog import lookup_source
 from pagemill.sources.sinks import read_sections, write_sections
 from pagemill.streaming import jobs
 from pagemill.streaming import processors
@@ -257,6 +258,70 @@ def test_stale_responses_over_batches(spark, tmp_path):
     assert kept == [0, 2, 4, 5, 7]
 
 
+@pytest.fixture
+def small_partitions(spark):
+    """Sizes at which a few thousand rows are a skewed partition, and no side is broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def split_joins(df):
+    """The rows, and whether Spark split a partition of a join while it made them."""
+    rows = df.collect()
+    return rows, "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def hot_rows(spark, n=20_000):
+    """Rows (key, source, address, page) of which 60 % have one key."""
+    key = F.when(F.col("id") % 5 < 3, F.lit("hot")).otherwise(F.concat(F.lit("k"), (F.col("id") % 997).cast("string")))
+    return spark.range(n, numPartitions=6).select(
+        key.alias("group_key"),
+        key.alias("search"),
+        F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source_url"),
+        F.concat(F.lit("/b/"), F.sha2(F.col("id").cast("string"), 256)).alias("book_url"),
+        (F.col("id") % 4 + 1).cast("int").alias("page"),
+        "id",
+    )
+
+
+def test_a_hot_title_is_split(spark, small_partitions):
+    rows, split = split_joins(search.with_alternatives(search.variants(hot_rows(spark), ["page", "id"])))
+    assert split and len(rows) == 20_000
+    hot = [r for r in rows if r.group_key == "hot"]
+    assert {r.n_alternatives for r in hot} == {12_000} and [r.id for r in hot if r.is_first] == [0]
+
+
+def test_a_hot_search_is_split(spark, small_partitions):
+    read, limits = search.merge_pages(hot_rows(spark), ["search"])
+    rows, split = split_joins(read)
+    assert split and sum(r.search == "hot" for r in rows) == 12_000
+    assert [r.last_page for r in limits.collect() if r.search == "hot"] == [4]
+
+
+def test_a_hot_source_is_split(spark, small_partitions):
+    books = hot_rows(spark).withColumn("source_url", F.col("group_key")).select("source_url", "book_url", "id")
+    sources = spark.range(900).select(
+        F.concat(F.lit("k"), F.col("id").cast("string")).alias("source_url"), F.lit("n").alias("source_name"), F.col("id").alias("ord")
+    )
+    sources = sources.union(spark.createDataFrame([("hot", "busy", 2), ("hot", "busier", 1)], sources.schema))
+    rows, split = split_joins(lookup_source(books, sources))
+    assert split and len(rows) == 20_000
+    assert {r.found_name for r in rows if r.source_url == "hot"} == {"busier"}
+    assert all(r.source_missing == (r.source_url != "hot" and int(r.source_url[1:]) >= 900) for r in rows)
+
+
 def test_checkpoint_folder_is_respected(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5
