@@ -51,16 +51,23 @@ class NewestRequest(StatefulProcessor):
 BURST = "name long, first timestamp, last timestamp, seq long, n_writes long"
 
 
-def merge_bursts(df: pd.DataFrame, quiet: pd.Timedelta) -> pd.DataFrame:
-    """Bursts (first, last, seq, n_writes) of one name, joined where the next begins within ``quiet`` of the last write."""
-    df = df.sort_values(["first", "last"], kind="stable", ignore_index=True)
-    reach = df["last"].cummax().shift()
-    number = (df["first"] - reach > quiet).cumsum()
-    newest = df.sort_values(["last", "seq"], kind="stable").groupby(number)["seq"].last()  # of the last write
-    grouped = df.groupby(number)
-    return pd.DataFrame(
-        {"first": grouped["first"].min(), "last": grouped["last"].max(), "seq": newest, "n_writes": grouped["n_writes"].sum()}
-    ).reset_index(drop=True)
+NONE = np.iinfo(np.int64).min  # stands for a null, as in numpy's times
+CHUNK = 4096  # bursts that share one entry of the state
+
+
+def merge_bursts(rows: np.ndarray, quiet: int) -> np.ndarray:
+    """Bursts (first, last, seq, n_writes in columns, times in microseconds) of one name, joined where the next begins
+    within ``quiet`` of the last write. Rows without a time join the last burst."""
+    first, last = rows[:, 0], rows[:, 1]
+    rows = rows[np.lexsort([last, first, first == NONE])]
+    first, last, seq = rows[:, 0], rows[:, 1], rows[:, 2]
+    new = np.ones(len(rows), bool)
+    new[1:] = (first[1:] != NONE) & (first[1:] - np.maximum.accumulate(last)[:-1] > quiet)
+    at, number = np.flatnonzero(new), np.cumsum(new)
+    # Of the last write that has a number; rows without a time come last.
+    order = np.lexsort([seq, last, last == NONE, seq != NONE, number])
+    newest = seq[order[np.append(at[1:], len(rows)) - 1]]
+    return np.stack([first[at], np.maximum.reduceat(last, at), newest, np.add.reduceat(rows[:, 3], at)], 1)
 
 
 def partial_bursts(events: DataFrame, quiet: str) -> DataFrame:
@@ -83,45 +90,65 @@ def partial_bursts(events: DataFrame, quiet: str) -> DataFrame:
 
 class Bursts(StatefulProcessor):
     """Open bursts per name. Each change is passed on as the burst's new form; one that another has swallowed comes
-    with no writes. An event-time timer forgets a burst when no write can join it any more."""
+    with no writes. Bursts are kept as chunks of numbers, and one event-time timer per name, at the end of its earliest
+    burst, forgets all bursts that no write can join any more."""
 
     def __init__(self, quiet: str) -> None:
-        self.quiet = pd.Timedelta(quiet)
+        self.quiet = pd.Timedelta(quiet).value // 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, seq long, n_writes long")
+        self.open = handle.getListState("open", "bursts binary")
 
-    def _held(self) -> pd.DataFrame:
-        rows = [tuple(r) for r in self.open.get()]
-        df = pd.DataFrame(rows, columns=["first", "last", "seq", "n_writes"], dtype="int64")
-        return df.assign(first=pd.to_datetime(df["first"], unit="us"), last=pd.to_datetime(df["last"], unit="us"))
+    def _held(self) -> np.ndarray:
+        return np.frombuffer(b"".join(bytes(r[0]) for r in self.open.get()), np.int64).reshape(-1, 4)
 
-    def _hold(self, df: pd.DataFrame) -> None:
-        if not len(df):
+    def _hold(self, rows: np.ndarray) -> None:
+        if len(rows):
+            self.open.put([(rows[i : i + CHUNK].tobytes(),) for i in range(0, len(rows), CHUNK)])
+        else:
             self.open.clear()
-            return
-        us = [df[c].astype("datetime64[us]").astype("int64") for c in ("first", "last")]
-        self.open.put([tuple(map(int, r)) for r in zip(*us, df["seq"], df["n_writes"])])
+
+    def _wake(self, rows: np.ndarray) -> None:
+        self.handle.registerTimer((int(rows[:, 1].min()) + self.quiet) // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._held()
-        new = pd.concat(list(rows), ignore_index=True)[["first", "last", "seq", "n_writes"]]
-        new = new.assign(**{c: pd.to_datetime(new[c], utc=True).dt.tz_localize(None) for c in ("first", "last")})
-        merged = merge_bursts(pd.concat([held, new], ignore_index=True) if len(held) else new, self.quiet)
-        self._hold(merged)
-        for last in merged["last"]:
-            self.handle.registerTimer((last + self.quiet).value // 1_000_000 + 1)
-        before = {tuple(r) for r in held.itertuples(index=False)}
-        changed = merged[[tuple(r) not in before for r in merged.itertuples(index=False)]]
-        gone = held[~held["first"].isin(merged["first"])].assign(n_writes=0)
-        yield pd.concat([changed, gone], ignore_index=True).assign(name=key[0])[["name", "first", "last", "seq", "n_writes"]]
+        held, new = self._held(), [_numbers(df) for df in rows]
+        merged = merge_bursts(np.concatenate([held, *new]), self.quiet)
+        timed = merged[merged[:, 1] != NONE]
+        self._hold(timed)
+        if len(timed) and not (len(held) and held[:, 1].min() <= timed[:, 1].min()):
+            self._wake(timed)
+        changed = merged
+        if len(held):
+            # Bursts do not overlap, so the first write names a burst.
+            at = np.searchsorted(held[:, 0], merged[:, 0]).clip(max=len(held) - 1)
+            gone = held[~np.isin(held[:, 0], merged[:, 0])]
+            changed = np.concatenate([merged[(held[at] != merged).any(1)], gone * [1, 1, 1, 0]])
+        yield _frame(key[0], changed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = self._held()
-        mark = pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms")
-        self._hold(held[held["last"] + self.quiet >= mark])
-        yield pd.DataFrame(columns=["name", "first", "last", "seq", "n_writes"])
+        kept = held[held[:, 1] + self.quiet >= timerValues.getCurrentWatermarkInMs() * 1000]
+        if len(kept) < len(held):
+            self._hold(kept)
+        if len(kept):
+            self._wake(kept)
+        yield from ()
 
     def close(self) -> None:
         pass
+
+
+def _numbers(df: pd.DataFrame) -> np.ndarray:
+    """Bursts as rows of four integers; times in microseconds."""
+    times = [pd.to_datetime(df[c], utc=True).astype("datetime64[us, UTC]").astype("int64") for c in ("first", "last")]
+    seq = df["seq"].to_numpy() if df["seq"].dtype == np.int64 else df["seq"].astype("Int64").to_numpy(np.int64, na_value=NONE)
+    return np.stack([*(t.to_numpy() for t in times), seq, df["n_writes"].to_numpy()], 1)
+
+
+def _frame(name, rows: np.ndarray) -> pd.DataFrame:
+    seq = rows[:, 2]
+    known = pd.Series(seq) if (seq != NONE).all() else pd.Series(seq).astype("Int64").mask(seq == NONE)
+    times = {c: rows[:, i].astype("datetime64[us]") for i, c in enumerate(("first", "last"))}
+    return pd.DataFrame({"name": name, **times, "seq": known, "n_writes": rows[:, 3]})
