@@ -8,7 +8,6 @@ from __future__ import annotations
 import itertools
 import json
 import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -38,7 +37,7 @@ class Each:
 
 @dataclass(frozen=True)
 class Deep:
-    """Values under this name at any depth, in document order; a hit is searched too. For :func:`find` only."""
+    """Values under this name at any depth, in document order; a hit is searched too. For :func:`find` and :func:`find_each` only."""
 
     name: str
 
@@ -155,21 +154,31 @@ def value(v: Column, *steps) -> Column:
     return let(walk(v, *steps), pick)
 
 
-def _deep(node, key: str) -> Iterator:
+def _deep(node, key: str) -> list:
     """Values under ``key`` in ``node``, in document order, without recursion."""
-    todo = [iter([node])]
+    found, todo = [], [node]
     while todo:
-        nxt = next(todo[-1], todo)
-        if nxt is todo:
-            todo.pop()
-        elif isinstance(nxt, tuple):
-            if nxt[0] == key:
-                yield nxt[1]
-            todo.append(iter([nxt[1]]))
-        elif isinstance(nxt, list):
-            todo.append(iter(nxt))
-        elif isinstance(nxt, dict):
-            todo.append(iter(nxt.items()))
+        v = todo.pop()
+        if type(v) is tuple:  # a hit, which is searched too
+            v = v[0]
+            found.append(v)
+        if type(v) is dict:
+            for name in reversed(v):
+                own = v[name]
+                if name == key:
+                    todo.append((own,))
+                elif type(own) is dict or type(own) is list:
+                    todo.append(own)
+        elif type(v) is list:
+            todo += [own for own in reversed(v) if type(own) is dict or type(own) is list]
+    return found
+
+
+_ENCODER = json.JSONEncoder(ensure_ascii=False, separators=(",", ":"))
+
+
+def _dump(v) -> str:
+    return str(v) if type(v) is int else "null" if v is None else _ENCODER.encode(v)
 
 
 def _hits(node, steps) -> list:
@@ -190,24 +199,39 @@ def _hits(node, steps) -> list:
     return found
 
 
-def find(text: Column, *steps) -> Column:
-    """JSON texts of all hits of a path that may go to any depth, as an array in document order.
+def find_each(text: Column, paths: dict[str, tuple]) -> Column:
+    """A struct with one field per path: JSON texts of all its hits, as an array in document order.
 
-    VARIANT keeps the members of an object in key order, and a depth that is not known when the plan is made cannot be
-    unfolded there, so these paths run over the text, in Arrow batches. A text that is no JSON has no hits.
+    The paths may go to any depth. VARIANT keeps the members of an object in key order, and a depth that is not known
+    when the plan is made cannot be unfolded there, so these paths run over the text, in Arrow batches. A text is parsed
+    once for all paths; one that is no JSON has no hits.
     """
+    names, steps = [f"p{i}" for i in range(len(paths))], list(paths.values())
 
-    def run(col: pd.Series) -> pd.Series:
-        def one(doc):
+    def run(col: pd.Series) -> pd.DataFrame:
+        def one(doc) -> list[list[str]]:
             try:
-                found = _hits(json.loads(doc), steps)
+                node = json.loads(doc)
+            except (TypeError, ValueError, RecursionError):
+                return [[] for _ in steps]
+            return [texts(node, path) for path in steps]
+
+        def texts(node, path) -> list[str]:
+            try:
+                found = _hits(node, path)
             except (TypeError, ValueError, RecursionError):
                 return []
-            return [json.dumps(v, ensure_ascii=False, separators=(",", ":")) for v in found]
+            return [_dump(v) for v in found]
 
-        return col.map(one)
+        return pd.DataFrame([one(doc) for doc in col], columns=names)
 
-    return F.pandas_udf(run, "array<string>")(text)
+    found = F.pandas_udf(run, ", ".join(f"{n} array<string>" for n in names))(text)
+    return found.cast("struct<" + ", ".join(f"`{n.replace('`', '``')}`: array<string>" for n in paths) + ">")
+
+
+def find(text: Column, *steps) -> Column:
+    """JSON texts of all hits of one path of :func:`find_each`, as an array in document order."""
+    return find_each(text, {"hits": steps})["hits"]
 
 
 def find_items(hits: Column) -> Column:

@@ -13,7 +13,7 @@ from ..functions.text import js_trim
 from ..functions.urls import resolve_url
 from ..operators import extract as ex
 from ..operators import structural
-from ..session import new_table_path
+from ..session import new_table_path, spread_rows
 from ..sources.shred import shred_pages
 from . import sqltext as q
 from .views import tables
@@ -174,7 +174,7 @@ EVENT_JSON = """concat('{{"data":{{"list":[{{"id":', event_id, ',"name":"', even
 
 def event_docs(spark, sf) -> DataFrame:
     sql = "select event_id, " + EVENT_JSON + " as doc from {events}"
-    return spark.sql(sql, **tables(spark, sf, "events"))
+    return spark.sql(sql, events=spread_rows(tables(spark, sf, "events")["events"]))
 
 
 def json_items(spark, sf):
@@ -228,7 +228,8 @@ def json_paths(spark, sf):
         "nothing": (D("nope"), K("id")),
     }
     df = event_docs(spark, sf)
-    df = df.select("event_id", jsonx.find("doc", D("list")).alias("list"), *(jsonx.find("doc", *s).alias(n) for n, s in paths.items()))
+    # Each text is parsed once for all paths.
+    df = df.select("event_id", jsonx.find_each(F.col("doc"), {"list": (D("list"),), **paths}).alias("found")).select("event_id", "found.*")
     values = {n: jsonx.find_value(F.col(n)) for n in paths}
     return df.select("event_id", *(v.alias(n) for n, v in values.items()), F.size(jsonx.find_items(F.col("list"))).cast("bigint").alias("n_items"))
 

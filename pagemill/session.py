@@ -79,3 +79,9 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_rows(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Use a task per so many rows for heavy work on small rows, of which one part of a file can hold very many."""
+    wanted = -(-df.count() // rows)
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

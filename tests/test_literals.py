@@ -525,3 +525,21 @@ def test_texts_in_labelled_charsets(spark):
         assert (row.text, row.reason) == (text, None), label
     for codec in by.LABELS:
         assert codecs.lookup(codec)
+
+
+def test_json_text_is_parsed_once_for_all_paths(spark):
+    from pagemill.functions.jsonx import Deep, Each, Key, find, find_each
+    from pagemill.session import spread_rows
+
+    docs = ['{"b":[{"b":null},{"c":"ü"},1.5,true],"c":{"b":12}}', "{no json", None, "[[1],{}]"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, doc string")
+    paths = {"deep": (Deep("b"),), "a.`b": (Key("b"), Each()), "none": (Deep("x"), Key("y"))}
+    once = df.select("id", find_each(F.col("doc"), paths).alias("found")).select("id", "found.*")
+    apart = df.select("id", *(find("doc", *p).alias(n) for n, p in paths.items()))
+    assert once.columns == ["id", *paths] and sorted(once.collect()) == sorted(apart.collect())
+    assert once.where("id = 0").first()[1] == ['[{"b":null},{"c":"ü"},1.5,true]', "null", "12"]
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("pythonUDF0") and "pythonUDF1" not in plan
+    # A task gets no more than so many rows, however few parts a file has.
+    assert spread_rows(spark.range(1000).coalesce(1), 100).rdd.getNumPartitions() == 10
+    assert spread_rows(spark.range(1000).coalesce(1), 1000).rdd.getNumPartitions() == 1
