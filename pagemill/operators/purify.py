@@ -114,18 +114,11 @@ def collect_rules(rules: DataFrame) -> list[Rule]:
     return [Rule(**{f: row[f] for f in fields}) for row in load_rules(rules).collect()]
 
 
-def hits(text: Column, rule: Rule) -> Column:
-    if rule.plain:
-        gone = F.length(F.replace(text, F.lit(rule.find), F.lit("")))
-        return ((F.length(text) - gone) / F.lit(len(rule.find))).cast("int")
-    return F.regexp_count(text, F.lit(rule.pattern))
-
-
-def replaced(text: Column, rule: Rule) -> Column:
-    """The replacement is inserted as it is, ``$1`` included."""
-    if rule.plain:
-        return F.replace(text, F.lit(rule.find), F.lit(rule.replacement))
-    return F.regexp_replace(text, rule.pattern, quote_replacement(rule.replacement))
+def pieces(text: Column, rule: Rule) -> Column:
+    """What stands between the hits of a plain rule."""
+    if not rule.find:
+        raise ValueError(f"rule {rule.id} has nothing to find")
+    return F.split(text, rule.find if re.fullmatch("[A-Za-z0-9]", rule.find) else quote_regex(rule.find), -1)
 
 
 def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text", out: str = "clean") -> DataFrame:
@@ -138,16 +131,27 @@ def apply_rules(df: DataFrame, rules: list[Rule], text: str = "text", out: str =
     """
     limit = F.greatest(F.lit(OUTPUT_FLOOR), F.length(text) * OUTPUT_FACTOR)
     df = df.withColumns({out: F.regexp_replace(F.col(text), "\r\n?", "\n"), "_big": F.lit(False)})
+    df = df.withColumn("_n", F.length(out))
     for rule in (r for r in rules if r.enabled):
         now = F.col(out)
         if rule.mode == "regex" and not compiles(df.sparkSession, rule.pattern):
             df = df.withColumn(rule.hits, F.lit(0))
             continue
-        df = df.withColumn(rule.hits, hits(now, rule))
-        df = df.withColumn(out, F.when(column(rule.hits) > 0, replaced(now, rule)).otherwise(now))
+        if rule.plain:
+            # Cut once: the pieces tell the hits and the new length, and are joined by the replacement as it is.
+            df = df.withColumn("_pieces", pieces(now, rule))
+            df = df.withColumn(rule.hits, F.array_size("_pieces") - 1)
+            new = F.array_join("_pieces", rule.replacement)
+            length = F.col("_n") + column(rule.hits).cast("bigint") * (len(rule.replacement) - len(rule.find))
+        else:
+            df = df.withColumn(rule.hits, F.regexp_count(now, F.lit(rule.pattern)))
+            new = F.regexp_replace(now, rule.pattern, quote_replacement(rule.replacement))
+            length = F.length(out).cast("bigint")
+        df = df.withColumn(out, F.when(column(rule.hits) > 0, new).otherwise(now)).drop("_pieces")
+        df = df.withColumn("_n", length)
         if rule.can_grow:
-            df = df.withColumn("_big", F.col("_big") | F.coalesce(F.length(out) > limit, F.lit(False)))
-    return df.withColumn("status", F.when(F.col("_big"), "too_large").otherwise("ok")).drop("_big")
+            df = df.withColumn("_big", F.col("_big") | F.coalesce(F.col("_n") > limit, F.lit(False)))
+    return df.withColumn("status", F.when(F.col("_big"), "too_large").otherwise("ok")).drop("_big", "_n")
 
 
 def apply_literals(df: DataFrame, rules: list[Rule], text: str = "text", out: str = "clean") -> DataFrame:

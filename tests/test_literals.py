@@ -543,3 +543,25 @@ def test_json_text_is_parsed_once_for_all_paths(spark):
     # A task gets no more than so many rows, however few parts a file has.
     assert spread_rows(spark.range(1000).coalesce(1), 100).rdd.getNumPartitions() == 10
     assert spread_rows(spark.range(1000).coalesce(1), 1000).rdd.getNumPartitions() == 1
+
+
+def test_plain_rules_cut_a_text_once(spark):
+    rules = [
+        Rule("a", "e", "-" * 7), Rule("b", "a.", "$1\\"), Rule("c", "\\E", ""), Rule("d", "😀", "xy"), Rule("e", "-x", "-x"),
+    ]
+    docs = ["eaea.a.e", "a\\Eb\\E", "😀e😀", "", None, "none", "e" * 200_000, ".", "aXa.-x\r\n-x"]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id int, text string")
+    out = purify.apply_rules(df, rules)
+    for row in out.collect():
+        x, counts, big = row["text"], [], False
+        limit = max(1_000_000, 4 * len(x or ""))
+        x = x and x.replace("\r\n", "\n")
+        for r in rules:
+            counts.append(None if x is None else x.count(r.find))
+            x = x and x.replace(r.find, r.replacement)
+            big = big or (r.can_grow and len(x or "") > limit)
+        assert row["clean"] == x and [row[r.hits] for r in rules] == counts
+        assert row["status"] == ("too_large" if big else "ok")
+    assert out.where("status = 'too_large'").count() == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "replace(clean" not in plan and plan.count("split(") == len(rules)
