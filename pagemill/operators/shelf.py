@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,13 +80,18 @@ def resume(progress: DataFrame, toc: DataFrame) -> DataFrame:
     )
 
 
-def _nfkc(title: Column) -> Column:
-    """Compatibility form of the title; Spark has no function for it, so this runs in Arrow batches."""
+def normalized(titles: pa.Array, rows: int = 128) -> pa.Array:
+    """NFKC forms. Only so many titles at a time become Python objects, so memory is that of the Arrow batch."""
+
+    def some(part: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in part.to_pylist()], pa.string())
 
-    def run(col: pd.Series) -> pd.Series:
-        return col.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return pa.concat_arrays([some(titles.slice(i, rows)) for i in range(0, max(1, len(titles)), rows)])
 
-    return F.pandas_udf(run, "string")(title)
+
+def _nfkc(title: Column) -> Column:
+    """Compatibility form of the title; Spark has no function for it, so this runs in Arrow batches."""
+    return F.arrow_udf(lambda col: normalized(col), "string")(title)
 
 
 def title_key(title: Column) -> Column:

@@ -565,3 +565,20 @@ def test_plain_rules_cut_a_text_once(spark):
     assert out.where("status = 'too_large'").count() == 1
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "replace(clean" not in plan and plan.count("split(") == len(rules)
+
+
+def test_titles_are_normalised_a_few_at_a_time():
+    import tracemalloc
+    import unicodedata
+
+    import pyarrow as pa
+
+    titles = ["ｆｕｌｌ　ｗｉｄｔｈ", None, "", "plain", "ﬁ①" + "章" * 1000] * 2000
+    column = pa.array(titles, pa.string())
+    tracemalloc.start()
+    found = shelf.normalized(column)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1_000_000  # all titles at once take over 8 MB
+    assert found.to_pylist() == [t and unicodedata.normalize("NFKC", t) for t in titles]
+    assert shelf.normalized(column.slice(0, 0)).to_pylist() == []
