@@ -21,6 +21,7 @@ MANY_PAGES = 20
 # Fixed value: remarks in brackets, which do not make another book.
 REMARK = r"[（(][^)）]*[)）]"
 PAGE_SIZE = 20
+TASK_ROWS = 500_000
 VARIANT = ["source_url", "book_url"]
 
 
@@ -174,13 +175,23 @@ def mark_in_shelf(results: DataFrame, shelf: DataFrame) -> DataFrame:
     return results.join(own, VARIANT, "left").withColumn("in_shelf", F.col("_own").isNotNull()).drop("_own")
 
 
-def add_to_shelf(shelf: DataFrame, results: DataFrame, order: list[str], book_id: Column | None = None) -> DataFrame:
+def add_to_shelf(
+    shelf: DataFrame, results: DataFrame, order: list[str], book_id: Column | None = None, n_results: int | None = None
+) -> DataFrame:
     """New shelf rows for results that are not on it yet, everything else at its starting value.
 
-    The id is made from source and address, so a task that runs again gives the same one.
+    The id is made from source and address, so a task that runs again gives the same one. A task sorts about TASK_ROWS
+    results at most, however many there are; ``n_results`` saves counting them. Results of one address are first
+    combined in up to 16 places.
     """
     fields = [c for c in ("name", "author", "cover_url", "intro", "kind", "source_name") if c in results.columns]
-    firsts = results.groupBy(*VARIANT).agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("r"))
+    tasks = max(1, -(-(results.count() if n_results is None else n_results) // TASK_ROWS))
+    ranked = results.select(*VARIANT, F.struct(*fields).alias("r"), F.struct(*order).alias("at"))
+    if tasks > 1:
+        place = F.pmod(F.xxhash64("at"), F.lit(16))
+        ranked = ranked.withColumn("_place", place).repartition(tasks, *VARIANT, "_place").groupBy(*VARIANT, "_place")
+        ranked = ranked.agg(F.min_by("r", "at").alias("r"), F.min("at").alias("at")).repartition(tasks, *VARIANT)
+    firsts = ranked.groupBy(*VARIANT).agg(F.min_by("r", "at").alias("r"))
     fresh = firsts.join(shelf.select(*VARIANT), VARIANT, "left_anti")
     return fresh.select(
         (F.sha2(F.to_json(F.array(*VARIANT)), 256) if book_id is None else book_id).alias("id"),

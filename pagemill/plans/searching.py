@@ -128,7 +128,9 @@ def search_in_shelf(spark, sf):
 
 
 def search_add_to_shelf(spark, sf):
-    fresh = se.add_to_shelf(view(spark, sf, "shelf"), results(spark, sf), ORDER)
+    # Only the number of tasks follows from it, so that line items stand for their results.
+    n = tables(spark, sf, "lineitem")["lineitem"].count()
+    fresh = se.add_to_shelf(view(spark, sf, "shelf"), results(spark, sf), ORDER, n_results=n)
     return fresh.select("id", "name", "author", "kind", "source_url", "book_url", "unread_count", "chapter_index", "toc_url")
 
 

@@ -326,3 +326,19 @@ def test_checkpoint_folder_is_respected(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_new_shelf_rows_are_found_by_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(search, "TASK_ROWS", 50)
+    rows = [(f"s{i % 7}", f"/b{0 if i % 2 else i % 40}", f"n{i}", None if i % 5 == 0 else i % 90, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "source_url string, book_url string, name string, page int, ord int")
+    own = spark.createDataFrame([("s1", "/b0"), ("s2", "/b2")], "source_url string, book_url string")
+    out = search.add_to_shelf(own, df, ["page", "ord"])
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[4])):
+        want.setdefault(r[:2], r[2])
+    want = {k: v for k, v in want.items() if k not in {("s1", "/b0"), ("s2", "/b2")}}
+    assert {(r["source_url"], r["book_url"]): r["name"] for r in out.collect()} == want
+    assert out.count() == len(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 20\n") == 2 and "_place" in plan  # 20 tasks of 50 rows; as many as the session says before
