@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.session import cut_lineage
+from pagemill.session import cut_lineage, in_few_tasks
 
 
-def _stars(edges: DataFrame) -> bool:
+def _stars(edges: DataFrame, n: int) -> bool:
     """Whether every node is tied to one smaller node, which itself is tied to none."""
     smaller = edges.select(F.col("v").alias("u")).distinct()
-    return edges.groupBy("u").count().where("count > 1").isEmpty() and edges.join(smaller, "u", "left_semi").isEmpty()
+    twice, between = edges.groupBy("u").count().where("count > 1"), edges.join(smaller, "u", "left_semi")
+    return in_few_tasks(twice, n).isEmpty() and in_few_tasks(between, n).isEmpty()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,20 +21,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: first every larger neighbour, then every smaller one, is tied to the
     smallest neighbour, until only stars are left. The number of rounds grows with the logarithm of the longest path,
-    and links never become more. Smallest neighbours are stored before they are joined, so Spark can split the links of
-    a node that has very many.
+    and links never become more, so the number of tasks of every step follows the number of links. Smallest neighbours
+    are stored before they are joined, so Spark can split the links of a node that has very many.
     """
     edges = cut_lineage(
         links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct()
     )
-    while not _stars(edges):
+    n = edges.count()
+    edges = in_few_tasks(edges, n)
+    while not _stars(edges, n):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")))
-        large = cut_lineage(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        low = cut_lineage(in_few_tasks(low, n))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut_lineage(in_few_tasks(in_few_tasks(large, n).distinct(), n))
+        low = cut_lineage(in_few_tasks(large.groupBy("u").agg(F.min("v").alias("m")), n))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-    roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
+        small = in_few_tasks(small.unionByName(low.select("u", F.col("m").alias("v"))), n)
+        edges = cut_lineage(in_few_tasks(small.distinct(), n))
+    roots = in_few_tasks(edges.select(F.col("v").alias("node")).distinct(), n).withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from pagemill.llm.common import WORD, Texts, Words, mix64, powers, row_blocks, text_hash
 from pagemill.llm.components import components
-from pagemill.session import cut_lineage
+from pagemill.session import cut_lineage, in_few_tasks
 
 BANDS, ROWS = 20, 4
 """A pair at similarity 0.85 shares no band with probability (1 - 0.85**4)**20 = 4e-7."""
@@ -217,23 +217,27 @@ def link_classes(docs: DataFrame, percent: int, width: int, bands: int, rows: in
     )
     banded = classes.select("node", "hash", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     buckets = cut_lineage(banded.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
-    members = cut_lineage(banded.join(buckets, "key"))
+    n = buckets.agg(F.sum("members")).first()[0] or 0  # what follows has as many small rows at most
+    members = cut_lineage(in_few_tasks(banded.join(buckets, "key"), n))
     # The hub of a bucket is the member that meets most others over all bands: the original among its copies.
-    worth = cut_lineage(members.groupBy("node").agg(F.sum("members").alias("worth"), F.first("n").alias("n")))
-    ranked = members.select("key", "node").join(worth, "node")
-    hubs = cut_lineage(
+    worth = members.groupBy("node").agg(F.sum("members").alias("worth"), F.first("n").alias("n"))
+    worth = cut_lineage(in_few_tasks(worth, n))
+    ranked = in_few_tasks(members.select("key", "node").join(worth, "node"), n)
+    hubs = (
         ranked.groupBy("key")
         .agg(F.max(F.struct("worth", F.negate("node").alias("back"), "n")).alias("top"))
         .select("key", F.negate("top.back").alias("hub"), F.col("top.n").alias("hub_n"))
     )
-    pairs = cut_lineage(
+    hubs = cut_lineage(in_few_tasks(hubs, n))
+    pairs = (
         members.join(hubs, "key")
         .where("node <> hub")
         .where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
         .select("node", "hub")
-        .distinct()
     )
-    sets = cut_lineage(set_table(docs, members.select("node", "hash").distinct(), width))
+    pairs = cut_lineage(in_few_tasks(in_few_tasks(pairs, n).distinct(), n))
+    own = in_few_tasks(members.select("node", "hash").distinct(), n)
+    sets = cut_lineage(set_table(docs, own, width))
     theirs = sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
     shared = F.size(F.array_intersect("set", "hub_set"))
     stars = cut_lineage(
@@ -243,7 +247,7 @@ def link_classes(docs: DataFrame, percent: int, width: int, bands: int, rows: in
         .where(100 * F.col("shared") >= percent * (F.size("set") + F.size("hub_set") - F.col("shared")))
         .select(F.col("node").alias("a"), F.col("hub").alias("b"))
     )
-    known = cut_lineage(components(stars))
+    known = cut_lineage(in_few_tasks(components(stars), n))
     # Buckets that still hold several components: all their pairs, block by block.
     marked = (
         members.where("members > 2")
@@ -251,13 +255,9 @@ def link_classes(docs: DataFrame, percent: int, width: int, bands: int, rows: in
         .join(known, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
-    marked = cut_lineage(marked)
-    mixed = cut_lineage(
-        marked.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .where("low < high")
-        .select("key")
-    )
+    marked = cut_lineage(in_few_tasks(marked, n))
+    mixed = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = cut_lineage(in_few_tasks(mixed.where("low < high").select("key"), n))
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     tasks = (
         marked.join(mixed, "key")
@@ -279,7 +279,8 @@ def link_classes(docs: DataFrame, percent: int, width: int, bands: int, rows: in
         return pd.DataFrame(compare_block(group, percent), columns=["a", "b"], dtype="int64")
 
     crossed = tasks.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
-    final = cut_lineage(components(stars.unionByName(crossed)))
+    found = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    final = cut_lineage(in_few_tasks(components(found.unionByName(crossed)), n))
     named = classes.select(*same, "node").join(final, "node", "left")
     return table, cut_lineage(named.select(*same, F.coalesce("component", "node").alias("component")))
 

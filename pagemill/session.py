@@ -61,6 +61,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def in_few_tasks(df: DataFrame, rows: int, each: int = 8192) -> DataFrame:
+    """Merge partitions, without a shuffle, so that a table of ``rows`` small rows has a task per ``each`` of them at most.
+
+    Every task of a stored table or a shuffle costs files of its own, however few its rows are.
+    """
+    return df.coalesce(max(1, -(-rows // each)))
+
+
 def stored_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh table in the shared folder and read it back.
 

@@ -669,6 +669,42 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(101)}, 200: 200, 201: 200, 205: 200, 400: 400, 401: 400}
 
 
+def test_few_links_take_few_tasks(spark, monkeypatch, docs, rows):
+    """Tables of few links have few partitions, whatever the number of shuffle partitions; so files stay few."""
+    from pagemill import session
+    from pagemill.llm import components as links
+
+    stored = []
+
+    def store(df):
+        out = session.cut_lineage(df)
+        stored.append(out.rdd.getNumPartitions())
+        return out
+
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    before = {k: spark.conf.get(k) for k in conf}
+    monkeypatch.setattr(links, "cut_lineage", store)
+    monkeypatch.setattr(minhash, "cut_lineage", store)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+        got = {r.node: r.component for r in links.components(chain).collect()}
+        assert got == dict.fromkeys(range(61), 0)
+        assert stored[0] == 40 and len(stored) > 8 and max(stored[1:]) <= 2
+        stored.clear()
+        want = collections.Counter(components_by_hand(rows, 85, 3))
+        assert bag(minhash.near_duplicates(docs), "doc_id", "n_shingles", "component_id") == want
+        assert sum(n >= 40 for n in stored) <= 8
+        # Many tasks, each for few links.
+        monkeypatch.setattr(links, "in_few_tasks", lambda df, n: session.in_few_tasks(df, n, 7))
+        got = {r.node: r.component for r in links.components(chain).collect()}
+        assert got == dict.fromkeys(range(61), 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
