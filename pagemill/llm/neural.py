@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -102,13 +103,18 @@ class Model:
         Each word is told from RATIO noise words; the batch shares NOISE of them, weighted to count as RATIO.
         """
         classes, dim = self.input.shape
-        rb, ra, out = self.input[b], self.input[a], self.output[w]
-        q = rb * self.near + ra * self.far
-        own = (q * out).sum(1) + self.bias[w] - known[w]
+        rb, ra, out, away = self.input.take(b, 0), self.input.take(a, 0), self.output.take(w, 0), self.output[noise]
+        q = rb * self.near
+        q += ra * self.far
+        own = (q * out).sum(1) + self.bias.take(w) - known.take(w)
         pull = 1 / (1 + np.exp(own))
-        other = q @ self.output[noise].T + (self.bias - known)[noise]
-        push = (RATIO / len(noise)) / (1 + np.exp(-other))
-        d_q = pull[:, None] * out - push @ self.output[noise]
+        push = q @ away.T
+        push += (self.bias - known)[noise]
+        np.exp(np.negative(push, out=push), out=push)
+        push += 1
+        np.divide(RATIO / len(noise), push, out=push)
+        out *= pull[:, None]
+        d_q = np.subtract(out, push @ away, out=out)
         grad = Model(np.zeros(len(self.flat), np.float32), classes, dim)
         rows = np.concatenate([w, noise])
         _add(grad.output, rows, np.concatenate([pull[:, None] * q, -(push.T @ q)]))
@@ -116,7 +122,7 @@ class Model:
         _add(grad.input, np.concatenate([b, a]), np.concatenate([d_q * self.near, d_q * self.far]))
         grad.near += (d_q * rb).sum(0)
         grad.far += (d_q * ra).sum(0)
-        return grad.flat / len(w)
+        return np.divide(grad.flat, len(w), out=grad.flat)
 
     def train(self, w: np.ndarray, b: np.ndarray, a: np.ndarray, share: np.ndarray, state: dict) -> None:
         rng, known = state["rng"], np.log(RATIO * share).astype(np.float32)
@@ -165,8 +171,11 @@ class Vocabulary:
         """WORD_NOISE words from the class of each word, by their counts."""
         kind = self.kind[number]
         lo, hi = self.start[kind][:, None], self.stop[kind][:, None]
-        at = self.upto[lo] + rng.random((len(number), WORD_NOISE)) * (self.upto[hi] - self.upto[lo])
-        return np.clip(np.searchsorted(self.upto, at.ravel(), "right").reshape(at.shape) - 1, lo, hi - 1)
+        at = (self.upto[lo] + rng.random((len(number), WORD_NOISE)) * (self.upto[hi] - self.upto[lo])).ravel()
+        order = np.argsort(at)  # sorted places are found several times faster
+        found = np.empty(len(at), np.int64)
+        found[order] = np.searchsorted(self.upto, at[order], "right") - 1
+        return np.clip(found.reshape(len(number), WORD_NOISE), lo, hi - 1)
 
 
 def class_starts(counts: np.ndarray, room: int) -> np.ndarray:
@@ -195,7 +204,9 @@ class Words:
         return np.concatenate([rng.normal(0, 0.3, n * dim).clip(-1, 1), np.zeros(n * dim)]).astype(np.float16)
 
     def query(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return self.input[near] + FAR * self.input[far]
+        q = self.input.take(far, 0)
+        q *= FAR
+        return np.add(self.input.take(near, 0), q, out=q)
 
     def train(self, vocab: Vocabulary, w: np.ndarray, near: np.ndarray, far: np.ndarray, state: dict) -> None:
         """Words that are alone in their class teach nothing here; of the others each is told from noise of its class."""
@@ -208,7 +219,7 @@ class Words:
     def step(self, w: np.ndarray, near: np.ndarray, far: np.ndarray, noise: np.ndarray, state: dict) -> None:
         """One step up the noise-contrastive objective. The noise has the shares of the class, so they cancel out."""
         tried = np.concatenate([w[:, None], noise], 1)
-        q, out = self.query(near, far), self.output[tried]
+        q, out = self.query(near, far), self.output.take(tried, 0)
         pull = -1 / (1 + np.exp(math.log(noise.shape[1]) - np.einsum("td,tjd->tj", q, out)))
         pull[:, 0] += 1
         d_q = np.einsum("tj,tjd->td", pull, out)
@@ -221,13 +232,17 @@ class Words:
             param, square, seen = getattr(self, name), state[name], state[name + "_seen"]
             times = np.bincount(rows, minlength=len(param))
             seen += times
-            at = np.flatnonzero(times)
+            at = np.flatnonzero(times > 0)
             place = np.empty(len(param), np.int64)
             place[at] = np.arange(len(at))
             grad = np.zeros((len(at), dim), np.float32)
-            _add(grad, place[rows], values)
-            square[at] += grad * grad
-            param[at] = np.clip(param[at] + state["rate"] * grad / np.sqrt(square[at]), -BOUND, BOUND)
+            _add(grad, place.take(rows), values)
+            scale = square.take(at, 0)
+            scale += grad * grad
+            square[at] = scale
+            moved = state["rate"] * grad / np.sqrt(scale, out=scale)
+            moved += param.take(at, 0)
+            param[at] = np.clip(moved, -BOUND, BOUND, out=moved)
 
     def log_inner(self, vocab: Vocabulary, w: np.ndarray, near: np.ndarray, far: np.ndarray) -> np.ndarray:
         """log of P(word | its class, words before), exactly normalised over the class; 0 for words alone in theirs."""
@@ -236,17 +251,19 @@ class Words:
         pick = np.flatnonzero(vocab.stop[kind] - vocab.start[kind] > 1)
         pick = pick[np.argsort(kind[pick], kind="stable")]
         cuts = np.flatnonzero(np.diff(kind[pick], prepend=-1, append=-1)) if len(pick) else []
+        q, place, found = self.query(near[pick], far[pick]), w[pick] - vocab.start[kind[pick]], np.empty(len(pick))
         for a, b in zip(cuts[:-1], cuts[1:]):
             c = kind[pick[a]]
             lo, hi = vocab.start[c], vocab.stop[c]
             vectors, share = self.output[lo:hi].T.copy(), vocab.inner[lo:hi]
-            step = max(1, (1 << 20) // (hi - lo))
+            step = max(1, (1 << 18) // (hi - lo))  # what fits a core's cache
             for i in range(a, b, step):
-                at = pick[i : min(b, i + step)]
-                s = self.query(near[at], far[at]) @ vectors
+                j = min(b, i + step)
+                s = q[i:j] @ vectors
                 s += share
-                own = s[np.arange(len(at)), w[at] - lo].astype(float)
-                out[at] = own - np.log(np.exp(s, out=s).sum(1))
+                own = s[np.arange(j - i), place[i:j]].astype(float)
+                found[i:j] = own - np.log(np.exp(s, out=s).sum(1))
+        out[pick] = found
         return out
 
 
@@ -254,13 +271,13 @@ def tokens(vocab: Vocabulary, index: dict[bytes, int], texts: list[str | None])
     """(numbers with one end per text, number one before, number two before, row, end?) and the words."""
     own = [split(t) for t in texts]
     sizes = np.array([len(x) for x in own], np.int64)
-    words = [w for x in own for w in x]
+    words = list(chain.from_iterable(own))
     row = np.repeat(np.arange(len(own)), sizes + 1)
     stop = np.cumsum(sizes + 1) - 1
     is_end = np.zeros(len(row), bool)
     is_end[stop] = True
     number = np.full(len(row), END)
-    number[~is_end] = np.fromiter(map(index.get, words, [OTHER] * len(words)), np.int64, len(words))
+    number[~is_end] = np.fromiter(map(index.get, words, repeat(OTHER)), np.int64, len(words))
     near, far = np.full(len(row), END), np.full(len(row), END)
     near[1:], far[2:] = number[:-1], number[:-2]  # before a text stand ends
     far[stop[:-1] + 1] = END

@@ -287,6 +287,64 @@ def test_lm_words_within_classes_descend():
     assert np.allclose(step, numeric, atol=2e-3)
 
 
+def test_lm_steps_take_the_fast_way(monkeypatch):
+    """Noise is looked up in order of its places, and steps and scores are to the bit those of the plain formulas."""
+    rng = np.random.default_rng(5)
+    counts = np.sort(rng.integers(1, 90, 400))[::-1].astype(np.int64)
+    vocab = neural.Vocabulary(b"\n".join(b"w%d" % i for i in range(400)), counts, int(counts.sum()) + 9, 403, 5, 20)
+    number, near, far = rng.integers(0, 402, (3, 3000))
+    kind, plain, ordered = vocab.kind[number], np.searchsorted, []
+    lo, hi = vocab.start[kind][:, None], vocab.stop[kind][:, None]
+    at = vocab.upto[lo] + np.random.default_rng(6).random((3000, 2)) * (vocab.upto[hi] - vocab.upto[lo])
+    want = np.clip(plain(vocab.upto, at, "right") - 1, lo, hi - 1)
+
+    def spy(table, places, side):
+        ordered.append(bool((np.diff(places) >= 0).all()))
+        return plain(table, places, side)
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", spy)
+        drawn = vocab.draw(np.random.default_rng(6), number)
+    assert ordered == [True] and np.array_equal(drawn, want)
+
+    flat = rng.normal(0, 0.3, 2 * 402 * 8).astype(np.float32)
+    old, new = neural.Words(flat.copy(), 8), neural.Words(flat.copy(), 8)
+    state = {"rate": np.float32(0.1)}
+    for name in ("input", "output"):
+        state |= {name: np.ones((402, 8), np.float32), name + "_seen": np.zeros(402, np.int64)}
+    new.step(number, near, far, drawn, state)
+    tried = np.concatenate([number[:, None], drawn], 1)
+    q, out = old.input[near] + neural.FAR * old.input[far], old.output[tried]
+    pull = -1 / (1 + np.exp(math.log(2) - np.einsum("td,tjd->tj", q, out)))
+    pull[:, 0] += 1
+    d_q = np.einsum("tj,tjd->td", pull, out)
+    d_out = (pull[:, :, None] * q[:, None, :]).reshape(-1, 8)
+    for param, rows, values in (
+        (old.output, tried.ravel(), d_out),
+        (old.input, np.concatenate([near, far]), np.concatenate([d_q, neural.FAR * d_q])),
+    ):
+        grad = np.stack([np.bincount(rows, v, 402) for v in values.T], 1).astype(np.float32)
+        moved = param + np.float32(0.1) * grad / np.sqrt(1 + grad * grad)
+        met = np.unique(rows)
+        param[met] = np.clip(moved, -neural.BOUND, neural.BOUND)[met]
+    assert np.array_equal(old.output, new.output) and np.array_equal(old.input, new.input)
+    assert np.array_equal(state["output_seen"], np.bincount(tried.ravel(), minlength=402))
+
+    share = np.full(30, 1 / 30)
+    model, known = neural.Model.start(share, 4), np.log(neural.RATIO * share).astype(np.float32)
+    w, b, a = rng.integers(0, 30, (3, 200))
+    noise = rng.integers(0, 30, 8)
+    got = neural.Model(model.step(w, b, a, noise, known), 30, 4)
+    q = model.input[b] * model.near + model.input[a] * model.far
+    pull = 1 / (1 + np.exp((q * model.output[w]).sum(1) + model.bias[w] - known[w]))
+    other = q @ model.output[noise].T + (model.bias - known)[noise]
+    push = (neural.RATIO / 8) / (1 + np.exp(-other))
+    d_q = pull[:, None] * model.output[w] - push @ model.output[noise]
+    both, parts = np.concatenate([b, a]), np.concatenate([d_q * model.near, d_q * model.far])
+    grad = np.stack([np.bincount(both, v, 30) for v in parts.T], 1).astype(np.float32)
+    assert np.array_equal(got.input, grad / 200) and np.array_equal(got.near, (d_q * model.input[b]).sum(0) / 200)
+
+
 def test_lm_averages_meet_in_steps(spark, monkeypatch):
     monkeypatch.setattr(neural, "FAN", 3)
     rng, rows, want = np.random.default_rng(4), [], {}
