@@ -15,6 +15,14 @@ from .processors import BURST, Bursts, NewestRequest, partial_bursts, record_hig
 
 # Fixed value: how long a name must be quiet before its last write counts.
 QUIET = "500 milliseconds"
+# For a state with very many keys: an executor's stores share so many MB, are closed (and gone from its disk) as soon as a
+# task has saved them, and do not look each key up once more to count it.
+MANY_KEYS = {
+    "rocksdb.boundedMemoryUsage": "true",
+    "rocksdb.maxMemoryUsageMB": "256",
+    "rocksdb.trackTotalNumberOfRows": "false",
+    "unloadOnCommit": "true",
+}
 
 
 # --- transformations -------------------------------------------------------------------------
@@ -120,23 +128,34 @@ def current_bursts(spark: SparkSession, path: str) -> DataFrame:
 
 
 @contextmanager
-def rocks_state(spark: SparkSession) -> Iterator[None]:
-    """Values per key need the state store that keeps them on disk; the session's own choice comes back afterwards."""
-    name = "spark.sql.streaming.stateStore.providerClass"
+def rocks_state(spark: SparkSession, **more: str) -> Iterator[None]:
+    """Values per key need the state store that keeps them on disk; the session's own choice comes back afterwards.
+
+    ``more`` are settings of the state store that hold where the session has none of its own.
+    """
+    prefix = "spark.sql.streaming.stateStore."
+    name = prefix + "providerClass"
     before = spark.conf.get(name)
+    extra = {prefix + k: v for k, v in more.items() if spark.conf.get(prefix + k, None) is None}
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for k, v in extra.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
         spark.conf.set(name, before)
+        for k in extra:
+            spark.conf.unset(k)
 
 
 def group_results(results: DataFrame, path: str, order: list[str]) -> None:
     """Follow the first sighting of every variant in Spark's state store, and write those that a micro-batch changed.
 
-    ``results`` rows carry group_key, source_url, book_url and the ``order`` columns.
+    ``results`` rows carry group_key, source_url, book_url and the ``order`` columns. Nearly every result can be a
+    variant, so the store keeps them on disk (see MANY_KEYS); a further micro-batch fetches its files again.
     """
-    run_batches(se.variants(results, order), path, _write_batch(path), mode="update")
+    with rocks_state(results.sparkSession, **MANY_KEYS):
+        run_batches(se.variants(results, order), path, _write_batch(path), mode="update")
 
 
 def current_variants(spark: SparkSession, path: str, order: list[str]) -> DataFrame:

@@ -362,3 +362,30 @@ def test_variants_of_one_micro_batch_are_not_grouped_again(spark, tmp_path):
     found = land(more)
     want = search.variants(spark.createDataFrame(first + more, schema), ["page"])
     assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+
+
+def test_state_of_variants_is_kept_on_disk_in_bounded_memory(spark, tmp_path, monkeypatch):
+    landing, path, prefix = str(tmp_path / "in"), str(tmp_path / "out"), "spark.sql.streaming.stateStore."
+    schema = "group_key string, source_url string, book_url string, name string, page int"
+    names = ["providerClass", "rocksdb.maxMemoryUsageMB", *jobs.MANY_KEYS]
+    settings, held, run = lambda: {n: spark.conf.get(prefix + n, None) for n in names}, [], jobs.run_batches
+    monkeypatch.setattr(jobs, "run_batches", lambda *a, **k: (held.append(settings()), run(*a, **k)))
+    spark.conf.set(prefix + "rocksdb.maxMemoryUsageMB", "64")  # the session's own choice
+    try:
+        before, rows = settings(), []
+        for start in range(3):  # pages fall, so that later starts find earlier sightings of old variants
+            more = [(f"g{i % 5}", f"s{i % 3}", f"/b{i % (40 + 20 * start)}", f"n{start}.{i}", 900 - 300 * start + i) for i in range(90)]
+            rows += more
+            spark.createDataFrame(more, schema).repartition(3).write.mode("append").parquet(landing)
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(landing)
+            jobs.group_results(stream, path, ["page"])
+        assert settings() == before
+    finally:
+        spark.conf.unset(prefix + "rocksdb.maxMemoryUsageMB")
+    assert held == [before | jobs.MANY_KEYS | {"providerClass": held[0]["providerClass"], "rocksdb.maxMemoryUsageMB": "64"}] * 3
+    assert held[0]["providerClass"].endswith("RocksDBStateStoreProvider")
+    kinds = {f.suffix for f in (tmp_path / "out/checkpoint/state/0").rglob("*") if not f.name.startswith(("_", "."))}
+    assert ".sst" in kinds and not kinds & {".delta", ".snapshot"}
+    found = jobs.current_variants(spark, path, ["page"])
+    want = search.variants(spark.createDataFrame(rows, schema), ["page"])
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
